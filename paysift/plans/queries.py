@@ -24,6 +24,7 @@ from paysift.operators import profile as PR
 from paysift.operators import ranking as R
 from paysift.operators import train as TR
 from paysift.plans import features as P
+from paysift.session import materialize
 from paysift.sources.tables import comp_view, read_view, register_view
 
 LABEL = P.LABEL
@@ -256,7 +257,7 @@ def q29_hash_split(spark, sf):
 # --------------------------------------------------------------------------
 
 def _linear_models(spark, sf):
-    d = _labeled_numeric(spark, sf)
+    d = materialize(_labeled_numeric(spark, sf))
     train, test = _train_test(d)
     one = TR.linear(LABEL, "x").fit(_one_feature(train, ["years_exp"], "x"))
     two = TR.linear(LABEL, "x").fit(
@@ -300,7 +301,9 @@ def q33_rmse_r2(spark, sf):
 
 
 def _model_frames(spark, sf):
-    f = P.model_input(_features(spark, sf))
+    """(train, test) of the narrow model input, written once to the
+    checkpoint folder so the many passes of fitting read that copy."""
+    f = materialize(P.model_input(_features(spark, sf)))
     return _train_test(f)
 
 
@@ -324,7 +327,7 @@ def q35_train_validation(spark, sf):
 
 
 def q36_cv_folds(spark, sf):
-    d = _labeled_numeric(spark, sf)
+    d = materialize(_labeled_numeric(spark, sf))
     train, _ = _train_test(d)
     t = _one_feature(train, ["years_exp"], "x").withColumn(
         "fold", (F.col(KEY) % 5).cast("int"))
@@ -341,7 +344,7 @@ def q36_cv_folds(spark, sf):
 # --------------------------------------------------------------------------
 
 def _stump_input(spark, sf) -> DataFrame:
-    train, _ = _train_test(_labeled_numeric(spark, sf))
+    train, _ = _train_test(materialize(_labeled_numeric(spark, sf)))
     return _one_feature(train, ["years_exp"], "x")
 
 

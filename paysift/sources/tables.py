@@ -50,6 +50,21 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(table_path(sf_dir, name))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition ``df`` by ``key`` when its scan yields fewer
+    partitions than the session's default parallelism.
+
+    Large inputs split into many partitions on their own and pass through
+    untouched (no shuffle); a small or unsplittable file (one row group, a
+    gzip file) would otherwise put all downstream work in one task.
+    Hashing by a unique key spreads rows evenly and deterministically.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, F.col(key))
+
+
 def _mod(c: Column, m: int) -> Column:
     return c % F.lit(m)
 
@@ -64,8 +79,9 @@ def comp_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     only when the customer side is measured small, else sort-merge with AQE
     skew splitting).
     """
-    o = load_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    o = spread(load_table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"),
+        "o_orderkey")
     c = load_table(spark, sf_dir, "customer").select("c_custkey",
                                                      "c_mktsegment")
     j = o.join(c, o["o_custkey"] == c["c_custkey"], "inner")
