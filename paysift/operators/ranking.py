@@ -67,7 +67,8 @@ def correlation_matrix(df: DataFrame, vec: str) -> DataFrame:
     """Full Pearson matrix of a vector column as rows (i, j, corr).
 
     ``ml.stat.Correlation`` aggregates a p×p Gramian (bounded by the vector
-    width); undefined entries (constant slots) are null, not NaN.
+    width); undefined entries (pairs with a constant slot) are null, not
+    NaN.  Spark keeps the diagonal at 1.0 even for a constant slot.
     """
     m = Correlation.corr(df, vec).first()[0].toArray()
     p = m.shape[0]
