@@ -57,18 +57,32 @@ ORIGINAL_LOOKUPS = Lookups(company_keep=list(L.COMPANY_KEEP),
                            degrees=list(L.DEGREES))
 
 
+# Columns known to be empty in the source (the original listed ten by
+# name); ``clean.drop_empty_columns`` finds such columns by data instead.
+EMPTY_COLUMNS = ["_c16", "_c17"]
+
+
 @dataclass
 class Learned:
+    """Values learned by cleaning: modes and the fitted mean imputer."""
     modes: dict = field(default_factory=dict)
-    skill_mean: float | None = None
+    imputer: object = None
+
+    @property
+    def skill_mean(self) -> float | None:
+        return None if self.imputer is None else \
+            self.imputer.surrogateDF.first()[0]
 
 
 def clean(df: DataFrame, fit_filter: Column | None = None
           ) -> tuple[DataFrame, Learned]:
     """Original cleaning order: drop empty columns, require the label, fill
     the level with its mode, impute skill with its mean, fill gender and
-    details with constants, cap the label, cast numbers."""
-    df = C.drop_empty_columns(df, ["_c16", "_c17"])
+    details with constants, cap the label, cast numbers.
+
+    Two aggregation jobs run at build time (mode, mean); everything else
+    is one lazy projection/filter chain."""
+    df = C.drop_columns(df, EMPTY_COLUMNS)
     df = C.require(df, LABEL)
     fit = df.where(fit_filter) if fit_filter is not None else None
     df, modes = C.fill_mode(df, ["std_level"], fit_df=fit)
@@ -78,8 +92,7 @@ def clean(df: DataFrame, fit_filter: Column | None = None
                                "other_details": L.OTHER_DETAILS_FILL})
     df = C.cap(df, LABEL, L.LABEL_CAP)
     df = C.cast_double(df, NUMERIC)
-    mean = imputer.surrogateDF.first()[0]
-    return df, Learned(modes=modes, skill_mean=mean)
+    return df, Learned(modes=modes, imputer=imputer)
 
 
 def categorize(df: DataFrame, lookups: Lookups | None = None) -> DataFrame:

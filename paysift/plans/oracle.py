@@ -293,6 +293,12 @@ WHERE total_comp IS NOT NULL AND TRY_CAST(total_comp AS DOUBLE) < {L.LABEL_CAP}"
         f"max(x) AS max_value FROM (SELECT TRY_CAST({c} AS DOUBLE) AS x "
         f"FROM comp) t"
         for c in ["years_exp", "years_at", "skill_index", "total_comp"])
+    q["q14b_clean_summary"] = _with(COMP, CLEAN) + _union(
+        f"SELECT '{c}' AS column_name, count({c}) AS n, "
+        f"round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS stddev, "
+        f"min({c}) AS min_value, max({c}) AS max_value FROM cleaned"
+        for c in ["skill_index_imputed", "years_exp", "years_at",
+                  "total_comp"])
     q["q15_value_counts"] = base + _union(
         f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, "
         f"count({c}) AS n FROM comp GROUP BY 2"
@@ -302,6 +308,11 @@ WHERE total_comp IS NOT NULL AND TRY_CAST(total_comp AS DOUBLE) < {L.LABEL_CAP}"
         f"count(DISTINCT {c}) + CAST(max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 "
         f"END) AS BIGINT) AS n_distinct_with_null FROM comp"
         for c in ["company", "title", "location", "tag"])
+    q["q16c_bucket_cardinality"] = _with(COMP, CLEAN) + _union(
+        f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n_distinct, "
+        f"count(DISTINCT {c}) + CAST(max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 "
+        f"END) AS BIGINT) AS n_distinct_with_null FROM cat"
+        for c in ["cat_comp", "cat_title", "cat_location", "cat_tag"])
     q["q16b_distinct_rows"] = base + f"""SELECT count(*) AS n FROM (
   SELECT DISTINCT coalesce(other_details, {_q(L.OTHER_DETAILS_FILL)}) FROM comp)"""
     label_rows = f"""v AS (SELECT TRY_CAST(total_comp AS DOUBLE) AS x FROM comp

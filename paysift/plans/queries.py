@@ -24,6 +24,7 @@ from paysift.operators import profile as PR
 from paysift.operators import ranking as R
 from paysift.operators import train as TR
 from paysift.plans import features as P
+from paysift.plans import tuning as TU
 from paysift.session import materialize
 from paysift.sources.tables import comp_view, read_view, register_view
 
@@ -137,6 +138,16 @@ def q14_summary(spark, sf):
                     "max_value")
 
 
+def q14b_clean_summary(spark, sf):
+    """Summary of the repaired numeric features and the capped label."""
+    cleaned, _ = P.clean(_comp(spark, sf))
+    s = PR.summary(cleaned, ["skill_index_imputed", "years_exp", "years_at",
+                             LABEL])
+    return s.select("column_name", "n", F.round("mean", 6).alias("mean"),
+                    F.round("stddev", 6).alias("stddev"), "min_value",
+                    "max_value")
+
+
 def q15_value_counts(spark, sf):
     return PR.value_counts(_comp(spark, sf),
                            ["std_level", "gender", "title", "tag"])
@@ -147,6 +158,13 @@ def q16_distinct_counts(spark, sf):
                               ["company", "title", "location", "tag"])
 
 
+def q16c_bucket_cardinality(spark, sf):
+    """Distinct buckets after categorizing (at most list size + 1)."""
+    cat = P.categorized(_comp(spark, sf))
+    return PR.distinct_counts(cat, ["cat_comp", "cat_title", "cat_location",
+                                    "cat_tag"])
+
+
 def q16b_distinct_rows(spark, sf):
     d = C.fill_constants(_comp(spark, sf),
                          {"other_details": L.OTHER_DETAILS_FILL})
@@ -317,6 +335,16 @@ def q34_leaderboard(spark, sf):
     return lb.select("model", "metric", F.round("value", 6).alias("value"))
 
 
+def q34b_tuned_leaderboard(spark, sf):
+    """Default vs tuned (CV, and TVS for linear) per family on the test
+    part, with two-point grids; ``tuning.FULL_GRIDS`` are the original
+    ones."""
+    train, test = _model_frames(spark, sf)
+    lb, _ = TU.compare(spark, train, test, TU.SMALL_GRIDS, folds=3)
+    return lb.select("model", "stage", "metric",
+                     F.round("value", 6).alias("value"))
+
+
 def q35_train_validation(spark, sf):
     train, _ = _model_frames(spark, sf)
     lr = TR.linear(LABEL)

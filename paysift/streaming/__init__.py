@@ -1,0 +1,8 @@
+"""Streaming.
+
+The analysis this package reproduces has no stream source, event-time
+window, watermark or stateful operator, so nothing lives here.  Every
+transform in ``paysift.operators`` is a lazy DataFrame function and the
+fitted ``pyspark.ml`` models are plain transformers, so they apply to a
+``readStream`` frame unchanged.
+"""
