@@ -58,16 +58,18 @@ def top_k_values(df: DataFrame, c: str, k: int) -> DataFrame:
 
 
 def top_k_or_other(df: DataFrame, c: str, k: int, out: str,
-                   other: str = L.OTHER) -> DataFrame:
+                   other: str = L.OTHER,
+                   broadcast_max: int = BROADCAST_MAX_KEYS) -> DataFrame:
     """Keep the k most frequent values, the rest (and null) -> ``other``.
 
     The data-driven form of a typed-in keep-list.  The top-k table has at
-    most k rows, so it is broadcast while k is below ``BROADCAST_MAX_KEYS``;
-    beyond that it is joined by a normal shuffle join.
+    most k rows, so it is broadcast while k is at most ``broadcast_max``;
+    beyond that it is joined by a shuffle join (AQE splits a hot key's
+    partition on the large side).
     """
     top = top_k_values(df, c, k).select(F.col("key").alias("__key"),
                                         F.lit(True).alias("__keep"))
-    if k <= BROADCAST_MAX_KEYS:
+    if k <= broadcast_max:
         top = F.broadcast(top)
     joined = df.join(top, col_of(c) == F.col("__key"), "left")
     return joined.withColumn(

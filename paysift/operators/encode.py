@@ -79,6 +79,17 @@ def hash_split(df: DataFrame, key: str, train_percent: int = 70
     return df.where(part), df.where(~part)
 
 
+def materialized_split(df: DataFrame, key: str, train_percent: int = 70
+                       ) -> tuple[DataFrame, DataFrame]:
+    """Hash split of a frame that is written once to the checkpoint folder
+    with its part flag, so later passes filter on a stored boolean instead
+    of hashing every row again.  Returns (train, test)."""
+    from paysift.session import materialize
+    m = materialize(df.withColumn("__train", hash_part(key, train_percent)))
+    flag = F.col("__train")
+    return m.where(flag).drop("__train"), m.where(~flag).drop("__train")
+
+
 def slot_names(df: DataFrame, vec: str) -> list[tuple[int, str]]:
     """(slot index, name) of a vector column, from its ML metadata."""
     meta = df.schema[vec].metadata.get("ml_attr", {})

@@ -114,15 +114,28 @@ def value_counts(df: DataFrame, cols: Sequence[str] | str,
     return out
 
 
-def distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Exact distinct counts per column, without and with null:
+def distinct_counts(df: DataFrame, cols: Sequence[str],
+                    approx_rsd: float | None = None) -> DataFrame:
+    """Distinct counts per column, without and with null:
     (column_name, n_distinct, n_distinct_with_null).
 
-    Stack + group (column, value) + group column: the distinct step is a
-    partial-aggregated shuffle, avoiding the per-column row copies of the
-    multi-``countDistinct`` Expand plan.
+    Exact by default: stack + distinct (column, value) + group by column;
+    the distinct step is a partial-aggregated shuffle, avoiding the
+    per-column row copies of the multi-``countDistinct`` Expand plan.  With
+    ``approx_rsd`` every column gets a HyperLogLog++ sketch in one pass
+    (fixed memory per column, no shuffle of values) for very wide or
+    very high-cardinality tables.
     """
     cols = list(cols)
+    if approx_rsd is not None:
+        agg = df.agg(*[F.struct(
+            F.approx_count_distinct(col_of(c), approx_rsd).alias("d"),
+            F.max(col_of(c).isNull().cast("int")).alias("z")).alias(c)
+            for c in cols])
+        return _long(agg, cols, "s").select(
+            "column_name", F.col("s.d").alias("n_distinct"),
+            (F.col("s.d") + F.col("s.z")).cast("bigint")
+            .alias("n_distinct_with_null"))
     pairs = df.select(F.stack(F.lit(len(cols)), *[
         x for c in cols for x in (F.lit(c), col_of(c).cast("string"))]
     ).alias("column_name", "value"))

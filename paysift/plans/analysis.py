@@ -16,7 +16,6 @@ from paysift.operators import encode as E
 from paysift.operators import metrics as M
 from paysift.operators import train as TR
 from paysift.plans import features as P
-from paysift.session import materialize
 from paysift.sources.tables import comp_view
 
 FAMILIES = ("linear", "tree", "forest", "boosting")
@@ -35,7 +34,7 @@ def model_frames(spark: SparkSession, sf_dir: str, train_percent: int = 70,
     feats = P.feature_frame(comp_view(spark, sf_dir), fit_filter=fit_filter)
     mi = P.model_input(feats)
     if checkpoint:
-        mi = materialize(mi)
+        return E.materialized_split(mi, P.KEY, train_percent)
     part = E.hash_part(P.KEY, train_percent)
     return mi.where(part), mi.where(~part)
 

@@ -25,7 +25,6 @@ from paysift.operators import ranking as R
 from paysift.operators import train as TR
 from paysift.plans import features as P
 from paysift.plans import tuning as TU
-from paysift.session import materialize
 from paysift.sources.tables import comp_view, read_view, register_view
 
 LABEL = P.LABEL
@@ -275,8 +274,8 @@ def q29_hash_split(spark, sf):
 # --------------------------------------------------------------------------
 
 def _linear_models(spark, sf):
-    d = materialize(_labeled_numeric(spark, sf))
-    train, test = _train_test(d)
+    d = _labeled_numeric(spark, sf)
+    train, test = E.materialized_split(d, KEY)
     one = TR.linear(LABEL, "x").fit(_one_feature(train, ["years_exp"], "x"))
     two = TR.linear(LABEL, "x").fit(
         _one_feature(train, ["years_exp", "years_at"], "x"))
@@ -321,8 +320,7 @@ def q33_rmse_r2(spark, sf):
 def _model_frames(spark, sf):
     """(train, test) of the narrow model input, written once to the
     checkpoint folder so the many passes of fitting read that copy."""
-    f = materialize(P.model_input(_features(spark, sf)))
-    return _train_test(f)
+    return E.materialized_split(P.model_input(_features(spark, sf)), KEY)
 
 
 def q34_leaderboard(spark, sf):
@@ -355,8 +353,7 @@ def q35_train_validation(spark, sf):
 
 
 def q36_cv_folds(spark, sf):
-    d = materialize(_labeled_numeric(spark, sf))
-    train, _ = _train_test(d)
+    train, _ = E.materialized_split(_labeled_numeric(spark, sf), KEY)
     t = _one_feature(train, ["years_exp"], "x").withColumn(
         "fold", (F.col(KEY) % 5).cast("int"))
     lr = TR.linear(LABEL, "x", regParam=0.0)
@@ -372,7 +369,7 @@ def q36_cv_folds(spark, sf):
 # --------------------------------------------------------------------------
 
 def _stump_input(spark, sf) -> DataFrame:
-    train, _ = _train_test(materialize(_labeled_numeric(spark, sf)))
+    train, _ = E.materialized_split(_labeled_numeric(spark, sf), KEY)
     return _one_feature(train, ["years_exp"], "x")
 
 

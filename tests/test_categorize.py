@@ -54,3 +54,29 @@ def test_lookup_lists_shape():
     assert len(keys) == 98 and len(set(keys)) == 97
     assert [len(v) for _, v in L.US_REGIONS] == [11, 12, 9, 15]
     assert len(L.TAG_KEEP) == 13
+
+
+def _skewed(spark):
+    # one value holds a third of all rows
+    rows = [("hot",)] * 300 + [(f"k{i % 200}",) for i in range(600)] + \
+        [(None,)] * 9
+    return spark.createDataFrame(rows, "t string")
+
+
+@pytest.mark.parametrize("broadcast_max", [100_000, 0])
+def test_top_k_with_hot_key_both_join_paths(spark, broadcast_max):
+    df = _skewed(spark)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if broadcast_max == 0:
+        # force the shuffle-join path (Spark would broadcast a tiny side)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = CT.top_k_or_other(df, "t", 3, "c", broadcast_max=broadcast_max)
+        got = {r.c: r.n for r in out.groupBy("c").count()
+               .withColumnRenamed("count", "n").collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # hot, then k0 and k1 (3 rows each, ties to the smaller value)
+    assert got == {"hot": 300, "k0": 3, "k1": 3, "Other": 603}
+    assert ("BroadcastHashJoin" in plan) == (broadcast_max > 0)

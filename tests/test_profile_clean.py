@@ -114,3 +114,19 @@ def test_preview_is_ordered_top_n(spark):
     df = spark.range(100).select(F.col("id").alias("k"))
     assert [r.k for r in PR.preview(df.orderBy(F.desc("k")), 3,
                                     order_by=["k"]).collect()] == [0, 1, 2]
+
+
+def test_hot_value_counts_and_approx_distinct(spark):
+    rows = [("hot", 1)] * 3000 + [(f"v{i}", i) for i in range(6000)] + \
+        [(None, None)]
+    df = spark.createDataFrame(rows, "s string, x int")
+    vc = PR.value_counts(df, ["s"]).first()
+    assert (vc.value, vc.n) == ("hot", 3000)
+    exact = {r.column_name: tuple(r)[1:] for r in
+             PR.distinct_counts(df, ["s", "x"]).collect()}
+    approx = {r.column_name: tuple(r)[1:] for r in
+              PR.distinct_counts(df, ["s", "x"], approx_rsd=0.01).collect()}
+    assert exact == {"s": (6001, 6002), "x": (6000, 6001)}
+    for c in ("s", "x"):
+        assert abs(approx[c][0] - exact[c][0]) / exact[c][0] < 0.05
+        assert approx[c][1] - approx[c][0] == 1
