@@ -151,12 +151,3 @@ def register_view(df: DataFrame, name: str) -> DataFrame:
 
 def read_view(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
-
-
-def schema_rows(df: DataFrame) -> DataFrame:
-    """The schema as rows (pos, name, type, nullable) - a printable,
-    joinable form of ``printSchema``.  Bounded by the column count."""
-    rows = [(i, f.name, f.dataType.simpleString(), f.nullable)
-            for i, f in enumerate(df.schema.fields)]
-    return df.sparkSession.createDataFrame(
-        rows, "pos int, name string, type string, nullable boolean")

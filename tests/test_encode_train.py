@@ -154,3 +154,23 @@ def test_label_correlation_bounds_and_constant(spark):
     assert math.isclose(m[(0, 0)], 1.0)
     ranked = R.rank_by_abs(R.label_correlation(df, "v", "y"), k=None)
     assert [r.name for r in ranked.collect()] == ["a", "z"]
+
+
+def test_full_grid_presets_sizes(spark):
+    from paysift.plans import tuning as TU
+    sizes = {}
+    for fam, grid in TU.FULL_GRIDS.items():
+        est = TR.estimator(fam, "y")
+        sizes[fam] = len(TR.param_grid(est, grid))
+    assert sizes == {"linear": 30, "tree": 24, "forest": 12, "boosting": 24}
+
+
+def test_cast_all_except_keeps_metadata(spark):
+    from paysift.operators import clean as C
+    df = spark.createDataFrame([("a", "1.5", "x")], "k string, n string, "
+                               "b string")
+    df, _ = E.index_columns(df, ["k"], ["k_idx"])
+    out = C.cast_all_double_except(df.drop("k"), ["k_idx", "b"])
+    assert dict(out.dtypes) == {"n": "double", "b": "string",
+                                "k_idx": "double"}
+    assert "ml_attr" in out.schema["k_idx"].metadata

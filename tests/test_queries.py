@@ -67,3 +67,16 @@ def test_entry_smoke(spark):
     assert models == {"linear", "tree", "forest", "boosting"}
     r2 = {r.model: r.value for r in rows if r.metric == "r2"}
     assert r2["linear"] > 0.9
+
+
+def test_flagship_learns_on_training_part_only(spark):
+    from paysift.plans import features as P
+    from paysift.sources.tables import comp_view
+    comp = comp_view(spark, SMALL)
+    _, all_rows = P.clean(comp)
+    _, train_only = P.clean(comp, fit_filter=P.train_filter(70))
+    assert all_rows.skill_mean != train_only.skill_mean
+    train = comp.where(P.train_filter(70)).where("total_comp IS NOT NULL")
+    from pyspark.sql import functions as F
+    mean = train.agg(F.avg(F.col("skill_index").try_cast("double"))).first()[0]
+    assert math.isclose(train_only.skill_mean, mean, rel_tol=1e-12)
