@@ -405,6 +405,25 @@ SELECT CAST(1 AS INTEGER), round(avg(rmse1), 4) FROM err"""
     q["q37_tree_stump"] = stump
     q["q39_forest_stump"] = stump
     q["q41_boost_stump"] = stump
+    q["q38b_tree_cv_stump"] = _with(COMP, NUMS, """d AS (SELECT years_exp AS x,
+  total_comp AS y, CAST(rec_id % 3 AS INTEGER) AS fold FROM nums
+  WHERE is_train),
+folds AS (SELECT DISTINCT fold AS f FROM d),
+v AS (SELECT f, x, count(*) AS n, sum(y) AS s
+  FROM folds JOIN d ON d.fold <> folds.f GROUP BY f, x),
+c AS (SELECT f, x, sum(n) OVER (PARTITION BY f ORDER BY x) AS nl,
+  sum(s) OVER (PARTITION BY f ORDER BY x) AS sl FROM v),
+t AS (SELECT f, sum(n) AS nt, sum(s) AS st FROM v GROUP BY f),
+g AS (SELECT c.f, c.x, nl, sl, nt, st,
+  sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) AS gain
+  FROM c JOIN t ON c.f = t.f WHERE nl < nt),
+b AS (SELECT f, x AS thr, sl / nl AS pl, (st - sl) / (nt - nl) AS pr FROM (
+  SELECT *, row_number() OVER (PARTITION BY f ORDER BY gain DESC, x) AS r
+  FROM g) WHERE r = 1),
+err AS (SELECT b.f, sqrt(avg((d.y - CASE WHEN d.x <= b.thr THEN b.pl
+  ELSE b.pr END) * (d.y - CASE WHEN d.x <= b.thr THEN b.pl ELSE b.pr END)))
+  AS rmse FROM b JOIN d ON d.fold = b.f GROUP BY b.f)""") + """SELECT
+  CAST(0 AS INTEGER) AS point, round(avg(rmse), 4) AS rmse FROM err"""
     q["q42_code_tables"] = enc + """SELECT 'cat_location' AS column_name, value,
   idx + o_loc AS idx FROM idx_cat_location, offs
 UNION ALL SELECT 'std_level', value, idx + o_std FROM idx_std_level, offs

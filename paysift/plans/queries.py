@@ -405,6 +405,19 @@ def q38_tree_grid(spark, sf):
                                           "maxBins": [37]})
 
 
+def q38b_tree_cv_stump(spark, sf):
+    """3-fold CV (fold column) of a depth-1 tree on years_exp: the mean
+    held-out RMSE, exactly checkable by a per-fold split search."""
+    t = _stump_input(spark, sf).withColumn(
+        "fold", (F.col(KEY) % 3).cast("int"))
+    est = TR.tree(LABEL, "x", max_bins=32, maxDepth=1)
+    grid = TR.param_grid(est, {"maxDepth": [1]})
+    tuned = TR.tune_cross_validation(est, grid, t, LABEL, folds=3,
+                                     fold_col="fold")
+    return TR.tuning_table(spark, tuned).select(
+        "point", F.round("rmse", 4).alias("rmse"))
+
+
 def q39_forest_stump(spark, sf):
     t = _stump_input(spark, sf)
     m = TR.forest(LABEL, "x", max_bins=32, maxDepth=1, numTrees=1,
