@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.ml.feature import StringIndexerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paysift.functions import lookups as L
-from paysift.functions.exprs import degree_flag, keep_or_other, ladder, \
-    location_region
+from paysift.functions.exprs import (degree_flag, keep_or_other, ladder,
+                                     location_region, safe_double)
 from paysift.operators import clean as C
 from paysift.operators import encode as E
 
@@ -64,35 +65,114 @@ EMPTY_COLUMNS = ["_c16", "_c17"]
 
 @dataclass
 class Learned:
-    """Values learned by cleaning: modes and the fitted mean imputer."""
+    """Everything cleaning and indexing learn from the data: the level's
+    mode, the skill mean and the frequency-ordered labels of each indexed
+    column (rarest first, ties alphabetical)."""
     modes: dict = field(default_factory=dict)
-    imputer: object = None
-
-    @property
-    def skill_mean(self) -> float | None:
-        return None if self.imputer is None else \
-            self.imputer.surrogateDF.first()[0]
-
-
-def clean(df: DataFrame, fit_filter: Column | None = None
+    skill_mean: float | None = None
+    labels: dict = field(default_factory=dict)
+
+    def indexers(self, handle_invalid: str = "error"
+                 ) -> list[StringIndexerModel]:
+        """One fitted-equivalent StringIndexerModel per indexed column
+        (single-column models: the multi-column constructor pads shorter
+        label lists with nulls)."""
+        return [StringIndexerModel.from_labels(
+            self.labels[c], inputCol=c, outputCol=o,
+            handleInvalid=handle_invalid) for c, o in zip(INDEX_IN, INDEX_OUT)]
+
+
+def _category_exprs(lk: Lookups) -> dict[str, Column]:
+    """Indexed columns as they look after cleaning and bucketing, written
+    against the raw columns (std_level before its mode fill)."""
+    return {
+        "cat_comp": keep_or_other("company", lk.company_keep),
+        "cat_title": ladder("title", lk.title_ladder),
+        "gender": F.coalesce(F.col("gender"), F.lit(L.GENDER_FILL)),
+        "cat_location": location_region("location"),
+        "cat_tag": keep_or_other("tag", lk.tag_keep),
+        "std_level": F.col("std_level"),
+    }
+
+
+def learn(df: DataFrame, fit_filter: Column | None = None,
+          lookups: Lookups | None = None) -> Learned:
+    """Learn mode, mean and category labels in ONE aggregation pass.
+
+    The original fits three things one after another (mode of the level on
+    labelled rows, mean of skill on labelled rows, indexers on the capped
+    rows), each a full pass.  Here every labelled row is stacked into
+    (column, value) pairs, tagged with whether it survives the cap, and
+    counted once; the skill sum and count ride on the first stacked pair.
+    Partial aggregation runs before the shuffle and only (column, value)
+    counters reach the driver - the same label lists a fitted StringIndexer
+    would hold.  The level's null count is added to its mode, exactly as
+    filling before indexing would.
+    """
+    lk = lookups or Lookups()
+    d = C.require(df, LABEL)
+    if fit_filter is not None:
+        d = d.where(fit_filter)
+    kept = F.coalesce(safe_double(LABEL) < F.lit(L.LABEL_CAP), F.lit(False))
+    x = safe_double(SKILL)
+    x = F.when(~F.isnan(x), x)
+    exprs = _category_exprs(lk)
+    stack_args = []
+    for i, (name, e) in enumerate(exprs.items()):
+        stack_args += [F.lit(name), e.cast("string"),
+                       x if i == 0 else F.lit(None).cast("double")]
+    pairs = d.select(kept.alias("kept"), F.stack(
+        F.lit(len(exprs)), *stack_args).alias("column_name", "value", "x"))
+    counts = pairs.groupBy("column_name", "value").agg(
+        F.count(F.lit(1)).alias("n_all"),
+        F.count_if(F.col("kept")).alias("n_kept"),
+        F.sum("x").alias("sx"), F.count("x").alias("nx"))
+    rows = counts.collect()
+
+    sx = sum(r.sx or 0.0 for r in rows if r.column_name == INDEX_IN[0])
+    nx = sum(r.nx for r in rows if r.column_name == INDEX_IN[0])
+    level = [r for r in rows if r.column_name == "std_level"]
+    present = [r for r in level if r.value is not None]
+    mode = min(present, key=lambda r: (-r.n_all, r.value)).value \
+        if present else None
+    labels = {}
+    for c in INDEX_IN:
+        kept_n: dict = {}
+        for r in rows:
+            if r.column_name != c or r.n_kept == 0:
+                continue
+            v = r.value if r.value is not None else (
+                mode if c == "std_level" else None)
+            if v is not None:
+                kept_n[v] = kept_n.get(v, 0) + r.n_kept
+        labels[c] = [v for v, _ in sorted(kept_n.items(),
+                                          key=lambda t: (t[1], t[0]))]
+    return Learned(modes={"std_level": mode},
+                   skill_mean=(sx / nx) if nx else None, labels=labels)
+
+
+def clean(df: DataFrame, fit_filter: Column | None = None,
+          learned: Learned | None = None, lookups: Lookups | None = None
           ) -> tuple[DataFrame, Learned]:
     """Original cleaning order: drop empty columns, require the label, fill
-    the level with its mode, impute skill with its mean, fill gender and
-    details with constants, cap the label, cast numbers.
-
-    Two aggregation jobs run at build time (mode, mean); everything else
-    is one lazy projection/filter chain."""
+    the level with its mode, impute skill with its mean (null and NaN are
+    missing, malformed strings too), fill gender and details with
+    constants, cap the label, cast numbers.  One lazy projection/filter
+    chain over values learned in one pass (``learn``)."""
+    learned = learned or learn(df, fit_filter, lookups)
     df = C.drop_columns(df, EMPTY_COLUMNS)
     df = C.require(df, LABEL)
-    fit = df.where(fit_filter) if fit_filter is not None else None
-    df, modes = C.fill_mode(df, ["std_level"], fit_df=fit)
-    fit = df.where(fit_filter) if fit_filter is not None else None
-    df, imputer = C.impute_mean(df, [SKILL], fit_df=fit)
+    mode = learned.modes.get("std_level")
+    if mode is not None:
+        df = C.fill_constants(df, {"std_level": mode})
+    x = safe_double(SKILL)
+    df = df.withColumn(SKILL_OUT, F.when(x.isNull() | F.isnan(x), F.lit(
+        learned.skill_mean).cast("double")).otherwise(x)).drop(SKILL)
     df = C.fill_constants(df, {"gender": L.GENDER_FILL,
                                "other_details": L.OTHER_DETAILS_FILL})
     df = C.cap(df, LABEL, L.LABEL_CAP)
     df = C.cast_double(df, NUMERIC)
-    return df, Learned(modes=modes, imputer=imputer)
+    return df, learned
 
 
 def categorize(df: DataFrame, lookups: Lookups | None = None) -> DataFrame:
@@ -108,26 +188,30 @@ def categorize(df: DataFrame, lookups: Lookups | None = None) -> DataFrame:
     })
 
 
-def encode(df: DataFrame, fit_filter: Column | None = None,
+def encode(df: DataFrame, learned: Learned,
            handle_invalid: str = "error") -> DataFrame:
-    """Index (one multi-column job), one-hot (no job), assemble."""
-    fit = df.where(fit_filter) if fit_filter is not None else None
-    df, _ = E.index_columns(df, INDEX_IN, INDEX_OUT, fit_df=fit,
-                            handle_invalid=handle_invalid)
+    """Index with the learned labels, one-hot, assemble: no job at all,
+    sizes come from the indexers' metadata."""
+    for model in learned.indexers(handle_invalid):
+        df = model.transform(df)
     df, _ = E.one_hot(df, ONEHOT_IN, ONEHOT_OUT)
     return E.assemble(df, FEATURE_COLS, "features")
 
 
 def categorized(df: DataFrame, lookups: Lookups | None = None,
-                fit_filter: Column | None = None) -> DataFrame:
-    cleaned, _ = clean(df, fit_filter)
+                fit_filter: Column | None = None,
+                learned: Learned | None = None) -> DataFrame:
+    cleaned, _ = clean(df, fit_filter, learned, lookups)
     return categorize(cleaned, lookups)
 
 
 def feature_frame(df: DataFrame, lookups: Lookups | None = None,
                   fit_filter: Column | None = None) -> DataFrame:
-    """Full chain from the raw survey-shaped table to ``features``."""
-    return encode(categorized(df, lookups, fit_filter), fit_filter,
+    """Full chain from the raw survey-shaped table to ``features``: one
+    learning pass, then a lazy chain (unseen categories of rows outside
+    the fit part get their own index instead of failing)."""
+    learned = learn(df, fit_filter, lookups)
+    return encode(categorized(df, lookups, fit_filter, learned), learned,
                   handle_invalid="keep" if fit_filter is not None
                   else "error")
 
