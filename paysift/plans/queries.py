@@ -54,10 +54,6 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
     return P.feature_frame(_comp(spark, sf))
 
 
-def _train_test(d: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return E.hash_split(d, KEY, 70)
-
-
 def _one_feature(d: DataFrame, cols: list[str], out: str) -> DataFrame:
     return E.assemble(d, cols, out)
 
