@@ -80,3 +80,35 @@ def test_flagship_learns_on_training_part_only(spark):
     from pyspark.sql import functions as F
     mean = train.agg(F.avg(F.col("skill_index").try_cast("double"))).first()[0]
     assert math.isclose(train_only.skill_mean, mean, rel_tol=1e-12)
+
+
+@pytest.mark.parametrize("train_only", [False, True])
+def test_one_pass_learning_equals_stepwise_fits(spark, train_only):
+    """learn() must give what fill_mode + Imputer + StringIndexer.fit give
+    when run one after another on the same rows."""
+    from paysift.functions import lookups as L
+    from paysift.operators import clean as C
+    from paysift.operators import encode as E
+    from paysift.plans import features as P
+    from paysift.sources.tables import comp_view
+    comp = comp_view(spark, SMALL)
+    flt = P.train_filter(70) if train_only else None
+    learned = P.learn(comp, flt)
+
+    d = C.require(C.drop_columns(comp, P.EMPTY_COLUMNS), P.LABEL)
+    fit = d.where(flt) if flt is not None else d
+    _, modes = C.fill_mode(fit, ["std_level"])
+    d = C.fill_constants(d, modes)
+    fit = d.where(flt) if flt is not None else d
+    _, imputer = C.impute_mean(fit, [P.SKILL])
+    d = C.fill_constants(d, {"gender": L.GENDER_FILL,
+                             "other_details": L.OTHER_DETAILS_FILL})
+    d = P.categorize(C.cap(d, P.LABEL, L.LABEL_CAP))
+    fit = d.where(flt) if flt is not None else d
+    _, model = E.index_columns(fit, P.INDEX_IN, P.INDEX_OUT)
+
+    assert learned.modes == modes
+    assert math.isclose(learned.skill_mean,
+                        imputer.surrogateDF.first()[0], rel_tol=1e-12)
+    assert [learned.labels[c] for c in P.INDEX_IN] == \
+        [list(x) for x in model.labelsArray]
