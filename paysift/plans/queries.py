@@ -367,6 +367,12 @@ def q36_cv_folds(spark, sf):
         "point", F.round("rmse", 4).alias("rmse"))
 
 
+def q36b_linear_grid(spark, sf):
+    """Best parameters of a cross-validated linear model (M16)."""
+    return _grid_best(spark, sf, "linear", {"regParam": [0.1, 0.5],
+                                            "elasticNetParam": [0.0]})
+
+
 # --------------------------------------------------------------------------
 # Trees, forests, boosting (Q37-Q41b)
 # --------------------------------------------------------------------------
