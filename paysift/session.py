@@ -46,8 +46,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in
     ``spark.checkpoint.dir``.
 
-    Read from the session; only when nothing is configured (local tests) a
-    scratch folder is created.  Never used in place of a configured one.
+    Read from the session; only in local mode with nothing configured
+    (tests) is a scratch folder created.  On a cluster a missing setting is
+    an error, never a machine-local folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -55,6 +56,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(
+                "spark.checkpoint.dir is not set: point it at a folder "
+                "shared by all executors (e.g. on HDFS or object storage)")
+        # local mode only (tests): the driver is the whole cluster
         configured = tempfile.mkdtemp(prefix="paysift-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()

@@ -130,3 +130,18 @@ def test_hot_value_counts_and_approx_distinct(spark):
     for c in ("s", "x"):
         assert abs(approx[c][0] - exact[c][0]) / exact[c][0] < 0.05
         assert approx[c][1] - approx[c][0] == 1
+
+
+def test_column_names_with_spaces_and_slashes(spark):
+    df = spark.createDataFrame(
+        [("100", None), (None, "x"), ("bad", "y")],
+        "`Base Salary (/year)` string, `Other Details` string")
+    prof = {r.column_name: r.n_null for r in PR.null_profile(df).collect()}
+    assert prof == {"Base Salary (/year)": 1, "Other Details": 1}
+    s = PR.summary(df, ["Base Salary (/year)"]).first()
+    assert (s.column_name, s.n, s.mean) == ("Base Salary (/year)", 1, 100.0)
+    out, _ = C.impute_mean(df, ["Base Salary (/year)"])
+    assert sorted(r[0] for r in out.select("`Base Salary (/year)_imputed`")
+                  .collect()) == [100.0, 100.0, 100.0]
+    vc = PR.value_counts(df, ["Other Details"]).collect()
+    assert {(r.value, r.n) for r in vc} == {("x", 1), ("y", 1), (None, 0)}
