@@ -76,16 +76,23 @@ def schema_profile(df: DataFrame, cols: Sequence[str] | None = None
         (F.col("n_rows") - F.col("n_null")).alias("n_non_null"))
 
 
-def null_rate_by_bucket(df: DataFrame, key: str, width: int,
+def null_rate_by_bucket(df: DataFrame, key: str, buckets: int = 20,
                         cols: Sequence[str] | None = None) -> DataFrame:
-    """Null mask overview: rows grouped into key ranges of ``width``.
+    """Null mask overview: rows grouped into ``buckets`` equal ranges of an
+    integer key, null count per column per range.
 
-    (bucket, column_name, n_null, n) - the data behind a null heatmap,
-    computed by one grouped aggregate (partial aggregation before the
-    shuffle, so only buckets × columns counters move).
+    (bucket, column_name, n_null, n) - the data behind a null heatmap, at
+    most buckets × columns rows whatever the table size.  One small
+    aggregate finds the key range (two scalars reach the driver); one
+    grouped aggregate counts, with partial counts before the shuffle.
     """
     cols = [c for c in _cols(df, cols) if c != key]
-    bucket = F.floor(col_of(key) / F.lit(width)).cast("bigint")
+    lo, hi = df.agg(F.min(col_of(key)), F.max(col_of(key))).first()
+    if lo is None:
+        lo, hi = 0, 0
+    span = float(hi - lo + 1)
+    bucket = F.floor((col_of(key) - F.lit(lo)) * F.lit(buckets)
+                     / F.lit(span)).cast("bigint")
     agg = (df.groupBy(bucket.alias("bucket"))
            .agg(F.count(F.lit(1)).alias("n"),
                 *[F.count_if(col_of(c).isNull()).alias(c) for c in cols]))

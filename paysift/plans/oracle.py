@@ -267,10 +267,12 @@ def build() -> dict[str, str]:
         f"count(*) AS n_rows FROM comp" for c in COMP_COLS)
     q["q08_require_label"] = base + \
         "SELECT count(*) AS n FROM comp WHERE total_comp IS NOT NULL"
-    q["q09_null_by_bucket"] = base + _union(
-        f"SELECT CAST(rec_id // 1000 AS BIGINT) AS bucket, "
-        f"'{c}' AS column_name, count(*) - count({c}) AS n_null, "
-        f"count(*) AS n FROM comp GROUP BY 1" for c in COMP_COLS[1:])
+    q["q09_null_by_bucket"] = _with(COMP, """r AS (SELECT min(rec_id) AS lo,
+  CAST(max(rec_id) - min(rec_id) + 1 AS DOUBLE) AS span FROM comp),
+b AS (SELECT comp.*, CAST(floor((rec_id - lo) * 20 / span) AS BIGINT)
+  AS bucket FROM comp, r)""") + _union(
+        f"SELECT bucket, '{c}' AS column_name, count(*) - count({c}) AS "
+        f"n_null, count(*) AS n FROM b GROUP BY 1" for c in COMP_COLS[1:])
     q["q10_fill_constants"] = base + f"""SELECT
   coalesce(gender, {_q(L.GENDER_FILL)}) AS gender,
   coalesce(other_details, {_q(L.OTHER_DETAILS_FILL)}) AS other_details,

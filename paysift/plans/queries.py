@@ -101,7 +101,7 @@ def q08_require_label(spark, sf):
 
 
 def q09_null_by_bucket(spark, sf):
-    return PR.null_rate_by_bucket(_comp(spark, sf), KEY, 1000)
+    return PR.null_rate_by_bucket(_comp(spark, sf), KEY, 20)
 
 
 def q10_fill_constants(spark, sf):

@@ -100,8 +100,11 @@ def test_null_rate_by_bucket(spark):
     df = spark.createDataFrame([(i, None if i % 2 else "x") for i in range(6)],
                                "id long, c string")
     got = sorted(tuple(r) for r in
-                 PR.null_rate_by_bucket(df, "id", 3).collect())
+                 PR.null_rate_by_bucket(df, "id", 2).collect())
     assert got == [(0, "c", 1, 3), (1, "c", 2, 3)]
+    # the row count per bucket is bounded by the bucket count, not the data
+    assert PR.null_rate_by_bucket(spark.range(10_000).withColumn(
+        "c", F.lit(None).cast("string")), "id", 7).count() == 7
 
 
 def test_schema_profile(spark):
