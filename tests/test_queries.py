@@ -112,3 +112,22 @@ def test_one_pass_learning_equals_stepwise_fits(spark, train_only):
                         imputer.surrogateDF.first()[0], rel_tol=1e-12)
     assert [learned.labels[c] for c in P.INDEX_IN] == \
         [list(x) for x in model.labelsArray]
+
+
+def test_original_analysis_report(spark):
+    from paysift.plans import report, tuning
+    grids = {"linear": {"regParam": [0.1]}, "tree": {"maxDepth": [2]},
+             "forest": {"numTrees": [3], "maxDepth": [2]},
+             "boosting": {"maxIter": [2], "maxDepth": [2]}}
+    out = report.original_analysis(spark, SMALL, grids=grids, folds=2)
+    assert out["row_count"].first().n == 1500
+    nulls = {r.column_name: r.n_null for r in out["nulls_clean"].collect()}
+    assert all(nulls[c] == 0 for c in ("std_level", "gender",
+                                        "skill_index_imputed"))
+    stages = {(r.model, r.stage) for r in out["leaderboard"].collect()}
+    assert ("linear", "tvs") in stages and ("boosting", "cv") in stages
+    assert len(stages) == 9
+    assert {r.model for r in out["best_params"].collect()} == {
+        "linear", "linear_tvs", "tree", "forest", "boosting"}
+    assert out["correlation_rank"].count() == 10
+    assert set(tuning.FULL_GRIDS) == set(grids)
