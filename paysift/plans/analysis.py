@@ -31,7 +31,8 @@ def model_frames(spark: SparkSession, sf_dir: str, train_percent: int = 70,
     re-encoding), and a lost executor costs a re-read, not a recompute.
     """
     fit_filter = P.train_filter(train_percent) if fit_on_train else None
-    feats = P.feature_frame(comp_view(spark, sf_dir), fit_filter=fit_filter)
+    comp = comp_view(spark, sf_dir, spread_input=True)
+    feats = P.feature_frame(comp, fit_filter=fit_filter)
     mi = P.model_input(feats)
     if checkpoint:
         return E.materialized_split(mi, P.KEY, train_percent)

@@ -41,17 +41,20 @@ def _comp(spark: SparkSession, sf: str) -> DataFrame:
     return comp_view(spark, sf)
 
 
-def _labeled_numeric(spark: SparkSession, sf: str) -> DataFrame:
+def _labeled_numeric(spark: SparkSession, sf: str,
+                     for_fitting: bool = False) -> DataFrame:
     """Rows kept by cleaning (label present and below the cap), numbers
-    cast; the same rows as the full cleaning, without the fills."""
-    d = C.cap(C.require(_comp(spark, sf), LABEL), LABEL, L.LABEL_CAP)
+    cast; the same rows as the full cleaning, without the fills.  Inputs
+    of model fits are spread (see ``sources.tables.spread``)."""
+    d = C.cap(C.require(comp_view(spark, sf, spread_input=for_fitting),
+                        LABEL), LABEL, L.LABEL_CAP)
     return C.cast_double(d, ["years_exp", "years_at", LABEL])
 
 
 def _features(spark: SparkSession, sf: str) -> DataFrame:
     """The full feature frame; learned values from all cleaned rows, as in
     the original analysis."""
-    return P.feature_frame(_comp(spark, sf))
+    return P.feature_frame(comp_view(spark, sf, spread_input=True))
 
 
 def _one_feature(d: DataFrame, cols: list[str], out: str) -> DataFrame:
@@ -271,7 +274,7 @@ def q29_hash_split(spark, sf):
 # --------------------------------------------------------------------------
 
 def _linear_models(spark, sf):
-    d = _labeled_numeric(spark, sf)
+    d = _labeled_numeric(spark, sf, for_fitting=True)
     train, test = E.materialized_split(d, KEY)
     one = TR.linear(LABEL, "x").fit(_one_feature(train, ["years_exp"], "x"))
     two = TR.linear(LABEL, "x").fit(
@@ -356,7 +359,8 @@ def q35_train_validation(spark, sf):
 
 
 def q36_cv_folds(spark, sf):
-    train, _ = E.materialized_split(_labeled_numeric(spark, sf), KEY)
+    train, _ = E.materialized_split(
+        _labeled_numeric(spark, sf, for_fitting=True), KEY)
     t = _one_feature(train, ["years_exp"], "x").withColumn(
         "fold", (F.col(KEY) % 5).cast("int"))
     lr = TR.linear(LABEL, "x", regParam=0.0)
@@ -378,7 +382,8 @@ def q36b_linear_grid(spark, sf):
 # --------------------------------------------------------------------------
 
 def _stump_input(spark, sf) -> DataFrame:
-    train, _ = E.materialized_split(_labeled_numeric(spark, sf), KEY)
+    train, _ = E.materialized_split(
+        _labeled_numeric(spark, sf, for_fitting=True), KEY)
     return _one_feature(train, ["years_exp"], "x")
 
 

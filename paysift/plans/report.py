@@ -30,7 +30,7 @@ def original_analysis(spark: SparkSession, sf_dir: str,
                       top_k: int = L.TOP_K) -> dict[str, DataFrame]:
     """Run the whole analysis; ``fit_on_train=False`` learns fills and
     indexes on all rows like the original, True on the training part."""
-    comp = comp_view(spark, sf_dir)
+    comp = comp_view(spark, sf_dir, spread_input=True)
     out: dict[str, DataFrame] = {
         "row_count": PR.row_count(comp),
         "schema": PR.schema_profile(comp),

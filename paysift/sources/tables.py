@@ -69,7 +69,8 @@ def _mod(c: Column, m: int) -> Column:
     return c % F.lit(m)
 
 
-def comp_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+def comp_view(spark: SparkSession, sf_dir: str,
+              spread_input: bool = False) -> DataFrame:
     """The survey-shaped table built from ``orders`` and ``customer``.
 
     One row per order.  Nulls, malformed numbers, outliers and locations of
@@ -78,10 +79,15 @@ def comp_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     two customer columns are read; the join is planned by Spark (broadcast
     only when the customer side is measured small, else sort-merge with AQE
     skew splitting).
+
+    ``spread_input`` hash-spreads a scan with too few partitions (see
+    ``spread``); feature encoding and model fitting ask for it, since their
+    per-row work dwarfs a shuffle, while light aggregations do not.
     """
-    o = spread(load_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"),
-        "o_orderkey")
+    o = load_table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    if spread_input:
+        o = spread(o, "o_orderkey")
     c = load_table(spark, sf_dir, "customer").select("c_custkey",
                                                      "c_mktsegment")
     j = o.join(c, o["o_custkey"] == c["c_custkey"], "inner")
