@@ -14,8 +14,9 @@ TABLES = ["orders", "customer"]
 
 
 def _norm(v):
+    # exact comparison: no tolerance beyond the rounding the queries do
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else repr(round(v, 9))
+        return "nan" if math.isnan(v) else repr(v + 0.0)
     return repr(v)
 
 
