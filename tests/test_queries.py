@@ -132,3 +132,13 @@ def test_original_analysis_report(spark):
         "linear", "linear_tvs", "tree", "forest", "boosting"}
     assert out["correlation_rank"].count() == 10
     assert set(tuning.FULL_GRIDS) == set(grids)
+
+
+def test_label_correlations_bounded_on_features(spark):
+    rows = se.queries()["q45_label_correlation"](spark, SMALL).collect()
+    vals = [r.corr for r in rows if r.corr is not None]
+    assert len(vals) == len(rows) > 20
+    assert all(-1.0 <= v <= 1.0 for v in vals)
+    # the planted effects dominate: years of experience ranks first
+    top = se.queries()["q46_corr_ranked"](spark, SMALL).first()
+    assert (top.rank, top.name) == (1, "years_exp")
