@@ -59,8 +59,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     gzip file) would otherwise put all downstream work in one task.
     Hashing by a unique key spreads rows evenly and deterministically.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect)
+        return df
+    if current >= target:
         return df
     return df.repartition(target, F.col(key))
 
