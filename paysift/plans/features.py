@@ -95,8 +95,13 @@ def _category_exprs(lk: Lookups) -> dict[str, Column]:
     }
 
 
+# Upper bound on (column, value) pairs brought to the driver by ``learn``.
+MAX_LABELS = 1_000_000
+
+
 def learn(df: DataFrame, fit_filter: Column | None = None,
-          lookups: Lookups | None = None) -> Learned:
+          lookups: Lookups | None = None,
+          max_labels: int = MAX_LABELS) -> Learned:
     """Learn mode, mean and category labels in ONE aggregation pass.
 
     The original fits three things one after another (mode of the level on
@@ -107,7 +112,8 @@ def learn(df: DataFrame, fit_filter: Column | None = None,
     Partial aggregation runs before the shuffle and only (column, value)
     counters reach the driver - the same label lists a fitted StringIndexer
     would hold.  The level's null count is added to its mode, exactly as
-    filling before indexing would.
+    filling before indexing would.  More than ``max_labels`` pairs is an
+    error (bucket such a column first): the driver-side size is bounded.
     """
     lk = lookups or Lookups()
     d = C.require(df, LABEL)
@@ -127,7 +133,10 @@ def learn(df: DataFrame, fit_filter: Column | None = None,
         F.count(F.lit(1)).alias("n_all"),
         F.count_if(F.col("kept")).alias("n_kept"),
         F.sum("x").alias("sx"), F.count("x").alias("nx"))
-    rows = counts.collect()
+    rows = counts.limit(max_labels + 1).collect()
+    if len(rows) > max_labels:
+        raise ValueError(f"more than {max_labels} distinct categories to "
+                         "index; bucket the columns first")
 
     sx = sum(r.sx or 0.0 for r in rows if r.column_name == INDEX_IN[0])
     nx = sum(r.nx for r in rows if r.column_name == INDEX_IN[0])

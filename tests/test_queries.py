@@ -142,3 +142,10 @@ def test_label_correlations_bounded_on_features(spark):
     # the planted effects dominate: years of experience ranks first
     top = se.queries()["q46_corr_ranked"](spark, SMALL).first()
     assert (top.rank, top.name) == (1, "years_exp")
+
+
+def test_learn_refuses_unbounded_labels(spark):
+    from paysift.plans import features as P
+    from paysift.sources.tables import comp_view
+    with pytest.raises(ValueError):
+        P.learn(comp_view(spark, SMALL), max_labels=5)
