@@ -63,13 +63,25 @@ def label_correlation(df: DataFrame, vec: str, label: str) -> DataFrame:
     return one.select(F.inline("c"))
 
 
-def correlation_matrix(df: DataFrame, vec: str) -> DataFrame:
+# Widest vector whose p×p correlation matrix is brought to the driver.
+MAX_MATRIX_WIDTH = 4096
+
+
+def correlation_matrix(df: DataFrame, vec: str,
+                       max_width: int = MAX_MATRIX_WIDTH) -> DataFrame:
     """Full Pearson matrix of a vector column as rows (i, j, corr).
 
     ``ml.stat.Correlation`` aggregates a p×p Gramian (bounded by the vector
-    width); undefined entries (pairs with a constant slot) are null, not
-    NaN.  Spark keeps the diagonal at 1.0 even for a constant slot.
+    width, checked against ``max_width`` before any work); undefined
+    entries (pairs with a constant slot) are null, not NaN.  Spark keeps
+    the diagonal at 1.0 even for a constant slot.  For the label's row
+    alone use ``label_correlation`` (p values, not p²).
     """
+    width = len(slot_names(df, vec))
+    if width > max_width:
+        raise ValueError(f"vector width {width} > {max_width}: the p×p "
+                         "matrix would not fit the driver; use "
+                         "label_correlation for one row")
     m = Correlation.corr(df, vec).first()[0].toArray()
     p = m.shape[0]
     rows = [(i, j, None if m[i, j] != m[i, j] else float(m[i, j]))

@@ -174,3 +174,11 @@ def test_cast_all_except_keeps_metadata(spark):
     assert dict(out.dtypes) == {"n": "double", "b": "string",
                                 "k_idx": "double"}
     assert "ml_attr" in out.schema["k_idx"].metadata
+
+
+def test_correlation_matrix_width_guard(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, 1.0)], "a double, b double")
+    df = E.assemble(df, ["a", "b"], "v")
+    with pytest.raises(ValueError):
+        R.correlation_matrix(df, "v", max_width=1)
+    assert R.correlation_matrix(df, "v").count() == 4
