@@ -8,7 +8,10 @@ parameters, and leaf tables.  Fold assignment can come from a column
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import vector_to_array
@@ -16,7 +19,7 @@ from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor,
                                    LinearRegression, RandomForestRegressor)
 from pyspark.ml.tuning import (CrossValidator, ParamGridBuilder,
                                TrainValidationSplit)
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,6 +81,30 @@ def estimator(family: str, label: str, train: DataFrame | None = None,
     return FAMILIES[family](label, features, **params)
 
 
+def run_concurrently(tasks: Mapping[str, Callable[[], object]],
+                     parallelism: int = 4,
+                     spark: SparkSession | None = None) -> dict[str, object]:
+    """Run independent fits from several driver threads, as CrossValidator
+    does for grid points: Spark schedules their jobs side by side, so
+    small-job overhead of one learner overlaps work of another.  Results do
+    not depend on the order (every learner is seeded)."""
+    if parallelism <= 1 or len(tasks) <= 1:
+        return {k: f() for k, f in tasks.items()}
+    spark = spark or SparkSession.getActiveSession()
+    wrap = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(max_workers=min(parallelism, len(tasks))) as ex:
+        futures = {k: ex.submit(wrap(f)) for k, f in tasks.items()}
+        return {k: fut.result() for k, fut in futures.items()}
+
+
+def fit_many(estimators: Mapping[str, object], train: DataFrame,
+             parallelism: int = 4) -> dict[str, object]:
+    """Fit several estimators on the same frame concurrently."""
+    return run_concurrently({k: (lambda e=e: e.fit(train))
+                             for k, e in estimators.items()}, parallelism,
+                            train.sparkSession)
+
+
 def score(model, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Predictions next to the kept columns (a lazy projection)."""
     return model.transform(df).select(*keep, "prediction")

@@ -44,8 +44,8 @@ def run(spark: SparkSession, sf_dir: str,
         families: Sequence[str] = FAMILIES, **kw) -> DataFrame:
     """Leaderboard (model, metric, value, n_undefined) on the test part."""
     train, test = model_frames(spark, sf_dir, **kw)
-    scored = {}
-    for fam in families:
-        model = TR.estimator(fam, P.LABEL, train).fit(train)
-        scored[fam] = TR.score(model, test, keep=[P.LABEL])
+    models = TR.fit_many({fam: TR.estimator(fam, P.LABEL, train)
+                          for fam in families}, train)
+    scored = {fam: TR.score(m, test, keep=[P.LABEL])
+              for fam, m in models.items()}
     return M.leaderboard(scored, P.LABEL)

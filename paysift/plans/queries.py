@@ -325,10 +325,10 @@ def _model_frames(spark, sf):
 
 def q34_leaderboard(spark, sf):
     train, test = _model_frames(spark, sf)
-    scored = {}
-    for fam in ("linear", "tree", "forest", "boosting"):
-        model = TR.estimator(fam, LABEL, train).fit(train)
-        scored[fam] = TR.score(model, test, keep=[LABEL])
+    models = TR.fit_many({fam: TR.estimator(fam, LABEL, train) for fam in
+                          ("linear", "tree", "forest", "boosting")}, train)
+    scored = {fam: TR.score(m, test, keep=[LABEL])
+              for fam, m in models.items()}
     lb = M.leaderboard(scored, LABEL)
     return lb.select("model", "metric", F.round("value", 6).alias("value"))
 

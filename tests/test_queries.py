@@ -149,3 +149,20 @@ def test_learn_refuses_unbounded_labels(spark):
     from paysift.sources.tables import comp_view
     with pytest.raises(ValueError):
         P.learn(comp_view(spark, SMALL), max_labels=5)
+
+
+def test_concurrent_fits_equal_sequential(spark):
+    from paysift.operators import metrics as M
+    from paysift.operators import train as TR
+    from paysift.plans.analysis import model_frames
+    train, test = model_frames(spark, SMALL)
+    ests = {f: TR.estimator(f, "total_comp", train)
+            for f in ("tree", "forest", "boosting")}
+    seq = TR.fit_many(ests, train, parallelism=1)
+    par = TR.fit_many(ests, train, parallelism=3)
+
+    def board(models):
+        return sorted(tuple(r) for r in M.leaderboard(
+            {k: TR.score(m, test, keep=["total_comp"])
+             for k, m in models.items()}, "total_comp").collect())
+    assert board(seq) == board(par)
