@@ -99,22 +99,12 @@ def _category_exprs(lk: Lookups) -> dict[str, Column]:
 MAX_LABELS = 1_000_000
 
 
-def learn(df: DataFrame, fit_filter: Column | None = None,
-          lookups: Lookups | None = None,
-          max_labels: int = MAX_LABELS) -> Learned:
-    """Learn mode, mean and category labels in ONE aggregation pass.
-
-    The original fits three things one after another (mode of the level on
-    labelled rows, mean of skill on labelled rows, indexers on the capped
-    rows), each a full pass.  Here every labelled row is stacked into
-    (column, value) pairs, tagged with whether it survives the cap, and
-    counted once; the skill sum and count ride on the first stacked pair.
-    Partial aggregation runs before the shuffle and only (column, value)
-    counters reach the driver - the same label lists a fitted StringIndexer
-    would hold.  The level's null count is added to its mode, exactly as
-    filling before indexing would.  More than ``max_labels`` pairs is an
-    error (bucket such a column first): the driver-side size is bounded.
-    """
+def learning_counts(df: DataFrame, fit_filter: Column | None = None,
+                    lookups: Lookups | None = None) -> DataFrame:
+    """The single aggregate behind ``learn``: per (column, value) of the
+    indexed columns, rows among labelled rows (``n_all``), rows that
+    survive the cap (``n_kept``), and the skill sum and count (carried by
+    the first stacked column only, so each row counts once)."""
     lk = lookups or Lookups()
     d = C.require(df, LABEL)
     if fit_filter is not None:
@@ -129,10 +119,29 @@ def learn(df: DataFrame, fit_filter: Column | None = None,
                        x if i == 0 else F.lit(None).cast("double")]
     pairs = d.select(kept.alias("kept"), F.stack(
         F.lit(len(exprs)), *stack_args).alias("column_name", "value", "x"))
-    counts = pairs.groupBy("column_name", "value").agg(
+    return pairs.groupBy("column_name", "value").agg(
         F.count(F.lit(1)).alias("n_all"),
         F.count_if(F.col("kept")).alias("n_kept"),
         F.sum("x").alias("sx"), F.count("x").alias("nx"))
+
+
+def learn(df: DataFrame, fit_filter: Column | None = None,
+          lookups: Lookups | None = None,
+          max_labels: int = MAX_LABELS) -> Learned:
+    """Learn mode, mean and category labels in ONE aggregation pass.
+
+    The original fits three things one after another (mode of the level on
+    labelled rows, mean of skill on labelled rows, indexers on the capped
+    rows), each a full pass.  Here every labelled row is stacked into
+    (column, value) pairs, tagged with whether it survives the cap, and
+    counted once; the skill sum and count ride on the first stacked pair.
+    Partial aggregation runs before the shuffle and only (column, value)
+    counters reach the driver - the same label lists a fitted StringIndexer
+    would hold.  The level's null count is added to its mode, exactly as
+    filling before indexing would.  More than ``max_labels`` pairs is an
+    error (bucket such a column first): the driver-side size is bounded.
+    """
+    counts = learning_counts(df, fit_filter, lookups)
     rows = counts.limit(max_labels + 1).collect()
     if len(rows) > max_labels:
         raise ValueError(f"more than {max_labels} distinct categories to "

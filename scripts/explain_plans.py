@@ -38,6 +38,15 @@ def main(argv):
         out += [f"## {name}", "", why + ".", "", "```"]
         out += [line[:200] for line in plan.splitlines()]
         out += ["```", ""]
+    from paysift.plans.features import learning_counts
+    from paysift.sources.tables import comp_view
+    df = learning_counts(comp_view(spark, sf, spread_input=True))
+    out += ["## learning pass (plans.features.learning_counts)", "",
+            "mode, skill mean and the labels of six indexed columns in one "
+            "stacked, partially aggregated pass.", "", "```"]
+    out += [line[:200] for line in
+            df._jdf.queryExecution().executedPlan().toString().splitlines()]
+    out += ["```", ""]
     path = os.path.join(ROOT, "docs", "PLANS.md")
     with open(path, "w") as f:
         f.write("\n".join(out))
