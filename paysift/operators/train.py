@@ -3,7 +3,9 @@
 The four regression families of the original (linear, decision tree,
 random forest, gradient boosting), train/validation and k-fold tuning, best
 parameters, and leaf tables.  Fold assignment can come from a column
-(``foldCol``) so tuning results do not depend on the partitioning.
+(``foldCol``) so tuning results do not depend on the partitioning, and
+independent fits can run side by side from driver threads
+(``run_concurrently``).
 """
 
 from __future__ import annotations
