@@ -5,9 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
+from paysift.llm.byte_gru import identify_languages
+from paysift.llm.cotrain import quality_scores
+from paysift.llm.embed_passes import near_vectors
+from paysift.llm.fm_dedup import repeated_starts, strip_repeats
+from paysift.llm.hilbert_pack import pack_along_curve
 from paysift.llm.hyper_shard import shuffle_into_shards
 from paysift.llm.llr_quality import llr_quality
+from paysift.llm.minhash_forest import near_duplicates
+from paysift.llm.stash import shared_path
 from paysift.llm.systematic_mix import mix_sources
+from paysift.llm.token_shards import read_shards, write_shards
 from paysift.llm.words import n_words
 
 
@@ -15,6 +25,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op2_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2)
+
+
+def op3_pack_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_along_curve(_table(spark, sf_dir, "documents"),
+                            public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = llr_quality(_table(spark, sf_dir, "documents"),
                       _table(spark, sf_dir, "labels"))
@@ -23,6 +46,10 @@ def op4_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "kept", "llr")
 
 
+def op5_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
 def op6_mix_systematic(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "documents").select(
         "doc_id", "source", n_words(F.col("text")).alias("size"))
@@ -31,6 +58,11 @@ def op6_mix_systematic(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op7_quality_cotrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"),
+                          _table(spark, sf_dir, "labels"))
+
+
 def op8_shard_hypergeometric(spark: SparkSession,
                              sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -42,10 +74,29 @@ def op8_shard_hypergeometric(spark: SparkSession,
         "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "token-shards")
+    write_shards(_table(spark, sf_dir, "documents"), path,
+                 public_tokenizers.path("word_bpe_49k.json"))
+    return read_shards(spark, path)
+
+
+def op10_substring_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return strip_repeats(docs, repeated_starts(docs), digest=True)
+
+
 QUERIES = {
+    "op1_embedding_passes": op1_embedding_passes,
+    "op2_minhash_forest": op2_minhash_forest,
+    "op3_pack_hilbert": op3_pack_hilbert,
     "op4_quality_llr": op4_quality_llr,
+    "op5_language_gru": op5_language_gru,
     "op6_mix_systematic": op6_mix_systematic,
+    "op7_quality_cotrain": op7_quality_cotrain,
     "op8_shard_hypergeometric": op8_shard_hypergeometric,
+    "op9_wavelet_tokens": op9_wavelet_tokens,
+    "op10_substring_fm": op10_substring_fm,
 }
 
 #: DuckDB SQL of the same rows, where SQL can express them.
