@@ -114,10 +114,6 @@ def hash_percent(key: str | Column) -> Column:
     return (h.cast("bigint") % 100).cast("int")
 
 
-def null_count(c: str | Column) -> Column:
-    return F.count_if(col_of(c).isNull())
-
-
 def _regex_quote(s: str) -> str:
     special = set(".^$*+?{}[]\\|()")
     return "".join("\\" + ch if ch in special else ch for ch in s)

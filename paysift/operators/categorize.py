@@ -17,9 +17,6 @@ from paysift.functions import lookups as L
 from paysift.functions.exprs import (col_of, degree_flag, keep_or_other,
                                      ladder, location_region)
 
-# Top-k tables up to this many keys are broadcast; k is the proven bound.
-BROADCAST_MAX_KEYS = 100_000
-
 
 def keep_list(df: DataFrame, c: str, keep: Sequence[str], out: str,
               other: str = L.OTHER) -> DataFrame:
@@ -58,20 +55,31 @@ def top_k_values(df: DataFrame, c: str, k: int) -> DataFrame:
 
 
 def top_k_or_other(df: DataFrame, c: str, k: int, out: str,
-                   other: str = L.OTHER,
-                   broadcast_max: int = BROADCAST_MAX_KEYS) -> DataFrame:
+                   other: str = L.OTHER) -> DataFrame:
     """Keep the k most frequent values, the rest (and null) -> ``other``.
 
-    The data-driven form of a typed-in keep-list.  The top-k table has at
-    most k rows, so it is broadcast while k is at most ``broadcast_max``;
-    beyond that it is joined by a shuffle join (AQE splits a hot key's
-    partition on the large side).
+    The data-driven form of a typed-in keep-list.  Spark joins the top-k
+    table by its measured size (broadcast when small, else a shuffle join
+    whose hot partitions AQE splits); null rows do not take part.
     """
     top = top_k_values(df, c, k).select(F.col("key").alias("__key"),
                                         F.lit(True).alias("__keep"))
-    if k <= broadcast_max:
-        top = F.broadcast(top)
-    joined = df.join(top, col_of(c) == F.col("__key"), "left")
-    return joined.withColumn(
+    present = df.where(col_of(c).isNotNull())
+    joined = present.join(top, col_of(c) == F.col("__key"), "left")
+    named = joined.withColumn(
         out, F.when(F.col("__keep"), col_of(c)).otherwise(F.lit(other))
     ).drop("__key", "__keep")
+    return named.unionByName(
+        df.where(col_of(c).isNull()).withColumn(out, F.lit(other)))
+
+
+def top_k_bucket_counts(counts: DataFrame, value: str, n: str, k: int,
+                        out: str, other: str = L.OTHER) -> DataFrame:
+    """(out, n) of ``top_k_or_other`` from counts per value already at hand:
+    no further pass over the data."""
+    top = counts.where(col_of(value).isNotNull()) \
+        .orderBy(col_of(n).desc(), col_of(value)).limit(k)
+    return counts.join(top.select(col_of(value).alias("__key")),
+                       col_of(value) == F.col("__key"), "left") \
+        .groupBy(F.coalesce("__key", F.lit(other)).alias(out)) \
+        .agg(F.sum(n).alias("n"))

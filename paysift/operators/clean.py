@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml.feature import Imputer, ImputerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paysift.functions.exprs import col_of, safe_double
 from paysift.operators.profile import value_counts
@@ -65,9 +66,20 @@ def cast_all_double_except(df: DataFrame, exclude: Sequence[str]) -> DataFrame:
 
 
 def fill_constants(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
-    """Replace nulls with per-column constants (``na.fill`` semantics:
-    columns of another type are left alone)."""
-    return df.na.fill(dict(values))
+    """Replace nulls with per-column constants; columns whose type does not
+    take the constant (a text for a number, say) are left alone, and so are
+    names that do not exist."""
+    def takes(kind: T.DataType, value: object) -> bool:
+        if isinstance(value, bool):
+            return isinstance(kind, T.BooleanType)
+        if isinstance(value, str):
+            return isinstance(kind, T.StringType)
+        if isinstance(value, int):
+            return isinstance(kind, T.NumericType)
+        return isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType))
+    fits = {c: v for c, v in values.items()
+            if c in df.columns and takes(df.schema[c].dataType, v)}
+    return df.na.fill(fits) if fits else df
 
 
 def modes(df: DataFrame, cols: Sequence[str]) -> dict[str, str | None]:

@@ -10,16 +10,24 @@ hard-coded offsets.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import (OneHotEncoder, OneHotEncoderModel,
                                 StringIndexer, StringIndexerModel,
                                 VectorAssembler)
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import unwrap_udt
 
+from paysift.functions import lookups as L
 from paysift.functions.exprs import col_of, hash_percent
+from paysift.session import shared_path
+
+# Columns of a written model input: the part, and the fold of training rows.
+PART, FOLD = "__part", "__fold"
 
 
 def index_columns(df: DataFrame, cols: Sequence[str], outs: Sequence[str],
@@ -71,6 +79,11 @@ def hash_part(key: str, train_percent: int = 70):
     return hash_percent(key) < F.lit(train_percent)
 
 
+def fold_column(key: str, folds: int) -> Column:
+    """Fold number 0..folds-1 from a hash of the key."""
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(folds)).cast("int")
+
+
 def hash_split(df: DataFrame, key: str, train_percent: int = 70
                ) -> tuple[DataFrame, DataFrame]:
     """Deterministic split by a key hash: same rows on any cluster layout,
@@ -79,15 +92,34 @@ def hash_split(df: DataFrame, key: str, train_percent: int = 70
     return df.where(part), df.where(~part)
 
 
-def materialized_split(df: DataFrame, key: str, train_percent: int = 70
+def materialized_split(df: DataFrame, key: str, train_percent: int = 70,
+                       folds: int = L.NUM_FOLDS,
+                       partitions: int | None = None
                        ) -> tuple[DataFrame, DataFrame]:
-    """Hash split of a frame that is written once to the checkpoint folder
-    with its part flag, so later passes filter on a stored boolean instead
-    of hashing every row again.  Returns (train, test)."""
-    from paysift.session import materialize
-    m = materialize(df.withColumn("__train", hash_part(key, train_percent)))
-    flag = F.col("__train")
-    return m.where(flag).drop("__train"), m.where(~flag).drop("__train")
+    """Hash split of a narrow frame that is written once, as Parquet below
+    the shared checkpoint folder, by part and fold.  Returns (train, test);
+    train carries its fold number in ``FOLD``.
+
+    Every later pass reads only the columns and parts it asks for.  The
+    rows' layout depends on the key and ``partitions`` (default: the shuffle
+    partitions) alone, whatever the source's partitions or the number of
+    cores: rows are dealt by part, fold and key and sorted by key.
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64(col_of(key)), F.lit(max(1, n // (2 * folds))))
+    path = shared_path(spark, "model-input")
+    (df.withColumns({PART: F.when(hash_part(key, train_percent), "train")
+                     .otherwise("test"), FOLD: fold_column(key, folds)})
+     .repartition(n, PART, FOLD, salt)
+     .sortWithinPartitions(PART, FOLD, key)
+     .write.partitionBy(PART, FOLD).parquet(path))
+    schema = T.StructType(df.schema.fields + [
+        T.StructField(PART, T.StringType()),
+        T.StructField(FOLD, T.IntegerType())])
+    m = spark.read.schema(schema).parquet(path)
+    return (m.where(F.col(PART) == "train").drop(PART),
+            m.where(F.col(PART) == "test").drop(PART, FOLD))
 
 
 def slot_names(df: DataFrame, vec: str) -> list[tuple[int, str]]:
@@ -109,42 +141,41 @@ def slot_table(df: DataFrame, vec: str) -> DataFrame:
                                            "idx int, name string")
 
 
-def slot_offsets(df: DataFrame, vec: str, parts: Sequence[str]
-                 ) -> dict[str, int]:
-    """First slot of each assembled input column, from the metadata names.
+def slot_offsets(df: DataFrame, inputs: Sequence[str]) -> dict[str, int]:
+    """First slot of each assembled input column: the widths of the inputs
+    before it, from their own metadata (a scalar has one slot)."""
+    offsets, at = {}, 0
+    for c in inputs:
+        offsets[c] = at
+        if isinstance(df.schema[c].dataType, VectorUDT):
+            width = len(slot_names(df, c))
+            if not width:
+                raise ValueError(f"{c} has no slot metadata")
+            at += width
+        else:
+            at += 1
+    return offsets
 
-    VectorAssembler names slots ``<input>_<label>`` for vector inputs and
-    ``<input>`` for scalars, in input order.
-    """
-    names = slot_names(df, vec)
-    offsets: dict[str, int] = {}
-    for part in sorted(parts, key=len, reverse=True):
-        for idx, name in names:
-            if (name == part or name.startswith(part + "_")) and all(
-                    idx != o for o in offsets.values()):
-                offsets[part] = idx
-                break
-    return {p: offsets[p] for p in parts if p in offsets}
-
-
-def explode_vector(df: DataFrame, key: str, vec: str,
-                   nonzero_only: bool = True) -> DataFrame:
-    """Vector column to rows (key, slot, val); zeros skipped by default."""
-    out = df.select(col_of(key), F.posexplode(vector_to_array(col_of(vec)))
-                    .alias("slot", "val"))
-    return out.where(F.col("val") != 0.0) if nonzero_only else out
-
-
-def code_table(df: DataFrame, pairs: Sequence[tuple[str, str, int]]
-               ) -> DataFrame:
-    """Distinct (column_name, value, idx) for (value col, index col, offset)
-    triples, read from the encoded data and united by name.
-
-    One stacked projection and one distinct: partial de-duplication happens
-    before the shuffle, so only distinct codes move.
+
+def explode_vector(df: DataFrame, key: str, vec: str) -> DataFrame:
+    """Vector column to rows (key, slot, val) of its non-zero slots.
+
+    A sparse vector's stored indices and values are exploded as they are; a
+    dense one's values by position.
     """
-    stacked = df.select(F.stack(F.lit(len(pairs)), *[
-        x for v, i, off in pairs for x in
-        (F.lit(v), col_of(v).cast("string"), col_of(i) + F.lit(float(off)))]
-    ).alias("column_name", "value", "idx"))
-    return stacked.distinct()
+    v = unwrap_udt(col_of(vec))
+    places = F.when(v["type"] == 0, v["indices"]).otherwise(
+        F.transform(v["values"], lambda x, i: i))
+    pairs = F.arrays_zip(places.alias("slot"), v["values"].alias("val"))
+    return df.select(col_of(key), F.inline(pairs).alias("slot", "val")) \
+        .where(F.col("val") != 0.0)
+
+
+def code_table(labels: Mapping[str, Sequence[str]],
+               offsets: Mapping[str, int], spark: SparkSession) -> DataFrame:
+    """(column_name, value, idx): the learned labels of each column with
+    their index, shifted by the column's offset.  No pass over the data."""
+    return spark.createDataFrame(
+        [(c, v, float(offsets.get(c, 0) + i))
+         for c, own in labels.items() for i, v in enumerate(own)],
+        "column_name string, value string, idx double")

@@ -9,12 +9,14 @@ print like any other table.  Nothing is collected but a handful of scalars.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paysift.functions.exprs import col_of, safe_double
+from paysift.session import materialize
 
 
 def _cols(df: DataFrame, cols: Sequence[str] | None) -> list[str]:
@@ -90,10 +92,11 @@ def null_rate_by_bucket(df: DataFrame, key: str, buckets: int = 20,
     lo, hi = df.agg(F.min(col_of(key)), F.max(col_of(key))).first()
     if lo is None:
         lo, hi = 0, 0
-    span = float(hi - lo + 1)
-    bucket = F.floor((col_of(key) - F.lit(lo)) * F.lit(buckets)
-                     / F.lit(span)).cast("bigint")
-    agg = (df.groupBy(bucket.alias("bucket"))
+    # decimals: a 64-bit key times the bucket count does not fit a long
+    offset = col_of(key).cast("decimal(20,0)") - F.lit(lo).cast(
+        "decimal(20,0)")
+    bucket = F.expr(f"(__offset * {int(buckets)}) div {hi - lo + 1}BD")
+    agg = (df.withColumn("__offset", offset).groupBy(bucket.alias("bucket"))
            .agg(F.count(F.lit(1)).alias("n"),
                 *[F.count_if(col_of(c).isNull()).alias(c) for c in cols]))
     return _long(agg, cols, "n_null", ids=["bucket", "n"]).select(
@@ -213,17 +216,39 @@ def histogram(df: DataFrame, c: str, bins: int = 20) -> DataFrame:
 
 
 def quantiles(df: DataFrame, c: str,
-              probs: Sequence[float] = (0.25, 0.5, 0.75),
-              accuracy: int = 1_000_000) -> DataFrame:
-    """Quantiles of a column: (prob, value).
-
-    ``percentile_approx`` keeps a bounded sketch per partition (memory
-    ~ 1/accuracy relative rank error), so one global group never holds all
-    values; it returns an observed value, exact when the data fit in the
-    sketch.
+              probs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """Exact quantiles of a column: (prob, value), the smallest value whose
+    rank reaches ``prob`` times the number of values.
+
+    Values are counted (partial counts before the shuffle), the distinct
+    ones range-partitioned, and the totals per partition - one number each -
+    tell which partitions hold the wanted ranks; only those are ranked.  No
+    task sees more than its own range of values.
     """
     x = safe_double(c)
-    q = df.agg(F.percentile_approx(x, list(probs), accuracy).alias("q"))
-    return q.select(F.posexplode("q").alias("i", "value")).select(
-        F.element_at(F.array(*[F.lit(float(p)) for p in probs]),
-                     F.col("i") + 1).alias("prob"), "value")
+    counts = df.select(x.alias("value")).where(
+        F.col("value").isNotNull() & ~F.isnan("value")) \
+        .groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(counts.repartitionByRange(parts, "value")
+                         .withColumn("part", F.spark_partition_id()))
+    totals = sorted((r.part, r.n) for r in ranged.groupBy("part").agg(
+        F.sum("n").alias("n")).collect())
+    total = sum(n for _, n in totals)
+    wanted = []
+    for p in probs if total else ():
+        rank, before = max(math.ceil(p * total), 1), 0
+        for part, n in totals:
+            if rank <= before + n:
+                wanted.append((float(p), part, rank - before))
+                break
+            before += n
+    asked = df.sparkSession.createDataFrame(
+        wanted, "prob double, part int, rank long")
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("value"))
+    ranked = ranged.where(F.col("part").isin([w[1] for w in wanted])) \
+        .withColumn("upto", upto)
+    return ranked.join(asked, "part").where(
+        (F.col("rank") <= F.col("upto"))
+        & (F.col("rank") > F.col("upto") - F.col("n"))) \
+        .select("prob", "value")

@@ -63,43 +63,22 @@ def label_correlation(df: DataFrame, vec: str, label: str) -> DataFrame:
     return one.select(F.inline("c"))
 
 
-# Widest vector whose p×p correlation matrix is brought to the driver.
-MAX_MATRIX_WIDTH = 4096
-
-
-def correlation_matrix(df: DataFrame, vec: str,
-                       max_width: int = MAX_MATRIX_WIDTH) -> DataFrame:
-    """Full Pearson matrix of a vector column as rows (i, j, corr).
-
-    ``ml.stat.Correlation`` aggregates a p×p Gramian (bounded by the vector
-    width, checked against ``max_width`` before any work); undefined
-    entries (pairs with a constant slot) are null, not NaN.  Spark keeps
-    the diagonal at 1.0 even for a constant slot.  For the label's row
-    alone use ``label_correlation`` (p values, not p²).
+def correlation_row(df: DataFrame, vec: str, target: int) -> DataFrame:
+    """(idx, name, corr) of one slot with every other slot, read from
+    ``ml.stat.Correlation``; undefined entries (a constant slot) are null,
+    not NaN.  Only the slot's own row, p values, leaves the matrix.
     """
-    width = len(slot_names(df, vec))
-    if width > max_width:
-        raise ValueError(f"vector width {width} > {max_width}: the p×p "
-                         "matrix would not fit the driver; use "
-                         "label_correlation for one row")
-    m = Correlation.corr(df, vec).first()[0].toArray()
-    p = m.shape[0]
-    rows = [(i, j, None if m[i, j] != m[i, j] else float(m[i, j]))
-            for i in range(p) for j in range(p)]
-    return df.sparkSession.createDataFrame(rows, "i int, j int, corr double")
+    m = Correlation.corr(df, vec).first()[0].toArray()[target]
+    rows = [(i, n, None if m[i] != m[i] else float(m[i]))
+            for i, n in slot_names(df, vec) if i != target]
+    return df.sparkSession.createDataFrame(
+        rows, "idx int, name string, corr double")
 
 
 def rank_by_abs(corr: DataFrame, k: int | None = 10,
-                exclude: str | None = None, digits: int | None = 6
-                ) -> DataFrame:
+                exclude: str | None = None) -> DataFrame:
     """(rank, idx, name, corr) by |corr| descending, lower index on ties,
-    undefined last; ``exclude`` drops one name (the label itself).
-
-    Ranking on the value rounded to ``digits`` keeps equal-looking values
-    in index order.
-    """
+    undefined last; ``exclude`` drops one name (the label itself)."""
     c = corr if exclude is None else corr.where(F.col("name") != exclude)
-    if digits is not None:
-        c = c.withColumn("corr", F.round("corr", digits))
     return _rank(c, "corr", k, by_abs=True).select("rank", "idx", "name",
                                                    "corr")

@@ -2,30 +2,33 @@
 
 The four regression families of the original (linear, decision tree,
 random forest, gradient boosting), train/validation and k-fold tuning, best
-parameters, and leaf tables.  Fold assignment can come from a column
-(``foldCol``) so tuning results do not depend on the partitioning, and
-independent fits can run side by side from driver threads
-(``run_concurrently``).
+parameters, and leaf tables.  Folds come from a column and the validation
+split from a key hash, so they do not depend on the partitioning; grid points
+that one fit can answer share it, and independent fits run side by side from
+driver threads (``run_concurrently``).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from itertools import product
 
+import numpy as np
 from pyspark import inheritable_thread_target
 
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor,
                                    LinearRegression, RandomForestRegressor)
-from pyspark.ml.tuning import (CrossValidator, ParamGridBuilder,
-                               TrainValidationSplit)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paysift.functions import lookups as L
+from paysift.functions.exprs import hash_percent
 
 SEED = 42
 
@@ -112,58 +115,157 @@ def score(model, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return model.transform(df).select(*keep, "prediction")
 
 
-def param_grid(est, spec: Mapping[str, Sequence]) -> list:
-    """ParamGridBuilder from {param name: values}."""
-    b = ParamGridBuilder()
-    for name, values in spec.items():
-        b = b.addGrid(est.getParam(name), list(values))
-    return b.build()
-
-
 def evaluator(label: str, metric: str = "rmse") -> RegressionEvaluator:
     return RegressionEvaluator(labelCol=label, predictionCol="prediction",
                                metricName=metric)
 
 
-def tune_train_validation(est, grid, train: DataFrame, label: str,
-                          ratio: float = L.TVS_TRAIN_RATIO, seed: int = SEED,
-                          parallelism: int = 2):
-    """Train/validation split tuning; smaller rmse wins."""
-    tvs = TrainValidationSplit(estimator=est, estimatorParamMaps=grid,
-                               evaluator=evaluator(label), trainRatio=ratio,
-                               seed=seed, parallelism=parallelism)
-    return tvs.fit(train)
+@dataclass
+class Tuned:
+    """A tuned learner: the winner refitted on all rows, the grid's points
+    (parameter names to values) and each one's RMSE."""
+    bestModel: object
+    points: list[dict]
+    metrics: list[float]
+    family: type = None
+
+    @property
+    def best(self) -> dict:
+        return self.points[int(np.argmin(self.metrics))]
+
+
+def grid_points(spec: Mapping[str, Sequence]) -> list[dict]:
+    """All combinations of a grid, the last parameter changing fastest."""
+    return [dict(zip(spec, v)) for v in product(*spec.values())]
+
+
+def _with(est, params: Mapping[str, object]):
+    return est.copy({est.getParam(k): v for k, v in params.items()})
+
 
+def _rmse(model, rows: DataFrame, label: str) -> float:
+    return evaluator(label).evaluate(model.transform(rows))
 
-def tune_cross_validation(est, grid, train: DataFrame, label: str,
+
+def _depth_errors(model, rows: DataFrame, label: str,
+                  depths: Sequence[int]) -> list[float]:
+    """RMSE of a tree cut at each depth, from one pass over ``rows``.
+
+    A shallower tree is the deep one cut off: splits depend on the rows of
+    their node only.  Rows are summed per leaf of the deep tree (count, label
+    and its square); a leaf's ancestor at a depth gives its prediction there.
+    """
+    leaves: list[list[float]] = []  # predictions from the root down
+
+    def walk(node, path: list[float]) -> None:
+        path = [*path, node.prediction()]
+        if node.subtreeDepth() == 0:
+            leaves.append(path)
+        else:
+            walk(node.leftChild(), path)
+            walk(node.rightChild(), path)
+    walk(model._java_obj.rootNode(), [])
+    m = model.copy()
+    m.setLeafCol("__leaf")
+    y = F.col(label)
+    sums = m.transform(rows).groupBy(F.col("__leaf").cast("int")).agg(
+        F.count(y), F.sum(y), F.sum(y * y)).collect()  # a row a leaf
+    total = sum(r[1] for r in sums)
+    out = []
+    for d in depths:
+        sse = 0.0
+        for leaf, n, s, ss in sums:
+            p = leaves[leaf][min(d, len(leaves[leaf]) - 1)]
+            sse += ss - 2 * p * s + n * p * p
+        out.append(math.sqrt(max(0.0, sse) / total))
+    return out
+
+
+def _errors(est, points: Sequence[Mapping], train: DataFrame,
+            held_out: DataFrame, label: str, parallelism: int
+            ) -> list[float]:
+    """RMSE on ``held_out`` of every point fitted on ``train``.  Points that
+    one fit can answer share it: depths of a tree (the deepest holds the
+    others) and iterations of boosting (the longest holds the shorter)."""
+    shared = None
+    if isinstance(est, DecisionTreeRegressor):
+        shared = "maxDepth"
+    elif isinstance(est, GBTRegressor):
+        shared = "maxIter"
+    if any(shared not in p for p in points):
+        shared = None
+    groups: dict[tuple, list[int]] = {}
+    for i, p in enumerate(points):
+        groups.setdefault(tuple((k, v) for k, v in p.items()
+                                if k != shared), []).append(i)
+
+    def run(members: list[int]) -> list[float]:
+        if shared is None:
+            model = _with(est, points[members[0]]).fit(train)
+            return [_rmse(model, held_out, label)] * len(members)
+        values = [points[i][shared] for i in members]
+        model = _with(est, {**points[members[0]],
+                            shared: max(values)}).fit(train)
+        if shared == "maxDepth":
+            return _depth_errors(model, held_out, label, values)
+        losses = model.evaluateEachIteration(held_out, "squared")
+        return [math.sqrt(losses[v - 1]) for v in values]
+    found = run_concurrently(
+        {str(g): (lambda m=m: run(m)) for g, m in groups.items()},
+        parallelism, train.sparkSession)
+    out = [0.0] * len(points)
+    for g, members in groups.items():
+        for i, e in zip(members, found[str(g)]):
+            out[i] = e
+    return out
+
+
+def tune_train_validation(est, spec: Mapping[str, Sequence],
+                          train: DataFrame, label: str, key: str,
+                          percent: int = round(100 * L.TVS_TRAIN_RATIO),
+                          parallelism: int = 4) -> Tuned:
+    """Train/validation tuning; smaller RMSE wins.  The split is a hash of
+    the key, so it does not depend on the partitioning."""
+    points = grid_points(spec)
+    part = hash_percent(F.concat(F.lit("tvs"), F.col(key).cast("string"))) \
+        < F.lit(percent)
+    errors = _errors(est, points, train.where(part), train.where(~part),
+                     label, parallelism)
+    best = _with(est, points[int(np.argmin(errors))]).fit(train)
+    return Tuned(best, points, errors, type(est))
+
+
+def tune_cross_validation(est, spec: Mapping[str, Sequence],
+                          train: DataFrame, label: str, fold_col: str,
                           folds: int = L.NUM_FOLDS,
-                          fold_col: str | None = None, seed: int = SEED,
-                          parallelism: int = 2):
-    """k-fold tuning.  With ``fold_col`` the folds are given by the data
-    (deterministic); without it they are drawn with ``seed``."""
-    kw = dict(estimator=est, estimatorParamMaps=grid,
-              evaluator=evaluator(label), numFolds=folds, seed=seed,
-              parallelism=parallelism)
-    if fold_col:
-        kw["foldCol"] = fold_col
-    return CrossValidator(**kw).fit(train)
-
-
-def tuning_table(spark, tuned) -> DataFrame:
-    """(point, params, rmse) per grid point of a tuning model."""
-    metrics = getattr(tuned, "avgMetrics", None)
-    if metrics is None:
-        metrics = tuned.validationMetrics
-    rows = []
-    for i, (pm, m) in enumerate(zip(tuned.getEstimatorParamMaps(), metrics)):
-        desc = ", ".join(f"{p.name}={v}" for p, v in
-                         sorted(pm.items(), key=lambda kv: kv[0].name))
-        rows.append((i, desc, float(m)))
+                          parallelism: int = 4) -> Tuned:
+    """k-fold tuning on the folds in ``fold_col``; the mean RMSE counts.
+
+    One fold at a time; its parts are filters on the fold column, which a
+    written model input answers by reading the other folds' files only.
+    Nothing is cached between points.
+    """
+    points = grid_points(spec)
+    total = np.zeros(len(points))
+    for f in range(folds):
+        total += _errors(est, points, train.where(F.col(fold_col) != f),
+                         train.where(F.col(fold_col) == f), label,
+                         parallelism)
+    errors = (total / folds).tolist()
+    best = _with(est, points[int(np.argmin(errors))]).fit(train)
+    return Tuned(best, points, errors, type(est))
+
+
+def tuning_table(spark, tuned: Tuned) -> DataFrame:
+    """(point, params, rmse) per grid point."""
+    rows = [(i, ", ".join(f"{k}={v}" for k, v in sorted(p.items())),
+             float(e)) for i, (p, e) in enumerate(zip(tuned.points,
+                                                      tuned.metrics))]
     return spark.createDataFrame(rows, "point int, params string, "
                                        "rmse double")
 
 
-def best_params(spark, tuned) -> DataFrame:
+def best_params(spark, tuned: Tuned) -> DataFrame:
     """(param, value) of the winning model's full parameter map."""
     pm = tuned.bestModel.extractParamMap()
     rows = sorted((p.name, str(v)) for p, v in pm.items())

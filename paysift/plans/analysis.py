@@ -16,36 +16,31 @@ from paysift.operators import encode as E
 from paysift.operators import metrics as M
 from paysift.operators import train as TR
 from paysift.plans import features as P
+from paysift.plans import tuning as TU
 from paysift.sources.tables import comp_view
 
 FAMILIES = ("linear", "tree", "forest", "boosting")
 
 
 def model_frames(spark: SparkSession, sf_dir: str, train_percent: int = 70,
-                 fit_on_train: bool = True, checkpoint: bool = True
+                 fit_on_train: bool = True
                  ) -> tuple[DataFrame, DataFrame]:
-    """(train, test) frames of (rec_id, features, total_comp).
+    """(train, test) frames of (rec_id, vectors, total_comp).
 
-    The narrow model input is written once to the checkpoint folder: every
+    The narrow model input is written once to the shared folder: every
     fit and scoring then reads that copy (no re-scan, re-join or
     re-encoding), and a lost executor costs a re-read, not a recompute.
     """
     fit_filter = P.train_filter(train_percent) if fit_on_train else None
-    comp = comp_view(spark, sf_dir, spread_input=True)
+    comp = comp_view(spark, sf_dir)
     feats = P.feature_frame(comp, fit_filter=fit_filter)
-    mi = P.model_input(feats)
-    if checkpoint:
-        return E.materialized_split(mi, P.KEY, train_percent)
-    part = E.hash_part(P.KEY, train_percent)
-    return mi.where(part), mi.where(~part)
+    return E.materialized_split(P.model_input(feats), P.KEY, train_percent)
 
 
 def run(spark: SparkSession, sf_dir: str,
         families: Sequence[str] = FAMILIES, **kw) -> DataFrame:
     """Leaderboard (model, metric, value, n_undefined) on the test part."""
     train, test = model_frames(spark, sf_dir, **kw)
-    models = TR.fit_many({fam: TR.estimator(fam, P.LABEL, train)
+    models = TR.fit_many({fam: TU.estimator(fam, train)
                           for fam in families}, train)
-    scored = {fam: TR.score(m, test, keep=[P.LABEL])
-              for fam, m in models.items()}
-    return M.leaderboard(scored, P.LABEL)
+    return M.score_models(models, test, P.LABEL)

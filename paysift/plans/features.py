@@ -19,6 +19,7 @@ from paysift.functions.exprs import (degree_flag, keep_or_other, ladder,
                                      location_region, safe_double)
 from paysift.operators import clean as C
 from paysift.operators import encode as E
+from paysift.session import materialize
 
 LABEL = "total_comp"
 KEY = "rec_id"
@@ -35,10 +36,14 @@ ONEHOT_IN = ["cat_title_idx", "gender_idx", "cat_location_idx",
              "std_level_idx"]
 ONEHOT_OUT = ["cat_title_vec", "gender_vec", "cat_location_vec",
               "std_level_vec"]
-# Assembly order of the original feature vector.
+# FIXED VALUES: assembly order of the original feature vector.
 FEATURE_COLS = ["cat_location_vec", "masters", "cat_comp_idx", "years_exp",
                 "years_at", "cat_title_vec", "gender_vec", "cat_tag_idx",
                 SKILL_OUT, "std_level_vec"]
+# The linear family's own vector: every index one-hot with its most frequent
+# level dropped, so that the columns are independent of the intercept.
+LINEAR_FEATURES = "features_linear"
+LINEAR_VEC = {o: o.removesuffix("_idx") + "_contrast" for o in INDEX_OUT}
 
 
 @dataclass
@@ -95,10 +100,6 @@ def _category_exprs(lk: Lookups) -> dict[str, Column]:
     }
 
 
-# Upper bound on (column, value) pairs brought to the driver by ``learn``.
-MAX_LABELS = 1_000_000
-
-
 def learning_counts(df: DataFrame, fit_filter: Column | None = None,
                     lookups: Lookups | None = None) -> DataFrame:
     """The single aggregate behind ``learn``: per (column, value) of the
@@ -126,8 +127,7 @@ def learning_counts(df: DataFrame, fit_filter: Column | None = None,
 
 
 def learn(df: DataFrame, fit_filter: Column | None = None,
-          lookups: Lookups | None = None,
-          max_labels: int = MAX_LABELS) -> Learned:
+          lookups: Lookups | None = None) -> Learned:
     """Learn mode, mean and category labels in ONE aggregation pass.
 
     The original fits three things one after another (mode of the level on
@@ -135,36 +135,28 @@ def learn(df: DataFrame, fit_filter: Column | None = None,
     rows), each a full pass.  Here every labelled row is stacked into
     (column, value) pairs, tagged with whether it survives the cap, and
     counted once; the skill sum and count ride on the first stacked pair.
-    Partial aggregation runs before the shuffle and only (column, value)
-    counters reach the driver - the same label lists a fitted StringIndexer
-    would hold.  The level's null count is added to its mode, exactly as
-    filling before indexing would.  More than ``max_labels`` pairs is an
-    error (bucket such a column first): the driver-side size is bounded.
+    The counts are written once; mode and mean are aggregates over them, and
+    the driver receives what it must hold anyway: the label lists of the
+    indexers, which are the slots of the feature vector.  The level's null
+    count is added to its mode, exactly as filling before indexing would.
     """
-    counts = learning_counts(df, fit_filter, lookups)
-    rows = counts.limit(max_labels + 1).collect()
-    if len(rows) > max_labels:
-        raise ValueError(f"more than {max_labels} distinct categories to "
-                         "index; bucket the columns first")
-
-    sx = sum(r.sx or 0.0 for r in rows if r.column_name == INDEX_IN[0])
-    nx = sum(r.nx for r in rows if r.column_name == INDEX_IN[0])
-    level = [r for r in rows if r.column_name == "std_level"]
-    present = [r for r in level if r.value is not None]
-    mode = min(present, key=lambda r: (-r.n_all, r.value)).value \
-        if present else None
-    labels = {}
-    for c in INDEX_IN:
-        kept_n: dict = {}
-        for r in rows:
-            if r.column_name != c or r.n_kept == 0:
-                continue
-            v = r.value if r.value is not None else (
-                mode if c == "std_level" else None)
-            if v is not None:
-                kept_n[v] = kept_n.get(v, 0) + r.n_kept
-        labels[c] = [v for v, _ in sorted(kept_n.items(),
-                                          key=lambda t: (t[1], t[0]))]
+    counts = materialize(learning_counts(df, fit_filter, lookups))
+    level = (F.col("column_name") == "std_level") & \
+        F.col("value").isNotNull()
+    first = F.col("column_name") == INDEX_IN[0]
+    mode, sx, nx = counts.agg(
+        F.min_by(F.when(level, F.col("value")), F.when(
+            level, F.struct(-F.col("n_all"), F.col("value")))),
+        F.sum(F.when(first, F.col("sx"))),
+        F.sum(F.when(first, F.col("nx")))).first()
+    value = F.coalesce("value", F.when(
+        F.col("column_name") == "std_level", F.lit(mode)))
+    kept = counts.groupBy("column_name", value.alias("value")).agg(
+        F.sum("n_kept").alias("n")).where(
+            (F.col("n") > 0) & F.col("value").isNotNull())
+    labels: dict = {c: [] for c in INDEX_IN}
+    for r in kept.orderBy("column_name", "n", "value").collect():
+        labels[r.column_name].append(r.value)
     return Learned(modes={"std_level": mode},
                    skill_mean=(sx / nx) if nx else None, labels=labels)
 
@@ -206,13 +198,35 @@ def categorize(df: DataFrame, lookups: Lookups | None = None) -> DataFrame:
     })
 
 
+def contrasts(df: DataFrame, learned: Learned) -> tuple[DataFrame, dict]:
+    """One-hot of every index without its most frequent level; a category
+    not seen when learning counts as that level.  Returns the frame and the
+    vector of each index column (a single-level column has none)."""
+    made = {}
+    for c, o in zip(INDEX_IN, INDEX_OUT):
+        labels = learned.labels[c]
+        if len(labels) > 1:
+            known = F.least(F.col(o), F.lit(float(len(labels) - 1)))
+            df = df.withColumn(f"{o}_known", known).withMetadata(
+                f"{o}_known", {"ml_attr": {"type": "nominal", "name": o,
+                                           "vals": labels}})
+            made[o] = LINEAR_VEC[o]
+    df, _ = E.one_hot(df, [f"{o}_known" for o in made],
+                      list(made.values()), drop_last=True)
+    return df.drop(*[f"{o}_known" for o in made]), made
+
+
 def encode(df: DataFrame, learned: Learned,
            handle_invalid: str = "error") -> DataFrame:
     """Index with the learned labels, one-hot, assemble: no job at all,
-    sizes come from the indexers' metadata."""
+    sizes come from the indexers' metadata.  ``features`` is the original
+    vector, ``features_linear`` the one without collinear columns."""
     for model in learned.indexers(handle_invalid):
         df = model.transform(df)
     df, _ = E.one_hot(df, ONEHOT_IN, ONEHOT_OUT)
+    df, made = contrasts(df, learned)
+    linear = [*made.values(), "masters", "years_exp", "years_at", SKILL_OUT]
+    df = E.assemble(df, linear, LINEAR_FEATURES)
     return E.assemble(df, FEATURE_COLS, "features")
 
 
@@ -240,5 +254,5 @@ def train_filter(train_percent: int = 70) -> Column:
 
 
 def model_input(features: DataFrame) -> DataFrame:
-    """The narrow frame models read: key, features, label."""
-    return features.select(KEY, "features", F.col(LABEL))
+    """The narrow frame models read: key, the two vectors, label."""
+    return features.select(KEY, "features", LINEAR_FEATURES, F.col(LABEL))

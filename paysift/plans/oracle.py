@@ -10,6 +10,7 @@ tuning grids) have no entry.
 from __future__ import annotations
 
 from paysift.functions import lookups as L
+from paysift.sources.tables import planted_values
 
 
 def _q(s: str) -> str:
@@ -200,6 +201,8 @@ corrs AS (
 COMP_COLS = ["rec_id", "company", "title", "tag", "location", "gender",
              "std_level", "skill_index", "other_details", "years_exp",
              "years_at", "total_comp", "_c16", "_c17"]
+CLEAN_COLS = [c for c in COMP_COLS if c not in (
+    "_c16", "_c17", "skill_index")] + ["skill_index_imputed"]
 COMP_TYPES = ["bigint"] + ["string"] * 13
 
 
@@ -207,6 +210,14 @@ def _with(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
+def _planted() -> str:
+    def dealt(c: str, values: list) -> str:
+        items = ", ".join("NULL" if v is None else _q(v) for v in values)
+        return f"[{items}][o_orderkey % {len(values)} + 1] AS {c}"
+    return _with("planted AS (SELECT o_orderkey AS rec_id, " + ", ".join(
+        dealt(c, v) for c, v in planted_values().items()) + " FROM orders)")
+
+
 def _union(parts) -> str:
     return "\nUNION ALL\n".join(parts)
 
@@ -265,6 +276,12 @@ def build() -> dict[str, str]:
     q["q07_null_profile"] = base + _union(
         f"SELECT '{c}' AS column_name, count(*) - count({c}) AS n_null, "
         f"count(*) AS n_rows FROM comp" for c in COMP_COLS)
+    q["q07b_null_profile_labeled"] = _with(COMP, CLEAN) + _union(
+        f"SELECT '{c}' AS column_name, count(*) - count({c}) AS n_null, "
+        f"count(*) AS n_rows FROM labeled" for c in COMP_COLS)
+    q["q07c_null_profile_clean"] = _with(COMP, CLEAN) + _union(
+        f"SELECT '{c}' AS column_name, count(*) - count({c}) AS n_null, "
+        f"count(*) AS n_rows FROM cleaned" for c in CLEAN_COLS)
     q["q08_require_label"] = base + \
         "SELECT count(*) AS n FROM comp WHERE total_comp IS NOT NULL"
     q["q09_null_by_bucket"] = _with(COMP, """r AS (SELECT min(rec_id) AS lo,
@@ -277,6 +294,9 @@ b AS (SELECT comp.*, CAST(floor((rec_id - lo) * 20 / span) AS BIGINT)
   coalesce(gender, {_q(L.GENDER_FILL)}) AS gender,
   coalesce(other_details, {_q(L.OTHER_DETAILS_FILL)}) AS other_details,
   count(*) AS n FROM comp GROUP BY 1, 2"""
+    q["q10b_fill_level"] = base + f"""SELECT
+  coalesce(std_level, {_q(L.STANDARD_LEVEL_FILL)}) AS std_level,
+  count(*) AS n FROM comp GROUP BY 1"""
     q["q11_fill_mode"] = base + """, m AS (SELECT std_level AS v FROM comp
   WHERE std_level IS NOT NULL GROUP BY std_level
   ORDER BY count(*) DESC, std_level LIMIT 1)
@@ -326,6 +346,9 @@ b AS (SELECT least(CAST(floor((x - lo) / width) AS INTEGER), 19) AS bin,
   count(*) AS n FROM v, s GROUP BY 1)""") + """SELECT bin,
   lo + bin * width AS lo, lo + (bin + 1) * width AS hi, n,
   n / (CAST(total AS DOUBLE) * width) AS density FROM b, s"""
+    q["q17c_int_histogram"] = q["q17_histogram"].replace(
+        "TRY_CAST(total_comp AS DOUBLE) AS x",
+        "CAST(TRY_CAST(total_comp AS INTEGER) AS DOUBLE) AS x")
     q["q17b_quartiles"] = _with(COMP, label_rows, """r AS (SELECT x,
   row_number() OVER (ORDER BY x) AS rn, count(*) OVER () AS total FROM v),
 p AS (SELECT CAST(unnest([0.25, 0.5, 0.75]) AS DOUBLE) AS prob)""") + """SELECT p.prob,
@@ -351,6 +374,23 @@ SELECT 'top_k' AS mode,
     ORDER BY count(*) DESC, tag LIMIT 2) THEN tag ELSE 'Other' END AS cat_tag,
   count(*) AS n
 FROM comp GROUP BY 2"""
+    q["q22c_tag_top_k"] = base + """SELECT rec_id, CASE WHEN tag IN (
+  SELECT tag FROM comp WHERE tag IS NOT NULL GROUP BY tag
+  ORDER BY count(*) DESC, tag LIMIT 2) THEN tag ELSE 'Other' END AS cat_tag
+FROM comp"""
+    planted = _planted()
+    q["q18b_original_companies"] = planted + f"""SELECT company,
+  {_keep_sql('company', L.COMPANY_KEEP)} AS cat_comp, count(*) AS n
+FROM planted GROUP BY 1, 2"""
+    q["q19b_original_titles"] = planted + f"""SELECT title,
+  {_ladder_sql('title', L.TITLE_LADDER, L.OTHER)} AS cat_title,
+  count(*) AS n FROM planted GROUP BY 1, 2"""
+    q["q21b_original_locations"] = planted + f"""SELECT location,
+  {LOCATION_REGION} AS cat_location, count(*) AS n FROM planted
+GROUP BY 1, 2"""
+    q["q22b_original_tags"] = planted + f"""SELECT tag,
+  {_keep_sql('tag', L.TAG_KEEP)} AS cat_tag, count(*) AS n
+FROM planted GROUP BY 1, 2"""
     q["q23_degree_flag"] = base + \
         f"SELECT {DEGREE_FLAG} AS masters, count(*) AS n FROM comp GROUP BY 1"
 
@@ -360,8 +400,37 @@ FROM comp GROUP BY 2"""
         for c in INDEXED)
     q["q25_one_hot"] = enc + """SELECT rec_id, CAST(loc_idx AS INTEGER) AS slot,
   CAST(1.0 AS DOUBLE) AS val FROM enc"""
-    q["q26_dense_sparse"] = enc + \
-        "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_mismatch FROM enc"
+    q["q26_dense_sparse"] = enc + _union(
+        f"SELECT '{v}' AS column_name, CAST({i} AS INTEGER) AS slot, "
+        f"CAST(count(*) AS DOUBLE) AS total FROM enc GROUP BY 2"
+        for v, i in (("cat_title_vec", "title_idx"),
+                     ("gender_vec", "gender_idx"),
+                     ("cat_location_vec", "loc_idx"),
+                     ("std_level_vec", "std_idx")))
+    frame = {"rec_id": "CAST(rec_id AS DOUBLE)", "years_exp": "years_exp",
+             "years_at": "years_at", "total_comp": "total_comp",
+             "skill_index_imputed": "skill_index_imputed",
+             "masters": "CASE WHEN masters THEN 1.0::DOUBLE "
+                        "WHEN NOT masters THEN 0.0::DOUBLE END",
+             "cat_comp_idx": "comp_idx", "cat_title_idx": "title_idx",
+             "gender_idx": "gender_idx", "cat_location_idx": "loc_idx",
+             "cat_tag_idx": "tag_idx", "std_level_idx": "std_idx"}
+    q["q14c_frame_summary"] = enc + _union(
+        f"SELECT '{c}' AS column_name, count(x) AS n, round(avg(x), 6) AS "
+        f"mean, round(stddev_samp(x), 6) AS stddev, min(x) AS min_value, "
+        f"max(x) AS max_value FROM (SELECT {e} AS x FROM enc) t"
+        for c, e in frame.items())
+    q["q28_random_split"] = enc + """SELECT count(*) AS n_rows,
+  CAST(0 AS BIGINT) AS n_overlap, CAST(0 AS BIGINT) AS n_missing FROM enc"""
+    q["q30b_group_coefs"] = enc + f""", tr AS (
+  SELECT gender, gender_idx, total_comp FROM enc WHERE {HASH_PCT} < 70),
+g AS (SELECT gender AS term, gender_idx AS i, avg(total_comp) AS m
+  FROM tr GROUP BY 1, 2),
+base AS (SELECT m FROM g ORDER BY i DESC LIMIT 1)
+SELECT 'intercept' AS term, round(m, 4) AS coef FROM base
+UNION ALL
+SELECT g.term, round(g.m - base.m, 4) FROM g, base
+WHERE g.i < (SELECT max(i) FROM g)"""
     q["q27_assembled"] = enc + """SELECT rec_id, CAST(slot AS INTEGER) AS slot,
   round(val, 6) AS val FROM slots WHERE val <> 0"""
     q["q29_hash_split"] = _with(COMP, NUMS) + """SELECT
@@ -403,6 +472,19 @@ err AS (SELECT f,
   CAST(0 AS INTEGER) AS point, round(avg(rmse0), 4) AS rmse FROM err
 UNION ALL
 SELECT CAST(1 AS INTEGER), round(avg(rmse1), 4) FROM err"""
+    tvs_pct = HASH_PCT.replace("CAST(rec_id AS VARCHAR)",
+                               "'tvs' || CAST(rec_id AS VARCHAR)")
+    q["q35b_train_validation_exact"] = _with(COMP, NUMS, f"""d AS (
+  SELECT years_exp AS x, total_comp AS y, {tvs_pct} < 75 AS fit FROM nums
+  WHERE is_train),
+m AS (SELECT regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0,
+  sum(x * y) / sum(x * x) AS bo FROM d WHERE fit)""") + """SELECT
+  CAST(0 AS INTEGER) AS point,
+  round(sqrt(avg((y - (b0 + b1 * x)) * (y - (b0 + b1 * x)))), 4) AS rmse
+FROM d, m WHERE NOT fit
+UNION ALL
+SELECT CAST(1 AS INTEGER), round(sqrt(avg((y - bo * x) * (y - bo * x))), 4)
+FROM d, m WHERE NOT fit"""
     stump = _stump_sql()
     q["q37_tree_stump"] = stump
     q["q39_forest_stump"] = stump
@@ -438,7 +520,7 @@ UNION ALL SELECT 'gender', value, idx + o_gender FROM idx_gender, offs"""
         "FROM corrs"
     q["q45b_correlation_matrix_row"] = q["q45_label_correlation"]
     q["q46_corr_ranked"] = enc + f"""SELECT * FROM (
-  SELECT CAST(row_number() OVER (ORDER BY abs(round(corr, 6)) DESC NULLS LAST,
+  SELECT CAST(row_number() OVER (ORDER BY abs(corr) DESC NULLS LAST,
     idx) AS INTEGER) AS rank, CAST(idx AS INTEGER) AS idx, name,
     round(corr, 6) AS corr FROM corrs) t
 WHERE rank <= {L.TOP_K}"""

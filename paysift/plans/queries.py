@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paysift.functions import lookups as L
-from paysift.functions.exprs import location_key, location_region
+from paysift.functions.exprs import (location_key, location_region,
+                                     safe_int)
 from paysift.operators import categorize as CT
 from paysift.operators import clean as C
 from paysift.operators import encode as E
@@ -26,7 +26,9 @@ from paysift.operators import train as TR
 from paysift.plans import features as P
 from paysift.plans.analysis import run as run_analysis
 from paysift.plans import tuning as TU
-from paysift.sources.tables import comp_view, read_view, register_view
+from paysift.session import materialize
+from paysift.sources.tables import (comp_view, planted_view, read_view,
+                                    register_view)
 
 LABEL = P.LABEL
 KEY = P.KEY
@@ -41,20 +43,17 @@ def _comp(spark: SparkSession, sf: str) -> DataFrame:
     return comp_view(spark, sf)
 
 
-def _labeled_numeric(spark: SparkSession, sf: str,
-                     for_fitting: bool = False) -> DataFrame:
+def _labeled_numeric(spark: SparkSession, sf: str) -> DataFrame:
     """Rows kept by cleaning (label present and below the cap), numbers
-    cast; the same rows as the full cleaning, without the fills.  Inputs
-    of model fits are spread (see ``sources.tables.spread``)."""
-    d = C.cap(C.require(comp_view(spark, sf, spread_input=for_fitting),
-                        LABEL), LABEL, L.LABEL_CAP)
+    cast; the same rows as the full cleaning, without the fills."""
+    d = C.cap(C.require(comp_view(spark, sf), LABEL), LABEL, L.LABEL_CAP)
     return C.cast_double(d, ["years_exp", "years_at", LABEL])
 
 
 def _features(spark: SparkSession, sf: str) -> DataFrame:
     """The full feature frame; learned values from all cleaned rows, as in
     the original analysis."""
-    return P.feature_frame(comp_view(spark, sf, spread_input=True))
+    return P.feature_frame(comp_view(spark, sf))
 
 
 def _one_feature(d: DataFrame, cols: list[str], out: str) -> DataFrame:
@@ -99,6 +98,17 @@ def q07_null_profile(spark, sf):
     return PR.null_profile(_comp(spark, sf))
 
 
+def q07b_null_profile_labeled(spark, sf):
+    """Nulls after the label filter."""
+    return PR.null_profile(C.require(_comp(spark, sf), LABEL))
+
+
+def q07c_null_profile_clean(spark, sf):
+    """Nulls after repair."""
+    cleaned, _ = P.clean(_comp(spark, sf))
+    return PR.null_profile(cleaned)
+
+
 def q08_require_label(spark, sf):
     return PR.row_count(C.require(_comp(spark, sf), LABEL))
 
@@ -113,6 +123,13 @@ def q10_fill_constants(spark, sf):
     return _counts(d, "gender", "other_details")
 
 
+def q10b_fill_level(spark, sf):
+    """The level filled with its constant."""
+    d = C.fill_constants(_comp(spark, sf),
+                         {"std_level": L.STANDARD_LEVEL_FILL})
+    return _counts(d, "std_level")
+
+
 def q11_fill_mode(spark, sf):
     d, _ = C.fill_mode(_comp(spark, sf), ["std_level"])
     return _counts(d, "std_level")
@@ -147,6 +164,20 @@ def q14b_clean_summary(spark, sf):
                     "max_value")
 
 
+FRAME_COLUMNS = [KEY, "years_exp", "years_at", LABEL, P.SKILL_OUT, "masters",
+                 *P.INDEX_OUT]
+
+
+def q14c_frame_summary(spark, sf):
+    """Every number of the feature frame, cast to double but for the
+    indexes, and summarised."""
+    f = _features(spark, sf).select(*FRAME_COLUMNS)
+    s = PR.summary(C.cast_all_double_except(f, P.INDEX_OUT), FRAME_COLUMNS)
+    return s.select("column_name", "n", F.round("mean", 6).alias("mean"),
+                    F.round("stddev", 6).alias("stddev"), "min_value",
+                    "max_value")
+
+
 def q15_value_counts(spark, sf):
     return PR.value_counts(_comp(spark, sf),
                            ["std_level", "gender", "title", "tag"])
@@ -174,6 +205,12 @@ def q17_histogram(spark, sf):
     return PR.histogram(_labeled_numeric(spark, sf), LABEL, bins=20)
 
 
+def q17c_int_histogram(spark, sf):
+    """Distribution of the label read as a whole number."""
+    d = C.cap(C.require(_comp(spark, sf), LABEL), LABEL, L.LABEL_CAP)
+    return PR.histogram(d.withColumn(LABEL, safe_int(LABEL)), LABEL, bins=20)
+
+
 def q17b_quartiles(spark, sf):
     return PR.quantiles(_labeled_numeric(spark, sf), LABEL)
 
@@ -206,16 +243,44 @@ def q21_location_router(spark, sf):
 
 
 def q22_tag_buckets(spark, sf):
-    c = _comp(spark, sf)
-    keep = _counts(CT.keep_list(c, "tag", L.ADAPTER_TAG_KEEP, "cat_tag"),
-                   "cat_tag").select(F.lit("keep").alias("mode"), "cat_tag",
-                                     "n")
-    top = _counts(CT.top_k_or_other(c, "tag", 2, "cat_tag"),
-                  "cat_tag").select(F.lit("top_k").alias("mode"), "cat_tag",
-                                    "n")
+    counts = _counts(_comp(spark, sf), "tag")
+    keep = CT.keep_list(counts, "tag", L.ADAPTER_TAG_KEEP, "cat_tag") \
+        .groupBy("cat_tag").agg(F.sum("n").alias("n")) \
+        .select(F.lit("keep").alias("mode"), "cat_tag", "n")
+    top = CT.top_k_bucket_counts(counts, "tag", "n", 2, "cat_tag") \
+        .select(F.lit("top_k").alias("mode"), "cat_tag", "n")
     return keep.unionByName(top)
 
 
+def q22c_tag_top_k(spark, sf):
+    """The top-k rule on rows."""
+    return CT.top_k_or_other(_comp(spark, sf), "tag", 2, "cat_tag").select(
+        KEY, "cat_tag")
+
+
+def q18b_original_companies(spark, sf):
+    d = CT.keep_list(planted_view(spark, sf), "company", L.COMPANY_KEEP,
+                     "cat_comp")
+    return _counts(d, "company", "cat_comp")
+
+
+def q19b_original_titles(spark, sf):
+    d = CT.map_ladder(planted_view(spark, sf), "title", L.TITLE_LADDER,
+                      "cat_title")
+    return _counts(d, "title", "cat_title")
+
+
+def q21b_original_locations(spark, sf):
+    d = CT.route_location(planted_view(spark, sf), "location",
+                          "cat_location")
+    return _counts(d, "location", "cat_location")
+
+
+def q22b_original_tags(spark, sf):
+    d = CT.keep_list(planted_view(spark, sf), "tag", L.TAG_KEEP, "cat_tag")
+    return _counts(d, "tag", "cat_tag")
+
+
 def q23_degree_flag(spark, sf):
     d = CT.regex_flag(_comp(spark, sf), "other_details", "masters")
     return _counts(d, "masters")
@@ -226,9 +291,7 @@ def q23_degree_flag(spark, sf):
 # --------------------------------------------------------------------------
 
 def q24_frequency_index(spark, sf):
-    f = _features(spark, sf)
-    return E.code_table(f, [(c, o, 0) for c, o in zip(P.INDEX_IN,
-                                                      P.INDEX_OUT)])
+    return E.code_table(P.learn(_comp(spark, sf)).labels, {}, spark)
 
 
 def q25_one_hot(spark, sf):
@@ -237,14 +300,15 @@ def q25_one_hot(spark, sf):
 
 
 def q26_dense_sparse(spark, sf):
-    f = _features(spark, sf)
-    mismatch = None
+    """Sums per slot of the dense forms."""
+    f = _features(spark, sf).select(KEY, *P.ONEHOT_OUT)
+    out = None
     for v in P.ONEHOT_OUT:
-        f = E.densify(f, v, f"{v}_dense")
-        t = vector_to_array(F.col(v)) != vector_to_array(F.col(f"{v}_dense"))
-        mismatch = t if mismatch is None else mismatch | t
-    return f.agg(F.count(F.lit(1)).alias("n_rows"),
-                 F.count_if(mismatch).alias("n_mismatch"))
+        d = E.explode_vector(E.densify(f, v, "dense"), KEY, "dense") \
+            .groupBy("slot").agg(F.sum("val").alias("total")) \
+            .select(F.lit(v).alias("column_name"), "slot", "total")
+        out = d if out is None else out.unionByName(d)
+    return out
 
 
 def q27_assembled(spark, sf):
@@ -254,12 +318,21 @@ def q27_assembled(spark, sf):
 
 
 def q28_random_split(spark, sf):
-    f = P.model_input(_features(spark, sf))
+    """The random split of a written model input: all rows, rows in both
+    parts, rows in none."""
+    f = stash_keys(P.model_input(_features(spark, sf)))
     train, test = E.random_split(f, L.SPLIT_WEIGHTS, L.SPLIT_SEED)
-    return (train.agg(F.count(F.lit(1)).alias("n"))
-            .select(F.lit("train").alias("part"), "n")
-            .unionByName(test.agg(F.count(F.lit(1)).alias("n"))
-                         .select(F.lit("test").alias("part"), "n")))
+    both = train.select(KEY).unionByName(test.select(KEY)).groupBy(KEY).agg(
+        F.count(F.lit(1)).alias("n"))
+    return f.select(KEY).join(both, KEY, "left").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col("n") > 1).alias("n_overlap"),
+        F.count_if(F.col("n").isNull()).alias("n_missing"))
+
+
+def stash_keys(df: DataFrame) -> DataFrame:
+    """The keys of a frame, written once."""
+    return materialize(df.select(KEY))
 
 
 def q29_hash_split(spark, sf):
@@ -273,17 +346,20 @@ def q29_hash_split(spark, sf):
 # Linear models and metrics (Q30-Q36)
 # --------------------------------------------------------------------------
 
-def _linear_models(spark, sf):
-    d = _labeled_numeric(spark, sf, for_fitting=True)
-    train, test = E.materialized_split(d, KEY)
-    one = TR.linear(LABEL, "x").fit(_one_feature(train, ["years_exp"], "x"))
-    two = TR.linear(LABEL, "x").fit(
-        _one_feature(train, ["years_exp", "years_at"], "x"))
-    return d, train, test, one, two
+def _linear_part(spark, sf) -> tuple[DataFrame, DataFrame]:
+    d = _labeled_numeric(spark, sf).select(KEY, "years_exp", "years_at",
+                                           LABEL)
+    return E.materialized_split(d, KEY)
+
+
+def _fit(train: DataFrame, cols: list[str]):
+    return TR.linear(LABEL, "x").fit(_one_feature(train, cols, "x"))
 
 
 def q30_linear_coefs(spark, sf):
-    _, _, _, one, two = _linear_models(spark, sf)
+    train, _ = _linear_part(spark, sf)
+    one = _fit(train, ["years_exp"])
+    two = _fit(train, ["years_exp", "years_at"])
     rows = [("one", "intercept", float(one.intercept)),
             ("one", "years_exp", float(one.coefficients[0])),
             ("two", "intercept", float(two.intercept)),
@@ -294,8 +370,25 @@ def q30_linear_coefs(spark, sf):
         "model", "term", F.round("coef", 4).alias("coef"))
 
 
+def q30b_group_coefs(spark, sf):
+    """The linear family on one contrast column: the intercept is the mean
+    of the dropped group, a coefficient the difference to it."""
+    comp = _comp(spark, sf)
+    learned = P.learn(comp)
+    f = P.encode(P.categorized(comp, learned=learned), learned)
+    vec = P.LINEAR_VEC["gender_idx"]
+    train, _ = E.materialized_split(f.select(KEY, vec, LABEL), KEY)
+    m = TR.linear(LABEL, vec).fit(train)
+    names = learned.labels["gender"]
+    rows = [("intercept", float(m.intercept))] + [
+        (n, float(c)) for n, c in zip(names, m.coefficients)]
+    return spark.createDataFrame(rows, "term string, coef double").select(
+        "term", F.round("coef", 4).alias("coef"))
+
+
 def _scored_two(spark, sf) -> DataFrame:
-    _, _, test, _, two = _linear_models(spark, sf)
+    train, test = _linear_part(spark, sf)
+    two = _fit(train, ["years_exp", "years_at"])
     t = _one_feature(test, ["years_exp", "years_at"], "x")
     return TR.score(two, t, keep=[KEY, LABEL])
 
@@ -319,26 +412,23 @@ def q33_rmse_r2(spark, sf):
 
 def _model_frames(spark, sf):
     """(train, test) of the narrow model input, written once to the
-    checkpoint folder so the many passes of fitting read that copy."""
+    shared folder so the many passes of fitting read that copy."""
     return E.materialized_split(P.model_input(_features(spark, sf)), KEY)
 
 
 def q34_leaderboard(spark, sf):
     train, test = _model_frames(spark, sf)
-    models = TR.fit_many({fam: TR.estimator(fam, LABEL, train) for fam in
+    models = TR.fit_many({fam: TU.estimator(fam, train) for fam in
                           ("linear", "tree", "forest", "boosting")}, train)
-    scored = {fam: TR.score(m, test, keep=[LABEL])
-              for fam, m in models.items()}
-    lb = M.leaderboard(scored, LABEL)
+    lb = M.score_models(models, test, LABEL)
     return lb.select("model", "metric", F.round("value", 6).alias("value"))
 
 
 def q34b_tuned_leaderboard(spark, sf):
     """Default vs tuned (CV, and TVS for linear) per family on the test
-    part, with two-point grids; ``tuning.FULL_GRIDS`` are the original
-    ones."""
+    part, over the original grids with 5 folds."""
     train, test = _model_frames(spark, sf)
-    lb, _ = TU.compare(spark, train, test, TU.SMALL_GRIDS, folds=3)
+    lb, _ = TU.compare(spark, train, test)
     return lb.select("model", "stage", "metric",
                      F.round("value", 6).alias("value"))
 
@@ -350,31 +440,39 @@ def q34c_leaderboard_train_fit(spark, sf):
 
 
 def q35_train_validation(spark, sf):
+    """Train/validation tuning of the linear family, all 30 points."""
     train, _ = _model_frames(spark, sf)
-    lr = TR.linear(LABEL)
-    grid = TR.param_grid(lr, {"regParam": [0.0, 0.1]})
-    tuned = TR.tune_train_validation(lr, grid, train, LABEL)
+    return TR.tuning_table(spark, TU.tune_split(
+        train, "linear", L.LINEAR_GRID)).select(
+        "point", F.round("rmse", 4).alias("rmse"))
+
+
+def q35b_train_validation_exact(spark, sf):
+    """The same split tuning where SQL can follow: one feature, no penalty,
+    with and without intercept."""
+    train, _ = _linear_part(spark, sf)
+    t = _one_feature(train, ["years_exp"], "x")
+    tuned = TR.tune_train_validation(
+        TR.linear(LABEL, "x", regParam=0.0),
+        {"fitIntercept": [True, False]}, t, LABEL, KEY)
     return TR.tuning_table(spark, tuned).select(
         "point", F.round("rmse", 4).alias("rmse"))
 
 
 def q36_cv_folds(spark, sf):
-    train, _ = E.materialized_split(
-        _labeled_numeric(spark, sf, for_fitting=True), KEY)
+    train, _ = _linear_part(spark, sf)
     t = _one_feature(train, ["years_exp"], "x").withColumn(
         "fold", (F.col(KEY) % 5).cast("int"))
-    lr = TR.linear(LABEL, "x", regParam=0.0)
-    grid = TR.param_grid(lr, {"fitIntercept": [True, False]})
-    tuned = TR.tune_cross_validation(lr, grid, t, LABEL, folds=5,
-                                     fold_col="fold")
+    tuned = TR.tune_cross_validation(
+        TR.linear(LABEL, "x", regParam=0.0), {"fitIntercept": [True, False]},
+        t, LABEL, "fold", folds=5)
     return TR.tuning_table(spark, tuned).select(
         "point", F.round("rmse", 4).alias("rmse"))
 
 
 def q36b_linear_grid(spark, sf):
-    """Best parameters of a cross-validated linear model (M16)."""
-    return _grid_best(spark, sf, "linear", {"regParam": [0.1, 0.5],
-                                            "elasticNetParam": [0.0]})
+    """Best parameters of the cross-validated linear model (M16)."""
+    return _grid_best(spark, sf, "linear")
 
 
 # --------------------------------------------------------------------------
@@ -382,8 +480,7 @@ def q36b_linear_grid(spark, sf):
 # --------------------------------------------------------------------------
 
 def _stump_input(spark, sf) -> DataFrame:
-    train, _ = E.materialized_split(
-        _labeled_numeric(spark, sf, for_fitting=True), KEY)
+    train, _ = _linear_part(spark, sf)
     return _one_feature(train, ["years_exp"], "x")
 
 
@@ -398,18 +495,15 @@ def q37_tree_stump(spark, sf):
     return _leaf_result(m, t)
 
 
-def _grid_best(spark, sf, family: str, grid: dict, folds: int = 3):
+def _grid_best(spark, sf, family: str) -> DataFrame:
+    """The winner of a family's original grid, 5 folds."""
     train, _ = _model_frames(spark, sf)
-    t = train.withColumn("fold", (F.col(KEY) % folds).cast("int"))
-    est = TR.estimator(family, LABEL, t)
-    tuned = TR.tune_cross_validation(est, TR.param_grid(est, grid), t, LABEL,
-                                     folds=folds, fold_col="fold")
-    return TR.best_params(spark, tuned)
+    return TR.best_params(spark, TU.tune_family(
+        train, family, TU.FULL_GRIDS[family]))
 
 
 def q38_tree_grid(spark, sf):
-    return _grid_best(spark, sf, "tree", {"maxDepth": [2, 4],
-                                          "maxBins": [37]})
+    return _grid_best(spark, sf, "tree")
 
 
 def q38b_tree_cv_stump(spark, sf):
@@ -417,10 +511,9 @@ def q38b_tree_cv_stump(spark, sf):
     held-out RMSE, exactly checkable by a per-fold split search."""
     t = _stump_input(spark, sf).withColumn(
         "fold", (F.col(KEY) % 3).cast("int"))
-    est = TR.tree(LABEL, "x", max_bins=32, maxDepth=1)
-    grid = TR.param_grid(est, {"maxDepth": [1]})
-    tuned = TR.tune_cross_validation(est, grid, t, LABEL, folds=3,
-                                     fold_col="fold")
+    tuned = TR.tune_cross_validation(
+        TR.tree(LABEL, "x", max_bins=32, maxDepth=1), {"maxDepth": [1]}, t,
+        LABEL, "fold", folds=3)
     return TR.tuning_table(spark, tuned).select(
         "point", F.round("rmse", 4).alias("rmse"))
 
@@ -433,8 +526,7 @@ def q39_forest_stump(spark, sf):
 
 
 def q40_forest_grid(spark, sf):
-    return _grid_best(spark, sf, "forest", {"numTrees": [10, 20],
-                                            "maxDepth": [4]})
+    return _grid_best(spark, sf, "forest")
 
 
 def q41_boost_stump(spark, sf):
@@ -444,25 +536,25 @@ def q41_boost_stump(spark, sf):
 
 
 def q41b_boost_grid(spark, sf):
-    return _grid_best(spark, sf, "boosting", {"maxIter": [5],
-                                              "maxDepth": [2, 3],
-                                              "stepSize": [0.1]})
+    return _grid_best(spark, sf, "boosting")
 
 
 # --------------------------------------------------------------------------
 # Ranking (Q42-Q46)
 # --------------------------------------------------------------------------
 
-CODE_COLUMNS = [("cat_location", "cat_location_idx", "cat_location_vec"),
-                ("std_level", "std_level_idx", "std_level_vec"),
-                ("cat_title", "cat_title_idx", "cat_title_vec"),
-                ("gender", "gender_idx", "gender_vec")]
+CODE_COLUMNS = {"cat_location": "cat_location_vec",
+                "std_level": "std_level_vec", "cat_title": "cat_title_vec",
+                "gender": "gender_vec"}
 
 
 def q42_code_tables(spark, sf):
-    f = _features(spark, sf)
-    off = E.slot_offsets(f, "features", [v for _, _, v in CODE_COLUMNS])
-    return E.code_table(f, [(c, i, off[v]) for c, i, v in CODE_COLUMNS])
+    comp = _comp(spark, sf)
+    learned = P.learn(comp)
+    f = P.encode(P.categorized(comp, learned=learned), learned)
+    at = E.slot_offsets(f, P.FEATURE_COLS)
+    return E.code_table({c: learned.labels[c] for c in CODE_COLUMNS},
+                        {c: at[v] for c, v in CODE_COLUMNS.items()}, spark)
 
 
 def q43_slot_names(spark, sf):
@@ -472,7 +564,7 @@ def q43_slot_names(spark, sf):
 
 def q44_forest_importance(spark, sf):
     train, _ = _model_frames(spark, sf)
-    model = TR.estimator("forest", LABEL, train).fit(train)
+    model = TU.estimator("forest", train).fit(train)
     imp = R.feature_importance(model, train, "features", k=L.TOP_K)
     return imp.select("rank", "idx", "name",
                       F.round("importance", 6).alias("importance"))
@@ -487,18 +579,16 @@ def q45_label_correlation(spark, sf):
 def q45b_correlation_matrix_row(spark, sf):
     f = E.assemble(_features(spark, sf).drop("features"),
                    P.FEATURE_COLS + [LABEL], "features_with_target")
-    names = E.slot_table(f, "features_with_target")
     target = len(E.slot_names(f, "features_with_target")) - 1
-    m = R.correlation_matrix(f, "features_with_target")
-    row = m.where((F.col("i") == target) & (F.col("j") != target))
-    return (row.join(names, row["j"] == names["idx"])
-            .select("idx", "name", F.round("corr", 6).alias("corr")))
+    return R.correlation_row(f, "features_with_target", target).select(
+        "idx", "name", F.round("corr", 6).alias("corr"))
 
 
 def q46_corr_ranked(spark, sf):
     f = _features(spark, sf)
     c = R.label_correlation(f, "features", LABEL)
-    return R.rank_by_abs(c, k=L.TOP_K)
+    return R.rank_by_abs(c, k=L.TOP_K).select(
+        "rank", "idx", "name", F.round("corr", 6).alias("corr"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -2,7 +2,7 @@
 
 Profiles at each cleaning step, value counts, summaries, label histogram,
 bucket cardinality, default vs tuned models (the original grids by
-default: 490 fits with 5 folds), best parameters, forest importances and
+default, with 5 folds), best parameters, forest importances and
 correlation ranks.  Every value is a DataFrame; nothing is printed.
 """
 
@@ -30,7 +30,7 @@ def original_analysis(spark: SparkSession, sf_dir: str,
                       top_k: int = L.TOP_K) -> dict[str, DataFrame]:
     """Run the whole analysis; ``fit_on_train=False`` learns fills and
     indexes on all rows like the original, True on the training part."""
-    comp = comp_view(spark, sf_dir, spread_input=True)
+    comp = comp_view(spark, sf_dir)
     out: dict[str, DataFrame] = {
         "row_count": PR.row_count(comp),
         "schema": PR.schema_profile(comp),
@@ -71,7 +71,7 @@ def original_analysis(spark: SparkSession, sf_dir: str,
                                                 "param", "value")
         best = t if best is None else best.unionByName(t)
     out["best_params"] = best
-    forest = TR.estimator("forest", P.LABEL, train).fit(train)
+    forest = TU.estimator("forest", train).fit(train)
     out["importance"] = R.feature_importance(forest, train, "features",
                                              k=top_k)
     corr = R.label_correlation(feats, "features", P.LABEL)

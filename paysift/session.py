@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings every session should carry.  Shuffle partitions are a floor for
-# local runs; on a cluster size them to ~input bytes / 128-256 MB and let
-# AQE coalesce small ones and split skewed ones.
+# Settings every session should carry.  Master, memory and shuffle
+# partitions belong to the cluster: they are set only when asked for.  Size
+# shuffle partitions to input bytes / 128-256 MB; AQE coalesces small ones
+# and splits skewed ones.
 BASE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -25,14 +25,20 @@ BASE_CONF = {
 
 def get_session(master: str | None = None, app: str = "paysift",
                 shuffle_partitions: int | None = None,
-                driver_memory: str = "16g",
+                driver_memory: str | None = None,
+                checkpoint_dir: str | None = None,
                 extra: dict | None = None) -> SparkSession:
-    """Build (or reuse) a session with the settings above."""
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    b = SparkSession.builder.master(master or f"local[{cpus}]").appName(app)
+    """Build (or reuse) a session with the settings above.  What is not
+    given stays as the cluster or the submit command set it."""
+    b = SparkSession.builder.appName(app)
     conf = dict(BASE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or cpus)
-    conf["spark.driver.memory"] = driver_memory
+    for name, value in (
+            ("spark.master", master),
+            ("spark.sql.shuffle.partitions", shuffle_partitions),
+            ("spark.driver.memory", driver_memory),
+            ("spark.checkpoint.dir", checkpoint_dir)):
+        if value is not None:
+            conf[name] = str(value)
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
@@ -46,9 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in
     ``spark.checkpoint.dir``.
 
-    Read from the session; only in local mode with nothing configured
-    (tests) is a scratch folder created.  On a cluster a missing setting is
-    an error, never a machine-local folder.
+    Read from the session.  On a cluster a missing setting is an error; in
+    local mode (tests) the folder is then one below the session's warehouse.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -56,16 +61,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        local = sc.master == "local" or sc.master.startswith("local[")
+        if not local:
             raise RuntimeError(
                 "spark.checkpoint.dir is not set: point it at a folder "
                 "shared by all executors (e.g. on HDFS or object storage)")
-        # local mode only (tests): the driver is the whole cluster
-        configured = tempfile.mkdtemp(prefix="paysift-ckpt-")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        configured = f"{warehouse}/_checkpoints"
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the checkpoint folder all executors share."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and cut its lineage.
 

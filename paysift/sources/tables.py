@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paysift.functions import lookups as L
+
 # Declared schemas for the driver tables the adapter reads.  Declaring them
 # skips footer-based inference and fixes the types at the source.
 SCHEMAS = {
@@ -50,31 +52,11 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(table_path(sf_dir, name))
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition ``df`` by ``key`` when its scan yields fewer
-    partitions than the session's default parallelism.
-
-    Large inputs split into many partitions on their own and pass through
-    untouched (no shuffle); a small or unsplittable file (one row group, a
-    gzip file) would otherwise put all downstream work in one task.
-    Hashing by a unique key spreads rows evenly and deterministically.
-    """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect)
-        return df
-    if current >= target:
-        return df
-    return df.repartition(target, F.col(key))
-
-
 def _mod(c: Column, m: int) -> Column:
     return c % F.lit(m)
 
 
-def comp_view(spark: SparkSession, sf_dir: str,
-              spread_input: bool = False) -> DataFrame:
+def comp_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The survey-shaped table built from ``orders`` and ``customer``.
 
     One row per order.  Nulls, malformed numbers, outliers and locations of
@@ -83,15 +65,9 @@ def comp_view(spark: SparkSession, sf_dir: str,
     two customer columns are read; the join is planned by Spark (broadcast
     only when the customer side is measured small, else sort-merge with AQE
     skew splitting).
-
-    ``spread_input`` hash-spreads a scan with too few partitions (see
-    ``spread``); feature encoding and model fitting ask for it, since their
-    per-row work dwarfs a shuffle, while light aggregations do not.
     """
     o = load_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    if spread_input:
-        o = spread(o, "o_orderkey")
     c = load_table(spark, sf_dir, "customer").select("c_custkey",
                                                      "c_mktsegment")
     j = o.join(c, o["o_custkey"] == c["c_custkey"], "inner")
@@ -153,6 +129,35 @@ def comp_view(spark: SparkSession, sf_dir: str,
     )
 
 
+def planted_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with company, title, tag and location dealt from the original
+    analysis' own lists by key arithmetic, so that every entry of every list
+    occurs; each list is followed by values it does not know and a null."""
+    k = F.col("o_orderkey")
+
+    def dealt(values: list) -> Column:
+        listed = F.array(*[F.lit(v).cast("string") for v in values])
+        return F.get(listed, (k % len(values)).cast("int"))
+    return load_table(spark, sf_dir, "orders").select(
+        k.alias("rec_id"),
+        *[dealt(v).alias(c) for c, v in planted_values().items()])
+
+
+def planted_values() -> dict[str, list]:
+    """The values ``planted_view`` deals out, per column."""
+    def arms(ladder) -> list[str]:
+        return [v for _, own in ladder for v in own]
+    states = [f"Town, {s}" for s in [*arms(L.US_REGIONS), "ZZ"]]
+    countries = [f"City, Part, {c}" for c in
+                 [*arms(L.COUNTRY_REGIONS), "Nowhere"]]
+    return {
+        "company": [*L.COMPANY_KEEP, "Unlisted Ltd", None],
+        "title": [*arms(L.TITLE_LADDER), "Unlisted Title", None],
+        "tag": [*L.TAG_KEEP, "Unlisted Tag", None],
+        "location": [*states, *countries, "Remote", None],
+    }
+
+
 def register_view(df: DataFrame, name: str) -> DataFrame:
     """Publish ``df`` as a session view; re-registering replaces it."""
     df.createOrReplaceTempView(name)

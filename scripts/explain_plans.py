@@ -40,7 +40,7 @@ def main(argv):
         out += ["```", ""]
     from paysift.plans.features import learning_counts
     from paysift.sources.tables import comp_view
-    df = learning_counts(comp_view(spark, sf, spread_input=True))
+    df = learning_counts(comp_view(spark, sf))
     out += ["## learning pass (plans.features.learning_counts)", "",
             "mode, skill mean and the labels of six indexed columns in one "
             "stacked, partially aggregated pass.", "", "```"]

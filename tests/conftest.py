@@ -10,8 +10,10 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from paysift.session import get_session
-    s = get_session(master="local[*]", shuffle_partitions=8)
+    s = get_session(master="local[*]", shuffle_partitions=8,
+                    driver_memory="8g",
+                    checkpoint_dir=str(tmp_path_factory.mktemp("shared")))
     yield s
     s.stop()
