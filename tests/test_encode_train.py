@@ -39,7 +39,7 @@ def test_assemble_and_slot_names(spark):
     df = E.assemble(df, ["k_vec", "f", "x"], "v")
     names = [n for _, n in E.slot_names(df, "v")]
     assert names == ["k_vec_a", "k_vec_b", "f", "x"]
-    assert E.slot_offsets(df, "v", ["k_vec", "f", "x"]) == {
+    assert E.slot_offsets(df, ["k_vec", "f", "x"]) == {
         "k_vec": 0, "f": 2, "x": 3}
     ex = {(r.key, r.slot, r.val) for r in
           E.explode_vector(df.withColumnRenamed("k", "key"), "key", "v")
@@ -103,9 +103,8 @@ def folds(spark):
 
 def test_cv_with_fold_column_matches_manual(spark, folds):
     lr = TR.linear("y", "v", regParam=0.0)
-    grid = TR.param_grid(lr, {"fitIntercept": [True]})
-    cv = TR.tune_cross_validation(lr, grid, folds, "y", folds=5,
-                                  fold_col="fold")
+    cv = TR.tune_cross_validation(lr, {"fitIntercept": [True]}, folds, "y",
+                                  "fold", folds=5)
     pdf = folds.select("x", "y", "fold").toPandas()
     import numpy as np
     errs = []
@@ -113,7 +112,7 @@ def test_cv_with_fold_column_matches_manual(spark, folds):
         tr, va = pdf[pdf.fold != f], pdf[pdf.fold == f]
         b1, b0 = np.polyfit(tr.x, tr.y, 1)
         errs.append(np.sqrt(np.mean((va.y - (b0 + b1 * va.x)) ** 2)))
-    assert math.isclose(cv.avgMetrics[0], float(np.mean(errs)),
+    assert math.isclose(cv.metrics[0], float(np.mean(errs)),
                         rel_tol=1e-9)
     bp = {r.param: r.value for r in TR.best_params(spark, cv).collect()}
     assert bp["regParam"] == "0.0"
@@ -147,21 +146,19 @@ def test_label_correlation_bounds_and_constant(spark):
     got = {r.name: r.corr for r in
            R.label_correlation(df, "v", "y").collect()}
     assert math.isclose(got["a"], 1.0) and got["z"] is None
-    m = {(r.i, r.j): r.corr for r in R.correlation_matrix(df, "v").collect()}
-    # Spark keeps 1.0 on the diagonal; off-diagonal entries of a constant
-    # slot are undefined and come back as null.
-    assert m[(0, 1)] is None and m[(1, 0)] is None
-    assert math.isclose(m[(0, 0)], 1.0)
+    full = E.assemble(df, ["a", "z", "y"], "w")
+    row = {r.name: r.corr for r in R.correlation_row(full, "w", 2).collect()}
+    # entries of a constant slot are undefined and come back as null
+    assert math.isclose(row["a"], 1.0) and row["z"] is None
+    assert set(row) == {"a", "z"}
     ranked = R.rank_by_abs(R.label_correlation(df, "v", "y"), k=None)
     assert [r.name for r in ranked.collect()] == ["a", "z"]
 
 
 def test_full_grid_presets_sizes(spark):
     from paysift.plans import tuning as TU
-    sizes = {}
-    for fam, grid in TU.FULL_GRIDS.items():
-        est = TR.estimator(fam, "y")
-        sizes[fam] = len(TR.param_grid(est, grid))
+    sizes = {fam: len(TR.grid_points(grid))
+             for fam, grid in TU.FULL_GRIDS.items()}
     assert sizes == {"linear": 30, "tree": 24, "forest": 12, "boosting": 24}
 
 
@@ -176,9 +173,52 @@ def test_cast_all_except_keeps_metadata(spark):
     assert "ml_attr" in out.schema["k_idx"].metadata
 
 
-def test_correlation_matrix_width_guard(spark):
-    df = spark.createDataFrame([(1.0, 2.0), (2.0, 1.0)], "a double, b double")
-    df = E.assemble(df, ["a", "b"], "v")
-    with pytest.raises(ValueError):
-        R.correlation_matrix(df, "v", max_width=1)
-    assert R.correlation_matrix(df, "v").count() == 4
+def test_ranking_compares_raw_values(spark):
+    df = spark.createDataFrame(
+        [(0, "a", 0.1234561), (1, "b", -0.1234564), (2, "c", None)],
+        "idx int, name string, corr double")
+    assert [r.name for r in R.rank_by_abs(df, k=None).collect()] == [
+        "b", "a", "c"]
+
+
+def test_slot_offsets_of_names_that_share_a_prefix(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0)],
+                               "k string, x double")
+    df, _ = E.index_columns(df, ["k"], ["k_idx"])
+    df, _ = E.one_hot(df, ["k_idx"], ["x_vec"])
+    df = E.assemble(df, ["x_vec", "x"], "v")
+    assert E.slot_offsets(df, ["x_vec", "x"]) == {"x_vec": 0, "x": 2}
+
+
+def test_exploding_dense_and_sparse_vectors(spark):
+    from pyspark.ml.linalg import Vectors
+    df = spark.createDataFrame(
+        [(1, Vectors.dense([0.0, 2.0, 3.0])),
+         (2, Vectors.sparse(4, [1, 3], [5.0, 0.0])),
+         (3, Vectors.sparse(2, [], []))], ["k", "v"])
+    assert {tuple(r) for r in E.explode_vector(df, "k", "v").collect()} == {
+        (1, 1, 2.0), (1, 2, 3.0), (2, 1, 5.0)}
+
+
+def test_shared_fits_equal_single_fits(spark):
+    """Depths cut from one deep tree and iterations read from one long
+    boosting run have the errors of models fitted one by one."""
+    rows = [(i, float(i % 13), float(i * 7 % 11), float((i % 13) ** 2
+             + (i * 7 % 11) + i % 5), i % 3) for i in range(400)]
+    df = E.assemble(spark.createDataFrame(
+        rows, "id long, a double, b double, y double, fold int"),
+        ["a", "b"], "v")
+    for est, spec in (
+            (TR.tree("y", "v"), {"maxDepth": [1, 3, 6], "maxBins": [37, 5]}),
+            (TR.boosting("y", "v"), {"maxIter": [2, 5], "maxDepth": [2, 3],
+                                     "stepSize": [0.3]})):
+        tuned = TR.tune_cross_validation(est, spec, df, "y", "fold",
+                                         folds=3)
+        assert tuned.points == TR.grid_points(spec)
+        for point, error in zip(tuned.points, tuned.metrics):
+            errs = [TR.evaluator("y").evaluate(
+                TR._with(est, point).fit(df.where(F.col("fold") != f))
+                .transform(df.where(F.col("fold") == f))) for f in range(3)]
+            assert math.isclose(error, sum(errs) / 3, rel_tol=1e-9)
+        assert tuned.best == tuned.points[tuned.metrics.index(
+            min(tuned.metrics))]

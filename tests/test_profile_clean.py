@@ -148,3 +148,42 @@ def test_column_names_with_spaces_and_slashes(spark):
                   .collect()) == [100.0, 100.0, 100.0]
     vc = PR.value_counts(df, ["Other Details"]).collect()
     assert {(r.value, r.n) for r in vc} == {("x", 1), ("y", 1), (None, 0)}
+
+
+def test_quantiles_are_exact_on_many_rows(spark):
+    from pyspark.sql import functions as F
+    n = 2_100_000
+    df = spark.range(n).select(
+        ((F.col("id") * 7919 + F.col("id") * F.col("id")) % 2_000_003)
+        .alias("v"))
+    import numpy as np
+    i = np.arange(n, dtype=np.int64)
+    v = np.sort((i * 7919 + i * i) % 2_000_003)
+    got = {r.prob: r.value for r in PR.quantiles(
+        df, "v", (0.001, 0.25, 0.5, 0.75, 1.0)).collect()}
+    assert got == {p: float(v[max(int(np.ceil(p * n)), 1) - 1])
+                   for p in (0.001, 0.25, 0.5, 0.75, 1.0)}
+
+
+def test_quantiles_of_nothing(spark):
+    df = spark.createDataFrame([(None,), ("x",)], "v string")
+    assert PR.quantiles(df, "v").count() == 0
+
+
+def test_null_buckets_of_wide_keys(spark):
+    df = spark.createDataFrame([(0, None), (1 << 60, 1), ((1 << 59) - 1, 2),
+                                (-(1 << 63), 3), ((1 << 63) - 1, 4)],
+                               "id long, x int")
+    got = {(r.bucket, r.n_null, r.n) for r in
+           PR.null_rate_by_bucket(df, "id", 4).collect()}
+    assert got == {(0, 0, 1), (2, 1, 3), (3, 0, 1)}
+
+
+def test_fill_constants_skips_other_types(spark):
+    df = spark.createDataFrame([(None, None, None, None)],
+                               "i int, s string, b boolean, d double")
+    r = C.fill_constants(df, {"i": "text", "s": 5, "b": 1, "d": "x",
+                              "gone": "y"}).first()
+    assert tuple(r) == (None, None, None, None)
+    r = C.fill_constants(df, {"i": 1, "s": "a", "b": True, "d": 2}).first()
+    assert tuple(r) == (1, "a", True, 2.0)

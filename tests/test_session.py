@@ -1,4 +1,4 @@
-"""Checkpoint folder rules: read from the session, local fallback only in
+"""Checkpoint folder rules: read from the session, a fallback only in
 local mode, an error on a cluster without a shared folder."""
 
 import pytest
@@ -11,6 +11,8 @@ class _Conf:
         self.value = value
 
     def get(self, key, default=None):
+        if key == "spark.sql.warehouse.dir":
+            return "/shared/warehouse"
         return self.value if key == "spark.checkpoint.dir" else default
 
 
@@ -32,9 +34,11 @@ class _Session:
         self.conf = _Conf(configured)
 
 
-def test_cluster_without_shared_folder_is_an_error():
+@pytest.mark.parametrize("master", ["yarn", "local-cluster[2,1,1024]",
+                                    "spark://host:7077"])
+def test_cluster_without_shared_folder_is_an_error(master):
     with pytest.raises(RuntimeError):
-        ensure_checkpoint_dir(_Session("yarn"))
+        ensure_checkpoint_dir(_Session(master))
 
 
 def test_configured_folder_is_used():
@@ -42,9 +46,46 @@ def test_configured_folder_is_used():
     assert ensure_checkpoint_dir(s) == "hdfs:///shared/ckpt"
 
 
-def test_local_mode_falls_back_to_scratch():
+def test_local_mode_falls_back_to_the_warehouse():
     s = _Session("local[2]")
-    assert ensure_checkpoint_dir(s).startswith("/")
+    assert ensure_checkpoint_dir(s) == "/shared/warehouse/_checkpoints"
+
+
+def test_master_and_partitions_stay_unless_asked(monkeypatch):
+    """A preset master or shuffle setting is not overridden."""
+    from paysift import session as S
+    seen = {}
+
+    class Builder:
+        def appName(self, name):
+            return self
+
+        def config(self, key, value):
+            seen[key] = value
+            return self
+
+        def getOrCreate(self):
+            return spark
+
+    class spark:
+        class sparkContext:
+            @staticmethod
+            def setLogLevel(level):
+                pass
+
+            @staticmethod
+            def getCheckpointDir():
+                return "/shared"
+
+    class Session:
+        builder = Builder()
+    monkeypatch.setattr(S, "SparkSession", Session)
+    S.get_session()
+    assert not {"spark.master", "spark.driver.memory",
+                "spark.sql.shuffle.partitions"} & set(seen)
+    S.get_session(master="local[2]", shuffle_partitions=3)
+    assert seen["spark.master"] == "local[2]"
+    assert seen["spark.sql.shuffle.partitions"] == "3"
 
 
 def test_existing_context_folder_wins(spark):
