@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-
-from paysift.session import ensure_checkpoint_dir
+from paysift.session import ensure_checkpoint_dir, shared_path
 
 
 def pin(df: DataFrame) -> DataFrame:
@@ -16,11 +14,6 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the checkpoint folder all executors share."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it
     back: compressed, prunable by column.  For wide frames."""
