@@ -99,8 +99,79 @@ QUERIES = {
     "op10_substring_fm": op10_substring_fm,
 }
 
+#: Components: the smallest id reachable over ``link``, per row of ``nodes``.
+_REACH = """
+reach AS (
+  SELECT id, id AS top FROM nodes
+  UNION
+  SELECT l.b, r.top FROM reach r JOIN link l ON l.a = r.id
+), comp AS (SELECT id, min(top) AS component_id FROM reach GROUP BY id)"""
+
 #: DuckDB SQL of the same rows, where SQL can express them.
 ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_passes": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT x.id AS a, y.id AS b FROM v x JOIN v y
+  ON x.label = y.label AND x.id <> y.id AND len(x.e) = len(y.e)
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.93
+), nodes AS (SELECT vec_id AS id FROM embeddings),""" + _REACH + r"""
+SELECT c.id AS vec_id, (SELECT count(*) FROM link WHERE a = c.id) AS n_links,
+       component_id, c.id = component_id AS kept
+FROM comp c
+""",
+    "op2_minhash_forest": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT id, ws[i] || ' ' || ws[i + 1] AS g FROM (
+    SELECT id, ws, unnest(range(1, len(ws))) AS i FROM w)
+  UNION ALL SELECT id, ws[1] FROM w WHERE len(ws) = 1
+), n AS (SELECT id, count(*) AS n FROM s GROUP BY id
+), p AS (
+  SELECT x.id AS a, y.id AS b, count(*) AS k FROM s x JOIN s y
+  ON x.g = y.g AND x.id <> y.id GROUP BY 1, 2
+), link AS (
+  SELECT a, b FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b
+  WHERE 100 * k >= 80 * (x.n + y.n - k)
+), nodes AS (SELECT doc_id AS id FROM documents),""" + _REACH + r"""
+SELECT c.id AS doc_id, coalesce(n.n, 0) AS n_shingles, component_id,
+       c.id = component_id AS kept
+FROM comp c LEFT JOIN n ON n.id = c.id
+""",
+    "op10_substring_fm": r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''),
+                                    '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS s FROM (
+    SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w
+    WHERE len(ws) >= 20)
+), rep AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (
+    PARTITION BY s ORDER BY doc_id, i) AS r FROM win) WHERE r > 1
+), gone AS (
+  SELECT DISTINCT doc_id, i + j AS p FROM rep, range(0, 20) t(j)
+), k AS (
+  SELECT w.doc_id, count(*) AS n, count(g.p) AS n_removed,
+         string_agg(w.word, ' ' ORDER BY w.p)
+           FILTER (WHERE g.p IS NULL) AS kept
+  FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p
+        FROM w) w
+  LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.p = w.p GROUP BY w.doc_id
+)
+SELECT w.doc_id, len(w.ws)::BIGINT AS n_words,
+       coalesce(k.n_removed, 0) AS n_removed,
+       sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+""",
     "op6_mix_systematic": r"""
 WITH d AS (
   SELECT doc_id, source,
