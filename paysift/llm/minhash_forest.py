@@ -5,7 +5,9 @@ class.  A class has ``trees`` signatures of ``depth`` minhashes.  All
 signatures of a tree are sorted, and a class's candidates are its ``window``
 neighbours on either side: those with the longest common prefix.  How deep
 the prefix is adapts to the region: in a dense one the neighbours agree on
-many minhashes, in a sparse one on few, down to ``min_depth``.
+many minhashes, in a sparse one on few, down to ``min_depth``.  Classes that
+agree on all minhashes of a tree form a chain there, in an order that differs
+from tree to tree.
 
 Candidates whose minhashes agree too rarely for the threshold (five standard
 deviations) are dropped, the rest form families.  Links are confirmed on full
@@ -13,9 +15,9 @@ sets: first every member against the smallest member of its family (one copy
 of each set is shuffled), then every candidate pair whose ends are not yet
 joined.  Components of the confirmed links are the result.
 
-No task holds a group: signatures are range-sorted with the row's id as the
-last key and read as a stream; only ``2 * window`` rows on each side of a
-partition boundary meet on the driver.
+No task holds a group: signatures are range-sorted with the row's place and
+id as the last keys and read as a stream; only ``2 * window`` rows on each
+side of a partition boundary meet on the driver.
 
 Defined cases: null text, empty text and text without words have the empty
 set, are linked with nothing and kept; a text with fewer words than a shingle
@@ -108,7 +110,8 @@ def signatures(docs: DataFrame, key: str, text: str, shingle: int,
 def _near(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, lag: int,
           from_row: int, min_depth: int, pct: int) -> tuple:
     """Pairs (i, i + lag) of sorted rows that agree on ``min_depth``
-    minhashes and whose sizes allow the similarity; i + lag >= from_row."""
+    minhashes and whose sizes allow the similarity; i + lag >= from_row.
+    Rows that agree on all minhashes form a chain (lag 1)."""
     lo = max(0, from_row - lag)
     a, b = slice(lo, len(ids) - lag), slice(lo + lag, None)
     if lo + lag >= len(ids):
@@ -117,6 +120,8 @@ def _near(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, lag: int,
     small = np.minimum(sizes[a], sizes[b])
     large = np.maximum(sizes[a], sizes[b])
     ok &= (100 * small >= pct * large) & (ids[a] != ids[b])
+    if lag > 1:
+        ok &= (keys[a] != keys[b]).any(axis=1)
     return ids[a][ok], ids[b][ok]
 
 
@@ -130,10 +135,13 @@ def forest_neighbours(classes: DataFrame, trees: int, depth: int,
         "id", "n", "sig")
     rows = rows.select("tree", F.substring(
         F.col("sig"), F.col("tree") * width + 1, F.lit(width)).alias("k"),
-        "id", F.col("n").cast("int").alias("n"))
+        "id", F.col("n").cast("int").alias("n"),
+        # equal signatures stand in another order in every tree
+        F.xxhash64("tree", "id").alias("place"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.repartitionByRange(parts, "tree", "k", "id") \
-        .sortWithinPartitions("tree", "k", "id")
+    order = ["tree", "k", "place", "id"]
+    rows = rows.repartitionByRange(parts, *order) \
+        .sortWithinPartitions(*order).drop("place")
 
     def pairs(batches):
         pid = TaskContext.get().partitionId()
