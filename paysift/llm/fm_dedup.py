@@ -6,9 +6,10 @@ start).  Words covered by a repeating window are removed.
 
 Every window has an anchor, the smallest hash of its ``gram``-word runs (the
 last place of it), so equal windows have equal anchors.  Consecutive windows
-whose anchor is the same place form a segment.  Segments whose anchor occurs once in the corpus cannot repeat and
-drop out by counting (aggregated map-side, joined back).  Equal segments fall
-into one, with the earliest occurrence; those are dealt to shards by anchor.
+whose anchor is the same place form a segment.  Segments whose anchor occurs
+once in the corpus cannot repeat and drop out by counting (aggregated
+map-side, joined back).  Equal segments fall into one, with the earliest
+occurrence; those are dealt to shards by anchor.
 A shard builds an FM-index of its segments - a BWT in a wavelet matrix over
 the shard's own alphabet - and streams the segments through backward search:
 matching statistics up to ``window`` words, whose suffix range holds all
@@ -210,16 +211,23 @@ def _shard_rows(window: int):
         owner = np.repeat(np.arange(len(n)), n)
         offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         place = begin[owner] + offset
-        length, lo, hi = index.matching(codes, place + window, window)
-        assert (length == window).all()
-        # equal windows have equal suffix ranges, different ones disjoint
-        some, back = np.unique(lo, return_inverse=True)
-        ends = np.zeros(len(some), dtype=np.int64)
-        ends[back] = hi
-        cut = np.column_stack((some, ends)).ravel()
-        ages = np.append(age[index.places], total)
-        oldest = np.minimum.reduceat(ages, cut)[::2][back]
-        oldest = order[oldest]
+        # equal windows are searched once
+        runs = run_hash(mix64(codes.astype(_U)), window)[place]
+        _, one, same = np.unique(runs, return_index=True,
+                                 return_inverse=True)
+        where = place[one]
+        length, lo, hi = index.matching(codes, where + window, window,
+                                        lone=True)
+        # a search that ended early has found the window itself only; equal
+        # windows share a range of suffixes, different ones do not
+        oldest = age[where]
+        full = np.flatnonzero((length == window) & (hi - lo > 1))
+        full = full[np.argsort(lo[full])]
+        if len(full):
+            cut = np.column_stack((lo[full], hi[full])).ravel()
+            ages = np.append(age[index.places], total)
+            oldest[full] = np.minimum.reduceat(ages, cut)[::2]
+        oldest = order[oldest[same]]
         bounds = np.concatenate(([0], np.cumsum(n)))
         e_doc, e_at = doc[who[oldest]], start[oldest]
         yield pa.RecordBatch.from_arrays(
@@ -285,7 +293,7 @@ def _earliest(docs: DataFrame, kept: DataFrame, window: int,
 def repeated_starts(docs: DataFrame, key: str = "doc_id",
                     text: str = "text", window: int = 20, gram: int = 5,
                     hot: int = 20_000,
-                    shard_words: int = 1 << 20) -> DataFrame:
+                    shard_words: int = 1 << 18) -> DataFrame:
     """doc, starts: where windows that occurred earlier start, for the
     documents that have any (a null key is the smallest long)."""
     docs = _docs(docs, key, text)

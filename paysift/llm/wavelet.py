@@ -14,6 +14,8 @@ import numpy as np
 import zstandard
 
 _U = np.uint64
+#: _LOW[k] has the k lowest bits set.
+_LOW = (_U(1) << np.arange(64, dtype=_U)) - _U(1)
 
 
 class BitPlane:
@@ -36,8 +38,11 @@ class BitPlane:
     def rank(self, i: np.ndarray) -> np.ndarray:
         """Ones among the first ``i`` bits."""
         w = i >> 6
-        mask = (_U(1) << (i & 63).astype(_U)) - _U(1)
-        return self.before[w] + np.bitwise_count(self.words[w] & mask)
+        word = self.words[w]
+        word &= _LOW[i & 63]
+        out = self.before[w]
+        out += np.bitwise_count(word)
+        return out
 
     def get(self, i: np.ndarray) -> np.ndarray:
         return (self.words[i >> 6] >> (i & 63).astype(_U)) & _U(1) != 0
@@ -96,9 +101,11 @@ class WaveletMatrix:
 
     def _down(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         for level, (plane, zeros) in enumerate(zip(self.planes, self.zeros)):
-            bit = (symbol >> (self.bits - 1 - level)) & 1 != 0
+            bit = symbol & (1 << (self.bits - 1 - level)) != 0
             r = plane.rank(i)
-            i = np.where(bit, zeros + r, i - r)
+            i = i - r
+            r += zeros
+            np.copyto(i, r, where=bit)
         return i
 
     def starts(self, symbol: np.ndarray) -> np.ndarray:
@@ -144,26 +151,30 @@ class WaveletMatrix:
 
 
 def sorted_places(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Places of ``codes`` ordered by the next ``depth`` or more symbols
-    (prefix doubling; the end counts as smallest)."""
+    """Places of ``codes`` ordered by the next ``depth`` or more symbols, in
+    any order where these are equal (prefix doubling from as many symbols as
+    one key holds; the end counts as smallest)."""
     n = len(codes)
-    rank = codes.astype(np.int64) + 1
-    k = 1
+    bits = max(1, int(codes.max(initial=0) + 1).bit_length())
+    k = max(1, min(depth, 62 // bits))
+    key = np.zeros(n, dtype=np.int64)
+    for j in range(k):
+        key <<= bits
+        key[: max(0, n - j)] += codes[j:] + 1
     while True:
-        nxt = np.zeros(n, dtype=np.int64)
-        nxt[: n - k] = rank[k:]
-        key = rank * (int(rank.max(initial=0)) + 1) + nxt
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        k *= 2
+        order = np.argsort(key)
         if k >= depth:
             return order
+        sorted_key = key[order]
         new = np.cumsum(np.concatenate(
             ([1], (sorted_key[1:] != sorted_key[:-1]).astype(np.int64))))
         if new[-1] == n:
             return order
         rank = np.empty(n, dtype=np.int64)
         rank[order] = new
+        key = rank * (int(new[-1]) + 1)
+        key[: n - k] += rank[k:]
+        k *= 2
 
 
 class FMIndex:
@@ -190,10 +201,15 @@ class FMIndex:
         return base + i[:m], base + i[m:]
 
     def matching(self, codes: np.ndarray, ends: np.ndarray,
-                 limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                 limit: int, lone: bool = False
+                 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Matching statistics of a streamed sequence: for every end (one
         past a place of ``codes``) the length of the longest match ending
-        there, up to ``limit``, and its range of suffixes."""
+        there, up to ``limit``, and its range of suffixes.
+
+        With ``lone`` a search ends as soon as one suffix is left, which is
+        right for patterns that are known to occur: their range cannot
+        change, and the length is then the length so far."""
         lo = np.zeros(len(ends), dtype=np.int64)
         hi = np.full(len(ends), len(self.places), dtype=np.int64)
         length = np.zeros(len(ends), dtype=np.int64)
@@ -205,8 +221,13 @@ class FMIndex:
             live, symbol = live[known], symbol[known]
             if not len(live):
                 break
-            a, b = self.extend(symbol, lo[live], hi[live])
+            if step == 1:  # all suffixes that begin with the symbol
+                a, b = self.below[symbol], self.below[symbol + 1]
+            else:
+                a, b = self.extend(symbol, lo[live], hi[live])
             ok = a < b
-            live = live[ok]
-            lo[live], hi[live], length[live] = a[ok], b[ok], step
+            live, a, b = live[ok], a[ok], b[ok]
+            lo[live], hi[live], length[live] = a, b, step
+            if lone:
+                live = live[b - a > 1]
         return length, lo, hi
