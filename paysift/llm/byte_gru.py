@@ -26,13 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile("[A-Za-z]")
 #: Bytes that separate words: ASCII other than letters.
 _SPLIT = bytes(b if b >= 128 or chr(b).isalpha() else 32
                for b in range(256))
 _PIECE = 24
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and (_ASCII_LETTER.search(text) is not None
+                           or any(map(str.isalpha, text)))
+
+
 def letter_runs(text: str) -> list[bytes]:
     """The words of a text, lower-cased, cut into pieces of 24 bytes."""
     words = text.lower().encode().translate(_SPLIT).split()
@@ -268,8 +273,8 @@ def identify_languages(docs: DataFrame, key: str = "doc_id",
             texts = batch.column(2).to_pylist()
             for lo in range(0, len(texts), 256):
                 part = texts[lo:lo + 256]
-                words = [letter_runs(t) if reader and t and
-                         _LETTER.search(t) else [] for t in part]
+                words = [letter_runs(t) if reader and has_letter(t)
+                         else [] for t in part]
                 if reader is None:
                     pred += ["und"] * len(part)
                     score += [0.0] * len(part)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paysift.llm.byte_gru import BiGru, Reader, identify_languages
-from paysift.llm.byte_gru import letter_runs
+from paysift.llm.byte_gru import has_letter, letter_runs
 from paysift.llm.cotrain import fit_logistic, platt, quality_scores
 from paysift.llm.cotrain import telling_words
 from tests.conftest import SMALL
@@ -50,6 +50,12 @@ def test_reader_pools_every_position():
         assert got[1].tolist() == [0, 0]
 
 
+def test_letters_are_unicode_letters():
+    assert [has_letter(t) for t in (None, "", "12 _!", "²Ⅷ", "a", "é",
+                                    "中")] == [
+        False, False, False, False, True, True, True]
+
+
 def test_languages_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{LARGER}/documents.parquet")
     lang = {r.doc_id: r.lang for r in docs.collect()}
