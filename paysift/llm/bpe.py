@@ -1,31 +1,55 @@
 """Token ids of whole texts with the ``tokenizers`` library.
 
-Texts are cut where the tokenizer's own pre-tokenizer cuts them anyway (at
-white space), and every different piece is encoded once per worker: the
-pieces not seen before are encoded in one call, joined by a special token
-that nothing merges with.  A text that holds a special token, or one of the
-few control characters on whose class libraries differ, is encoded whole.
+Texts are cut where the tokenizer's own pre-tokenizer cuts them anyway: at
+white space, and inside plain words between letters, digits and other signs.
+Every different part is encoded once per worker: parts not seen before are
+encoded in one call, joined by a special token that nothing merges with.  A
+text that holds a special token, or white space on which libraries differ, is
+encoded whole.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 
-#: The pieces of a byte-level BPE that keeps white space: a word takes one
-#: blank before it; other white space stands alone.
+#: A byte-level BPE keeps white space: a word takes one blank before it;
+#: other white space stands alone.
 _KEEP = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 _ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
-_LINES = re.compile(r"[ \n]+")
+#: Plain words: ASCII signs and letters, and the letters of Latin-1.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_PLAIN = re.compile(f" ?[!-~{_LETTERS}]+")
+#: The pre-tokenizers' patterns, for plain words.
+_CUT_KEEP = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[%s]+| ?[0-9]+|"
+                       " ?[^ 0-9%s]+" % (_LETTERS, _LETTERS))
+_CUT_DROP = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[%s]+|[0-9]|[^0-9%s]+"
+                       % (_LETTERS, _LETTERS))
+
+
+class _Codes(dict):
+    """Numbers pieces in the order they are first asked for."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = code = len(self)
+        self.fresh.append(piece)
+        return code
 
 
 class Encoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned
-    32-bit bytes, without special tokens added."""
+    32-bit bytes, without special tokens added, closed by the end id.
+
+    ``keep_space``: the tokenizer is byte-level and keeps white space; else
+    it lower-cases and drops it."""
 
     def __init__(self, path: str, end: int, keep_space: bool,
-                 cached: int = 1 << 20):
+                 cached: int = 1 << 19):
         from tokenizers import Tokenizer
         self.whole = Tokenizer.from_file(path)
         self.special = sorted(
@@ -35,34 +59,86 @@ class Encoder:
         self.joint_id = self.whole.token_to_id(self.joint)
         self.keep_space, self.cached = keep_space, cached
         self.end = np.array([end], "<u4").tobytes()
-        self.known: dict[str, bytes] = {}
+        self.line_id = self.whole.encode(
+            "\n", add_special_tokens=False).ids[0] if keep_space else None
+        # ids whose token ends a word
+        self.closes = np.zeros(self.whole.get_vocab_size(), dtype=bool)
+        self.closes[[i for t, i in self.whole.get_vocab().items()
+                     if t.endswith("</w>")]] = True
+        self.codes = _Codes()  # of pieces between white space
+        self.known: list[bytes] = []  # their ids, by code
+        self.parts: dict[str, bytes] = {}  # of their parts
 
     def _pieces(self, text: str) -> list[str] | None:
-        if _ODD.search(text) or any(s in text for s in self.special):
+        if any(s in text for s in self.special):
             return None
+        if not self.keep_space:
+            return text.replace("\n", " ").split(" ")
+        return None if _ODD.search(text) else _KEEP.findall(text)
+
+    def _cut(self, piece: str) -> list[str]:
+        if not _PLAIN.fullmatch(piece):
+            return [piece]
         if self.keep_space:
-            return _KEEP.findall(text)
-        return [p for p in _LINES.split(text) if p]
+            return _CUT_KEEP.findall(piece)
+        return _CUT_DROP.findall(piece.lower())
+
+    def _encode(self, parts: list[str]) -> None:
+        """Encode single parts, many in one call.  Plain ones are divided by
+        a line end's own id or, where white space is dropped, by the ids that
+        end a word; others are joined by a special token."""
+        plain = [p for p in parts if _PLAIN.fullmatch(p)]
+        odd = [p for p in parts if not _PLAIN.fullmatch(p)]
+        for group, joint in ((plain, "\n"), (odd, self.joint)):
+            for lo in range(0, len(group), 2048):
+                part = group[lo:lo + 2048]
+                drop = joint == "\n" and not self.keep_space
+                ids = np.array(self.whole.encode_batch_fast(
+                    [part if drop else joint.join(part)],
+                    is_pretokenized=drop, add_special_tokens=False)[0].ids,
+                    dtype="<u4")
+                if drop:
+                    end = np.flatnonzero(self.closes[ids]) + 1
+                    begin = np.append(0, end[:-1])
+                else:
+                    cut = np.flatnonzero(ids == (
+                        self.joint_id if joint != "\n" else self.line_id))
+                    begin, end = np.append(0, cut + 1), \
+                        np.append(cut, len(ids))
+                if len(end) != len(part):
+                    raise ValueError("the tokenizer joins parts")
+                raw = ids.tobytes()
+                self.parts.update(
+                    (p, raw[i:j]) for p, i, j in zip(
+                        part, (4 * begin).tolist(), (4 * end).tolist()))
 
     def _learn(self, pieces: list[str]) -> None:
-        for lo in range(0, len(pieces), 2048):
-            part = pieces[lo:lo + 2048]
-            ids = np.array(self.whole.encode_batch_fast(
-                [self.joint.join(part)], add_special_tokens=False)[0].ids,
-                dtype="<u4")
-            cut = np.flatnonzero(ids == self.joint_id)
-            assert len(cut) == len(part) - 1
-            begin = [0, *(cut + 1).tolist()]
-            finish = [*cut.tolist(), len(ids)]
-            for p, a, b in zip(part, begin, finish):
-                self.known[p] = ids[a:b].tobytes()
+        if len(self.parts) > self.cached:
+            self.parts.clear()
+        cuts, single = {}, {}
+        for p in pieces:
+            if p.isascii() and p.lstrip(" ").isalpha() and \
+                    (p[0] != " " or p[1] != " "):
+                single[p] = p if self.keep_space else p.lower()
+            else:
+                cuts[p] = self._cut(p)
+        new = set(single.values())
+        new.update(chain.from_iterable(cuts.values()))
+        self._encode(list(new.difference(self.parts)))
+        get = self.parts.__getitem__
+        for p in pieces:
+            one = single.get(p)
+            self.known.append(b"".join(map(get, cuts[p])) if one is None
+                              else get(one))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._pieces(t) for t in texts]
         if len(self.known) > self.cached:
-            self.known.clear()
-        new = {p for s in split if s for p in s}.difference(self.known)
-        self._learn(list(new))
+            self.codes, self.known = _Codes(), []
+        code = self.codes.__getitem__
+        split = [None if s is None else list(map(code, s))
+                 for s in map(self._pieces, texts)]
+        self._learn(self.codes.fresh)
+        self.codes.fresh = []
         get = self.known.__getitem__
         out = []
         for t, s in zip(texts, split):
