@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from paysift.llm.stash import stash
+from paysift.llm.stash import pin, stash
 from paysift.llm.wavelet import FMIndex
 from paysift.llm.words import chunks, hashed_words, mix64, run_hash
 
@@ -270,8 +270,10 @@ def search_shards(content: DataFrame, window: int,
 
 def _survivors(docs: DataFrame, window: int, gram: int) -> DataFrame:
     found = segments(docs, window, gram)
-    again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")) \
-        .filter("c > 1").select("anchor")
+    # pinned, so that both sides of the join are plain shuffles, of which
+    # Spark splits the partition of an anchor with very many segments
+    again = pin(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"))
+                .filter("c > 1").select("anchor"))
     return stash(found.join(again, "anchor")
                  .select("anchor", "seg", "doc", "at", "n"), "segments")
 

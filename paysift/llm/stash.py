@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
+
+from pyspark.sql import DataFrame, SparkSession
 
 from paysift.session import ensure_checkpoint_dir, shared_path
 
@@ -17,6 +19,16 @@ def pin(df: DataFrame) -> DataFrame:
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it
     back: compressed, prunable by column.  For wide frames."""
-    path = shared_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    release(spark)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: the shuffle files of finished
+    steps go only when their plans do, which a driver that is mostly idle
+    puts off while the disks fill."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -51,7 +51,7 @@ def _places(n: int) -> np.ndarray:
     return _PLACES
 
 
-def chunks(texts: list, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def chunks(texts: list, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Index ranges of ``texts`` (bytes) holding about ``limit`` bytes; a
     longer text is a range of its own, whole."""
     start, held = 0, 0
