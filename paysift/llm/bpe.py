@@ -1,8 +1,8 @@
 """Token ids of whole texts with the ``tokenizers`` library.
 
 Texts are cut where the tokenizer's own pre-tokenizer cuts them anyway: at
-white space, and inside plain words between letters, digits and other signs.
-Every different part is encoded once per worker: parts not seen before are
+white space and, where case and white space are dropped, between the letters,
+digits and other signs of plain words.  Every different part is encoded once per worker: parts not seen before are
 encoded in one call, joined by a special token that nothing merges with.  A
 text that holds a special token, or white space on which libraries differ, is
 encoded whole.
@@ -22,9 +22,7 @@ _ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 #: Plain words: ASCII signs and letters, and the letters of Latin-1.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _PLAIN = re.compile(f" ?[!-~{_LETTERS}]+")
-#: The pre-tokenizers' patterns, for plain words.
-_CUT_KEEP = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[%s]+| ?[0-9]+|"
-                       " ?[^ 0-9%s]+" % (_LETTERS, _LETTERS))
+#: The pre-tokenizer's pattern, for plain words.
 _CUT_DROP = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[%s]+|[0-9]|[^0-9%s]+"
                        % (_LETTERS, _LETTERS))
 
@@ -49,7 +47,7 @@ class Encoder:
     it lower-cases and drops it."""
 
     def __init__(self, path: str, end: int, keep_space: bool,
-                 cached: int = 1 << 19):
+                 cached: int = 1 << 18):
         from tokenizers import Tokenizer
         self.whole = Tokenizer.from_file(path)
         self.special = sorted(
@@ -59,12 +57,11 @@ class Encoder:
         self.joint_id = self.whole.token_to_id(self.joint)
         self.keep_space, self.cached = keep_space, cached
         self.end = np.array([end], "<u4").tobytes()
-        self.line_id = self.whole.encode(
-            "\n", add_special_tokens=False).ids[0] if keep_space else None
         # ids whose token ends a word
         self.closes = np.zeros(self.whole.get_vocab_size(), dtype=bool)
         self.closes[[i for t, i in self.whole.get_vocab().items()
                      if t.endswith("</w>")]] = True
+        self.kept: dict[str, bytes] = {}  # ids of pieces with white space
         self.codes = _Codes()  # of pieces between white space
         self.known: list[bytes] = []  # their ids, by code
         self.parts: dict[str, bytes] = {}  # of their parts
@@ -77,77 +74,91 @@ class Encoder:
         return None if _ODD.search(text) else _KEEP.findall(text)
 
     def _cut(self, piece: str) -> list[str]:
-        if not _PLAIN.fullmatch(piece):
-            return [piece]
-        if self.keep_space:
-            return _CUT_KEEP.findall(piece)
-        return _CUT_DROP.findall(piece.lower())
-
-    def _encode(self, parts: list[str]) -> None:
-        """Encode single parts, many in one call.  Plain ones are divided by
-        a line end's own id or, where white space is dropped, by the ids that
-        end a word; others are joined by a special token."""
-        plain = [p for p in parts if _PLAIN.fullmatch(p)]
-        odd = [p for p in parts if not _PLAIN.fullmatch(p)]
-        for group, joint in ((plain, "\n"), (odd, self.joint)):
-            for lo in range(0, len(group), 2048):
-                part = group[lo:lo + 2048]
-                drop = joint == "\n" and not self.keep_space
-                ids = np.array(self.whole.encode_batch_fast(
-                    [part if drop else joint.join(part)],
-                    is_pretokenized=drop, add_special_tokens=False)[0].ids,
-                    dtype="<u4")
-                if drop:
-                    end = np.flatnonzero(self.closes[ids]) + 1
-                    begin = np.append(0, end[:-1])
-                else:
-                    cut = np.flatnonzero(ids == (
-                        self.joint_id if joint != "\n" else self.line_id))
-                    begin, end = np.append(0, cut + 1), \
-                        np.append(cut, len(ids))
-                if len(end) != len(part):
-                    raise ValueError("the tokenizer joins parts")
-                raw = ids.tobytes()
-                self.parts.update(
-                    (p, raw[i:j]) for p, i, j in zip(
-                        part, (4 * begin).tolist(), (4 * end).tolist()))
+        return _CUT_DROP.findall(piece.lower()) \
+            if _PLAIN.fullmatch(piece) else [piece]
+
+    def _encode(self, parts: list[str], out: dict[str, bytes]) -> None:
+        """Encode single parts, many in one call, joined by a special
+        token."""
+        for lo in range(0, len(parts), 2048):
+            part = parts[lo:lo + 2048]
+            ids = np.array(self.whole.encode_batch_fast(
+                [self.joint.join(part)], add_special_tokens=False)[0].ids,
+                dtype="<u4")
+            cut = np.flatnonzero(ids == self.joint_id)
+            self._put(part, ids, np.append(0, cut + 1),
+                      np.append(cut, len(ids)), out)
+
+    def _encode_words(self, parts: list[str]) -> None:
+        """Encode plain parts, many in one call; the ids that end a word
+        divide them."""
+        for lo in range(0, len(parts), 2048):
+            part = parts[lo:lo + 2048]
+            ids = np.array(self.whole.encode_batch_fast(
+                [part], is_pretokenized=True,
+                add_special_tokens=False)[0].ids, dtype="<u4")
+            end = np.flatnonzero(self.closes[ids]) + 1
+            self._put(part, ids, np.append(0, end[:-1]), end, self.parts)
+
+    @staticmethod
+    def _put(part, ids, begin, end, out) -> None:
+        if len(end) != len(part):
+            raise ValueError("the tokenizer joins parts")
+        raw = ids.tobytes()
+        out.update((p, raw[i:j]) for p, i, j in zip(
+            part, (4 * begin).tolist(), (4 * end).tolist()))
 
     def _learn(self, pieces: list[str]) -> None:
         if len(self.parts) > self.cached:
             self.parts.clear()
         cuts, single = {}, {}
         for p in pieces:
-            if p.isascii() and p.lstrip(" ").isalpha() and \
-                    (p[0] != " " or p[1] != " "):
-                single[p] = p if self.keep_space else p.lower()
+            if p.isascii() and p.isalpha():
+                single[p] = p.lower()
             else:
                 cuts[p] = self._cut(p)
         new = set(single.values())
         new.update(chain.from_iterable(cuts.values()))
-        self._encode(list(new.difference(self.parts)))
+        new.difference_update(self.parts)
+        self._encode_words([p for p in new if _PLAIN.fullmatch(p)])
+        self._encode([p for p in new if not _PLAIN.fullmatch(p)],
+                     self.parts)
         get = self.parts.__getitem__
         for p in pieces:
             one = single.get(p)
             self.known.append(b"".join(map(get, cuts[p])) if one is None
                               else get(one))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _kept(self, split: list) -> list:
+        """Ids of pieces that keep their white space, looked up by piece."""
+        if len(self.kept) > self.cached:
+            self.kept.clear()
+        new = {p for s in split if s for p in s}.difference(self.kept)
+        self._encode(list(new), self.kept)
+        get = self.kept.__getitem__
+        return [s and b"".join(map(get, s)) for s in split]
+
+    def _dropped(self, split: list) -> list:
+        """Ids of pieces between white space, numbered once each."""
         if len(self.known) > self.cached:
             self.codes, self.known = _Codes(), []
         code = self.codes.__getitem__
-        split = [None if s is None else list(map(code, s))
-                 for s in map(self._pieces, texts)]
+        split = [s and list(map(code, s)) for s in split]
         self._learn(self.codes.fresh)
         self.codes.fresh = []
         get = self.known.__getitem__
+        return [s and b"".join(map(get, s)) for s in split]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = list(map(self._pieces, texts))
+        found = self._kept(split) if self.keep_space else \
+            self._dropped(split)
         out = []
-        for t, s in zip(texts, split):
+        for t, s, ids in zip(texts, split, found):
             if s is None:
                 ids = np.array(self.whole.encode(
                     t, add_special_tokens=False).ids, "<u4").tobytes()
-            else:
-                ids = b"".join(map(get, s))
-            out.append(ids + self.end)
+            out.append((ids or b"") + self.end)
         return out
 
 
@@ -159,3 +170,9 @@ def encoder(path: str, end: int, keep_space: bool) -> Encoder:
     if path not in _MADE:
         _MADE[path] = Encoder(path, end, keep_space)
     return _MADE[path]
+
+
+def forget() -> None:
+    """Give back the caches: a worker that serves another operator next does
+    not need them."""
+    _MADE.clear()

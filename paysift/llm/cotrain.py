@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (BooleanType, DoubleType, StructField,
                                StructType)
 
+from paysift.llm.bpe import forget
 from paysift.llm.words import chunks, hashed_words
 
 _U = np.uint64
@@ -291,6 +292,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id",
     out = names if carry else [key]
 
     def score(batches):
+        forget()
         for batch in batches:
             n = batch.num_rows
             if model is None:

@@ -93,7 +93,7 @@ def tokenised(docs: DataFrame, key: str, text: str, tokenizer: str,
             raw = [t.encode() for t in texts]
             curve = curve_places(raw, dims, bits)
             n, packed = [], []
-            for lo, hi in chunks(raw):
+            for lo, hi in chunks(raw, 4 << 20):
                 for ids in enc.encode(texts[lo:hi]):
                     n.append(len(ids) // 4)
                     ids = np.frombuffer(ids, "<u4")

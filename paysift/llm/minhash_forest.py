@@ -37,6 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paysift.llm.bpe import forget
 from paysift.llm.graph import components
 from paysift.llm.stash import pin, stash
 from paysift.llm.words import chunks, hashed_words, mix64, run_hash
@@ -85,6 +86,7 @@ def signatures(docs: DataFrame, key: str, text: str, shingle: int,
                n: int, seed: int) -> DataFrame:
     """key, n_shingles, f1 and f2 (fingerprint of the set), sig."""
     def rows(batches):
+        forget()
         family = hash_family(n, seed)
         for batch in batches:
             keys = batch.column(0)
