@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paysift.llm.graph import components
+from paysift.llm.runs import grouped
 from paysift.llm.stash import stash
 
 _ROW = "label long, dim int, key long, id long, vec binary"
@@ -44,32 +45,6 @@ def vectors(column) -> list[np.ndarray]:
     return [np.frombuffer(v.as_buffer(), np.float64) for v in column]
 
 
-def grouped(batches: Iterator[pa.RecordBatch],
-            by: list[int]) -> Iterator[pa.Table]:
-    """Consecutive rows with equal values in the columns ``by``, of a stream
-    sorted by them."""
-    held = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in by]
-        new = np.zeros(batch.num_rows, dtype=bool)
-        for k in keys:
-            new[1:] |= k[1:] != k[:-1]
-        if held and any(held[-1].column(i)[-1] != batch.column(i)[0]
-                        for i in by):
-            yield pa.Table.from_batches(held)
-            held = []
-        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            held.append(batch.slice(lo, hi - lo))
-            if hi < batch.num_rows:
-                yield pa.Table.from_batches(held)
-                held = []
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which of the pairs join two parts not joined by earlier pairs."""
     root: dict[int, int] = {}

@@ -5,15 +5,17 @@ class.  A class has ``trees`` signatures of ``depth`` minhashes.  All
 signatures of a tree are sorted, and a class's candidates are its ``window``
 neighbours on either side: those with the longest common prefix.  How deep
 the prefix is adapts to the region: in a dense one the neighbours agree on
-many minhashes, in a sparse one on few, down to ``min_depth``.  Classes that
-agree on all minhashes of a tree form a chain there, in an order that differs
-from tree to tree.
+many minhashes, in a sparse one on few, down to ``min_depth``.
 
 Candidates whose minhashes agree too rarely for the threshold (five standard
 deviations) are dropped, the rest form families.  Links are confirmed on full
 sets: first every member against the smallest member of its family (one copy
 of each set is shuffled), then every candidate pair whose ends are not yet
-joined.  Components of the confirmed links are the result.
+joined.  More classes than the window holds may agree on all minhashes of a
+tree; such runs are crowded, and what is not yet joined in them is compared
+block against block: signatures first, then the full sets of classes that
+resemble a class of another component.  Components of the confirmed links are
+the result.
 
 No task holds a group: signatures are range-sorted with the row's place and
 id as the last keys and read as a stream; only ``2 * window`` rows on each
@@ -39,6 +41,7 @@ from pyspark.sql import functions as F
 
 from paysift.llm.bpe import forget
 from paysift.llm.graph import components
+from paysift.llm.runs import crowded, dealt, run_links, suspects, with_roots
 from paysift.llm.stash import pin, stash
 from paysift.llm.words import chunks, hashed_words, mix64, run_hash
 
@@ -112,8 +115,7 @@ def signatures(docs: DataFrame, key: str, text: str, shingle: int,
 def _near(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, lag: int,
           from_row: int, min_depth: int, pct: int) -> tuple:
     """Pairs (i, i + lag) of sorted rows that agree on ``min_depth``
-    minhashes and whose sizes allow the similarity; i + lag >= from_row.
-    Rows that agree on all minhashes form a chain (lag 1)."""
+    minhashes and whose sizes allow the similarity; i + lag >= from_row."""
     lo = max(0, from_row - lag)
     a, b = slice(lo, len(ids) - lag), slice(lo + lag, None)
     if lo + lag >= len(ids):
@@ -122,8 +124,6 @@ def _near(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, lag: int,
     small = np.minimum(sizes[a], sizes[b])
     large = np.maximum(sizes[a], sizes[b])
     ok &= (100 * small >= pct * large) & (ids[a] != ids[b])
-    if lag > 1:
-        ok &= (keys[a] != keys[b]).any(axis=1)
     return ids[a][ok], ids[b][ok]
 
 
@@ -282,10 +282,70 @@ def full_sets(docs: DataFrame, ids: DataFrame, key: str, text: str,
         .mapInArrow(rows, "id long, family long, set binary")
 
 
+def close_signatures(least_share: float):
+    """For runs: row -> which rows' signatures agree with its own."""
+    def prepare(data):
+        sig = np.ascontiguousarray(np.stack(
+            [np.frombuffer(x, np.uint16) for x in data]).T)
+        least = least_share * len(sig)
+        return lambda r: (sig == sig[:, r:r + 1]) \
+            .sum(axis=0, dtype=np.uint16) >= least
+    return prepare
+
+
+def close_sets(pct: int):
+    """For runs: row -> which rows' sets are similar to its own."""
+    def prepare(data):
+        sets = [np.frombuffer(x, _U) for x in data]
+        n = np.array([len(x) for x in sets])
+        first = np.cumsum(n) - n
+        found, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        held = np.zeros(len(found), dtype=bool)
+
+        def near(r):
+            own = codes[first[r]:first[r] + n[r]]
+            held[own] = True
+            both = np.add.reduceat(held[codes], first, dtype=np.int64)
+            held[own] = False
+            return 100 * both >= pct * (n + n[r] - both)
+        return near
+    return prepare
+
+
+def crowded_links(docs: DataFrame, classes: DataFrame, groups: DataFrame,
+                  key: str, text: str, shingle: int, pct: int, trees: int,
+                  depth: int, prefix: int, window: int, least_share: float,
+                  block: int) -> DataFrame | None:
+    """a, b: links between components of ``groups`` inside runs that agree
+    on ``prefix`` minhashes of a tree and outgrow the window; None without
+    such runs."""
+    rows = classes.select("id", "sig", F.explode(F.sequence(
+        F.lit(0), F.lit(trees - 1))).alias("tree"))
+    rows = rows.select(F.xxhash64("tree", F.substring(
+        F.col("sig"), F.col("tree") * (2 * depth) + 1, F.lit(2 * prefix)))
+        .alias("run"), "id")
+    rows = pin(with_roots(crowded(rows, window), groups))
+    if rows.isEmpty():
+        return None
+    alike = pin(suspects(
+        dealt(rows, block).join(
+            classes.select("id", F.col("sig").alias("data")), "id"),
+        close_signatures(least_share)))
+    if alike.isEmpty():
+        return None
+    sets = stash(full_sets(
+        docs, alike.select("id", F.col("id").alias("family")).distinct(),
+        key, text, shingle).dropDuplicates(["id"])
+        .select("id", F.col("set").alias("data")), "crowded")
+    return run_links(dealt(rows.join(alike, ["run", "id"]), block)
+                     .join(sets, "id"), close_sets(pct))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id",
                     text: str = "text", shingle: int = 5, pct: int = 80,
                     trees: int = 20, depth: int = 6, window: int = 8,
-                    min_depth: int = 3, seed: int = 11) -> DataFrame:
+                    min_depth: int = 3, seed: int = 11,
+                    block: int = 512) -> DataFrame:
     """key, n_shingles, component_id, kept for every row of ``docs``."""
     n = trees * depth
     signed = stash(signatures(docs, key, text, shingle, n, seed), "sets")
@@ -324,7 +384,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id",
                               F.col("set").alias("x")), "a")
         .join(sets.select(F.col("id").alias("b"),
                           F.col("set").alias("y")), "b"), pct)
-    groups = components(first.union(more))
+    links = pin(first.union(more))
+    groups = pin(components(links))
+    more = crowded_links(docs, classes, groups, key, text, shingle, pct,
+                         trees, depth, depth, window, least_share, block)
+    if more is not None:
+        groups = components(links.union(more))
     root = classes.join(groups, classes["id"] == groups["node"], "left") \
         .select(F.col("n").alias("n_shingles"), "f1", "f2",
                 F.coalesce("component", "id").alias("component_id"))

@@ -48,6 +48,32 @@ def test_near_duplicates_of_a_large_group(spark):
     assert got == cases.near_groups(dict(rows), 2)
 
 
+def star(n, changed, seed):
+    """Copies of one text, similar to it but not to each other; the text
+    itself has the largest id."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(301)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for j in rng.choice(np.arange(1, 300, 2), changed, replace=False):
+            w[j] = f"x{i}y{j}"
+        rows.append((i, " ".join(w)))
+    return rows + [(n, " ".join(base))]
+
+
+@pytest.mark.parametrize("changed", [10])
+def test_near_duplicates_of_a_star(spark, changed):
+    """Every copy reaches the others through the largest id."""
+    rows = star(400, changed, 3)
+    want = cases.near_groups(dict(rows), 2)
+    assert set(want.values()) == {0}
+    got = {r.doc_id: r.component_id for r in near_duplicates(
+        spark.createDataFrame(rows, "doc_id long, text string"), shingle=2,
+        block=64).collect()}
+    assert got == want
+
+
 def test_near_duplicates_awkward_rows(spark):
     got = near_duplicates(cases.awkward(spark), shingle=2).collect()
     assert len(got) == 15
