@@ -5,17 +5,20 @@ class.  A class has ``trees`` signatures of ``depth`` minhashes.  All
 signatures of a tree are sorted, and a class's candidates are its ``window``
 neighbours on either side: those with the longest common prefix.  How deep
 the prefix is adapts to the region: in a dense one the neighbours agree on
-many minhashes, in a sparse one on few, down to ``min_depth``.
+many minhashes, in a sparse one on few, down to ``min_depth``.  Classes that
+agree on all minhashes of a tree are candidates of their direct neighbour
+only; three and more of them are a crowded run.
 
 Candidates whose minhashes agree too rarely for the threshold (five standard
 deviations) are dropped, the rest form families.  Links are confirmed on full
 sets: first every member against the smallest member of its family (one copy
 of each set is shuffled), then every candidate pair whose ends are not yet
-joined.  More classes than the window holds may agree on all minhashes of a
-tree; such runs are crowded, and what is not yet joined in them is compared
-block against block: signatures first, then the full sets of classes that
-resemble a class of another component.  Components of the confirmed links are
-the result.
+joined.  More classes than the window holds may agree on the first
+``min_depth`` minhashes of a tree; such runs are crowded too.  What is not yet
+joined in crowded runs is compared block against block: signatures first, then the
+full sets of classes that resemble a class of another component.  So a pair
+is compared if it agrees on ``min_depth`` minhashes of any tree, however many
+classes do.  Components of the confirmed links are the result.
 
 No task holds a group: signatures are range-sorted with the row's place and
 id as the last keys and read as a stream; only ``2 * window`` rows on each
@@ -42,7 +45,7 @@ from pyspark.sql import functions as F
 from paysift.llm.bpe import forget
 from paysift.llm.graph import components
 from paysift.llm.runs import crowded, dealt, run_links, suspects, with_roots
-from paysift.llm.stash import pin, stash
+from paysift.llm.stash import pin, release, stash
 from paysift.llm.words import chunks, hashed_words, mix64, run_hash
 
 _U = np.uint64
@@ -115,7 +118,8 @@ def signatures(docs: DataFrame, key: str, text: str, shingle: int,
 def _near(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, lag: int,
           from_row: int, min_depth: int, pct: int) -> tuple:
     """Pairs (i, i + lag) of sorted rows that agree on ``min_depth``
-    minhashes and whose sizes allow the similarity; i + lag >= from_row."""
+    minhashes and whose sizes allow the similarity; i + lag >= from_row.
+    Rows that agree on all minhashes form a chain (lag 1)."""
     lo = max(0, from_row - lag)
     a, b = slice(lo, len(ids) - lag), slice(lo + lag, None)
     if lo + lag >= len(ids):
@@ -124,6 +128,8 @@ def _near(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, lag: int,
     small = np.minimum(sizes[a], sizes[b])
     large = np.maximum(sizes[a], sizes[b])
     ok &= (100 * small >= pct * large) & (ids[a] != ids[b])
+    if lag > 1:
+        ok &= (keys[a] != keys[b]).any(axis=1)
     return ids[a][ok], ids[b][ok]
 
 
@@ -314,17 +320,21 @@ def close_sets(pct: int):
 
 def crowded_links(docs: DataFrame, classes: DataFrame, groups: DataFrame,
                   key: str, text: str, shingle: int, pct: int, trees: int,
-                  depth: int, prefix: int, window: int, least_share: float,
-                  block: int) -> DataFrame | None:
+                  depth: int, min_depth: int, window: int,
+                  least_share: float, block: int) -> DataFrame | None:
     """a, b: links between components of ``groups`` inside runs that agree
-    on ``prefix`` minhashes of a tree and outgrow the window; None without
-    such runs."""
+    on ``min_depth`` minhashes of a tree and outgrow the window, or on all
+    and outgrow a pair; None without such runs."""
+    release(docs.sparkSession)
     rows = classes.select("id", "sig", F.explode(F.sequence(
         F.lit(0), F.lit(trees - 1))).alias("tree"))
-    rows = rows.select(F.xxhash64("tree", F.substring(
-        F.col("sig"), F.col("tree") * (2 * depth) + 1, F.lit(2 * prefix)))
-        .alias("run"), "id")
-    rows = pin(with_roots(crowded(rows, window), groups))
+
+    def runs(prefix: int, lag: int) -> DataFrame:
+        return crowded(rows.select(F.xxhash64("tree", F.substring(
+            F.col("sig"), F.col("tree") * (2 * depth) + 1,
+            F.lit(2 * prefix))).alias("run"), "id"), lag)
+    rows = pin(with_roots(runs(min_depth, window).union(runs(depth, 1)),
+                          groups))
     if rows.isEmpty():
         return None
     alike = pin(suspects(
@@ -387,7 +397,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id",
     links = pin(first.union(more))
     groups = pin(components(links))
     more = crowded_links(docs, classes, groups, key, text, shingle, pct,
-                         trees, depth, depth, window, least_share, block)
+                         trees, depth, min_depth, window, least_share, block)
     if more is not None:
         groups = components(links.union(more))
     root = classes.join(groups, classes["id"] == groups["node"], "left") \

@@ -62,8 +62,8 @@ def with_roots(rows: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def dealt(rows: DataFrame, block: int) -> DataFrame:
-    """run, i, j, own, id, root of (run, id, root): every row once for each
-    pair of blocks (i, j), i <= j, in which its block ``own`` meets another
+    """run, i, j, own, id, root, ... of (run, id, root, ...): every row once
+    for each pair of blocks (i, j), i <= j, in which its block ``own`` meets another
     or itself.  Runs that are one component already are left out."""
     size = rows.groupBy("run", "root").count().groupBy("run").agg(
         F.max(F.struct("count", "root")).alias("top"),
@@ -74,15 +74,17 @@ def dealt(rows: DataFrame, block: int) -> DataFrame:
                 F.ceil(F.col("top.count") / block).cast("int").alias("many"))
     h = F.xxhash64("id")
     inside = F.col("root") == F.col("top")
+    more = [c for c in rows.columns if c not in ("run", "id", "root")]
     return rows.join(size, "run").select(
-        "run", "id", "root",
+        "run", "id", "root", *more,
         F.when(inside, F.col("few") + F.pmod(h, F.col("many")))
         .otherwise(F.pmod(h, F.col("few"))).cast("int").alias("own"),
         F.explode(F.sequence(F.lit(0), F.when(inside, F.col("few"))
                              .otherwise(F.col("few") + F.col("many")) - 1))
         .alias("other")) \
         .select("run", F.least("own", "other").alias("i"),
-                F.greatest("own", "other").alias("j"), "own", "id", "root")
+                F.greatest("own", "other").alias("j"), "own", "id", "root",
+                *more)
 
 
 def _blocks(rows: DataFrame, work: Callable, shape: str) -> DataFrame:

@@ -62,7 +62,7 @@ def star(n, changed, seed):
     return rows + [(n, " ".join(base))]
 
 
-@pytest.mark.parametrize("changed", [10])
+@pytest.mark.parametrize("changed", [10, 14])
 def test_near_duplicates_of_a_star(spark, changed):
     """Every copy reaches the others through the largest id."""
     rows = star(400, changed, 3)
