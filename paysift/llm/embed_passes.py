@@ -3,9 +3,12 @@
 Equal vectors of one label fall into one class.  In every pass a class gets a
 key of concatenated one-bit random projections; classes are sorted by (pass,
 label, dimension, key) and compared with their ``window`` next neighbours in
-double precision.  Verified pairs of all passes are united.  The number of
-passes follows from the largest label's size, so that a pair at the threshold
-is missed with probability ``miss`` at most however large the input is.
+double precision.  Verified pairs of all passes are united.  Rows that agree
+on the first ``deep`` bits of a key form a run; where more than the window
+holds do, as in a dense region, what is not yet joined is compared block
+against block.  ``deep`` follows from the largest label's size and the number
+of passes from ``deep``, so that a pair at the threshold shares no run, and is
+missed, with probability ``miss`` at most, however large or dense the input.
 
 A component's direct links are counted exactly afterwards, by comparing its
 members block against block; counts leave the tasks, pairs do not, so there
@@ -35,8 +38,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paysift.llm.graph import components
-from paysift.llm.runs import grouped
-from paysift.llm.stash import stash
+from paysift.llm.runs import (crowded, dealt, grouped, run_links,
+                              with_roots)
+from paysift.llm.stash import pin, stash
 
 _ROW = "label long, dim int, key long, id long, vec binary"
 
@@ -208,6 +212,18 @@ def _by_dim(batches) -> Iterator[tuple]:
                                   np.stack(vecs[lo:hi]))
 
 
+def close_vectors(least: float):
+    """For runs: row -> which rows' vectors are similar to its own."""
+    def prepare(data):
+        vecs = [np.frombuffer(x, np.float64) for x in data]
+        lens = np.array([len(v) for v in vecs])
+        unit = np.zeros((len(vecs), int(lens.max())))
+        for row, v in zip(unit, vecs):
+            row[:len(v)] = v / np.sqrt(v @ v)
+        return lambda r: (unit @ unit[r] >= least) & (lens == lens[r])
+    return prepare
+
+
 def count_links(classes: DataFrame, groups: DataFrame, least: float,
                 block: int) -> DataFrame:
     """id, links: for every class of a component the vectors (copies
@@ -286,11 +302,23 @@ def near_vectors(rows: DataFrame, key: str = "vec_id",
                             "vec binary"), "vectors")
     largest = classes.groupBy("label").count().agg(F.max("count")) \
         .first()[0] or 1
-    deep = max(1.0, math.log2(max(2.0, largest / window)))
+    deep = min(bits, max(1, math.ceil(math.log2(max(2.0,
+                                                    largest / window)))))
     agree = (1 - math.acos(least) / math.pi) ** deep
     passes = max(4, math.ceil(math.log(miss) / math.log1p(-agree)))
-    groups = components(pass_links(
-        keyed(classes, passes, bits, seed), window, least))
+    order = keyed(classes, passes, bits, seed)
+    near = pin(pass_links(order, window, least))
+    groups = pin(components(near))
+    # runs that outgrow the window, where they are not one component yet
+    runs = pin(with_roots(crowded(order.select(
+        F.xxhash64("pass", "label", "dim",
+                   F.shiftright("key", bits - deep)).alias("run"),
+        "id", "label"), window), groups))
+    if not runs.isEmpty():
+        groups = components(near.union(run_links(
+            dealt(runs, block).join(classes.select(
+                "id", "label", F.col("vec").alias("data")),
+                ["id", "label"]), close_vectors(least))))
     links = count_links(classes, groups, least, block)
     known = classes.drop("vec", "label") \
         .join(groups, classes["id"] == groups["node"], "left") \

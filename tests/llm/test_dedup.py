@@ -185,6 +185,29 @@ def test_vectors_of_a_dense_group_and_awkward_rows(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_a_star(spark):
+    """500 vectors near the one with the largest id, in a large label."""
+    rng = np.random.default_rng(6)
+
+    def unit(v):
+        return v / np.linalg.norm(v, axis=-1, keepdims=True)
+    centre = unit(rng.standard_normal(64))
+    side = rng.standard_normal((500, 64))
+    side = unit(side - np.outer(side @ centre, centre))
+    leaves = 0.94 * centre + (1 - 0.94 ** 2) ** 0.5 * side
+    vecs = np.concatenate((leaves, unit(rng.standard_normal((1500, 64))),
+                           centre[None, :]))
+    links = np.argwhere(np.triu(unit(vecs) @ unit(vecs).T >= 0.93, 1))
+    want = cases.components(range(len(vecs)), links.tolist())
+    assert sum(c == 0 for c in want.values()) == 501
+    n = np.bincount(links.ravel(), minlength=len(vecs))
+    got = near_vectors(spark.createDataFrame(
+        [(i, 1, v.tolist()) for i, v in enumerate(vecs)],
+        "vec_id long, label int, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {
+        k: (n[k], want[k]) for k in want}
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + \
         [(100, x) for x in range(101, 160)] + [(7, 7), (None, 3)]
