@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+import zipfile
 
+from pyspark import SparkContext, SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every session should carry.  Master, memory and shuffle
@@ -45,9 +48,35 @@ def get_session(master: str | None = None, app: str = "paysift",
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: list[SparkContext] = []
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, so that functions
+    of its modules run there wherever the driver was started.  The archive
+    is written to the folder Spark keeps for such files on the driver."""
+    sc = spark.sparkContext
+    if any(x is sc for x in _SHIPPED):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    above, name = os.path.split(home)
+    folder = os.path.join(SparkFiles.getRootDirectory(), uuid.uuid4().hex)
+    os.makedirs(folder)
+    archive = os.path.join(folder, f"{name}.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for at, _, files in os.walk(home):
+            for f in files:
+                if f.endswith(".py"):
+                    path = os.path.join(at, f)
+                    z.write(path, os.path.relpath(path, above))
+    sc.addPyFile(archive)
+    _SHIPPED[:] = [sc]
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in
     ``spark.checkpoint.dir``.
