@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
+from paysift.llm.bit_slices import top_inner_products
 from paysift.llm.byte_gru import identify_languages
 from paysift.llm.cotrain import quality_scores
 from paysift.llm.embed_passes import near_vectors
@@ -14,9 +15,12 @@ from paysift.llm.fm_dedup import repeated_starts, strip_repeats
 from paysift.llm.hilbert_pack import pack_along_curve
 from paysift.llm.hyper_shard import shuffle_into_shards
 from paysift.llm.llr_quality import llr_quality
+from paysift.llm.merkle_butterfly import (folded, leaf_digest,
+                                          merkle_manifest, proof_digest)
 from paysift.llm.minhash_forest import near_duplicates
 from paysift.llm.systematic_mix import mix_sources
 from paysift.llm.token_shards import read_shards, write_shards
+from paysift.llm.turn_trie import prefix_trie
 from paysift.llm.words import n_words
 from paysift.session import shared_path
 
@@ -86,6 +90,38 @@ def op10_substring_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strip_repeats(docs, repeated_starts(docs), digest=True)
 
 
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def op11_merkle_butterfly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+
+    def leaf(text):
+        return leaf_digest(*[F.col(c) for c in (
+            "doc_id", "source", "lang", "n_chars")], text)
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    text = F.col("text")
+    rows = docs.select(
+        "doc_id", "lang", leaf(text).alias("leaf"), F.when(third, leaf(
+            F.translate(text, _CAPITALS, _CAPITALS.lower())))
+        .alias("forged"))
+    root = folded(F.coalesce("forged", "leaf"), F.col("proof"))
+    return merkle_manifest(rows, carry=["forged"]).select(
+        "doc_id", "leaf", "subroot", "root",
+        proof_digest(F.col("proof")).alias("proof_sha256"),
+        root.alias("folded_root")) \
+        .withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_table(spark, sf_dir, "conversations")) \
+        .drop("id", "parent")
+
+
+def op13_topk_bit_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_embedding_passes": op1_embedding_passes,
     "op2_minhash_forest": op2_minhash_forest,
@@ -97,6 +133,9 @@ QUERIES = {
     "op8_shard_hypergeometric": op8_shard_hypergeometric,
     "op9_wavelet_tokens": op9_wavelet_tokens,
     "op10_substring_fm": op10_substring_fm,
+    "op11_merkle_butterfly": op11_merkle_butterfly,
+    "op12_turn_trie": op12_turn_trie,
+    "op13_topk_bit_slices": op13_topk_bit_slices,
 }
 
 #: Components: the smallest id reachable over ``link``, per row of ``nodes``.
@@ -107,8 +146,168 @@ reach AS (
   SELECT l.b, r.top FROM reach r JOIN link l ON l.a = r.id
 ), comp AS (SELECT id, min(top) AS component_id FROM reach GROUP BY id)"""
 
+#: CRC-32 by table, as a function of a text.
+_CRC = r"""
+crc_table AS (
+  SELECT list(v ORDER BY i) AS steps FROM (
+    SELECT i, list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, x:
+      CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+    FROM range(256) r(i))
+)"""
+
+
+def _crc(value: str) -> str:
+    return (f"xor(4294967295, list_reduce([4294967295] || list_transform("
+            f"string_split({value}::VARCHAR, ''), lambda s: "
+            f"ascii(s)::BIGINT), lambda c, b: xor(c >> 8, "
+            f"steps[(xor(c, b) & 255) + 1])))")
+
+
+#: Levels that the SQL of the Merkle tree spells out, for each of its trees.
+_LEVELS = 7
+
+
+def _merkle_sql() -> str:
+    def part(c: str) -> str:
+        return (f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, "
+                f"'-')")
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(map(part, (
+            "doc_id", "source", "lang", "n_chars", text))) + ")"
+    out = [f"""
+WITH{_CRC}, d AS (
+  SELECT doc_id, lang, {leaf("text")} AS leaf,
+    CASE WHEN {_crc("doc_id")} % 3 = 0 THEN {leaf(
+        f"translate(text, '{_CAPITALS}', '{_CAPITALS.lower()}')")} END
+      AS forged
+  FROM documents, crc_table
+), a0 AS (
+  SELECT lang AS g, row_number() OVER (
+    PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+    leaf AS h, doc_id, forged FROM d
+)"""]
+
+    def levels(t: str, key: str) -> None:
+        for k in range(_LEVELS):
+            out.append(f""", {t}{k + 1} AS (
+  SELECT g, CASE WHEN n > 1 THEN i // 8 ELSE i END AS i,
+    CASE WHEN max(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i))
+         ELSE min(h) END AS h
+  FROM (SELECT g, i, h, count(*) OVER (PARTITION BY g) AS n FROM {t}{k})
+  GROUP BY g, CASE WHEN n > 1 THEN i // 8 ELSE i END, n
+)""")
+    levels("a", "g")
+    out.append(f""", b0 AS (
+  SELECT 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i, h,
+    g AS lang FROM a{_LEVELS}
+)""")
+    levels("b", "g")
+    # fold: x is the own node, p the siblings' digests so far
+    out.append(f""", f0 AS (
+  SELECT g, i, i AS row, h AS leaf, doc_id, coalesce(forged, h) AS x,
+    '' AS p FROM a0
+)""")
+
+    def fold(t: str, f: str, k: int) -> None:
+        out.append(f""", {f}{k + 1} AS (
+  WITH r AS (SELECT g, i // 8 AS up, list(h ORDER BY i) AS hs,
+               sum(count(*)) OVER (PARTITION BY g) AS n
+             FROM {t}{k} GROUP BY g, i // 8)
+  SELECT {f}{k}.* REPLACE (
+    CASE WHEN r.n > 1 THEN {f}{k}.i // 8 ELSE {f}{k}.i END AS i,
+    CASE WHEN r.n > 1 THEN sha256(array_to_string(hs[:{f}{k}.i % 8] || [x]
+      || hs[{f}{k}.i % 8 + 2:], '')) ELSE x END AS x,
+    CASE WHEN r.n > 1 THEN p || array_to_string(hs[:{f}{k}.i % 8]
+      || hs[{f}{k}.i % 8 + 2:], '') ELSE p END AS p)
+  FROM {f}{k} JOIN r ON r.g IS NOT DISTINCT FROM {f}{k}.g
+    AND r.up = {f}{k}.i // 8
+)""")
+    for k in range(_LEVELS):
+        fold("a", "f", k)
+    out.append(f""", e0 AS (
+  SELECT 0 AS g, b0.i, f.leaf, f.doc_id, f.x, f.p, b0.h AS subroot
+  FROM f{_LEVELS} f JOIN b0 ON b0.lang IS NOT DISTINCT FROM f.g
+)""")
+    for k in range(_LEVELS):
+        fold("b", "e", k)
+    out.append(f"""
+SELECT doc_id, leaf, subroot, b.h AS root, sha256(p) AS proof_sha256,
+       x AS folded_root, x = b.h AS verified
+FROM e{_LEVELS}, b{_LEVELS} b
+""")
+    return "".join(out)
+
+
 #: DuckDB SQL of the same rows, where SQL can express them.
 ORACLE_SQL: dict[str, str] = {
+    "op11_merkle_butterfly": _merkle_sql(),
+    "op12_turn_trie": f"""
+WITH{_CRC}, t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id
+           ORDER BY turn NULLS FIRST, id) - 1 AS pos, id, size
+  FROM (SELECT conv_id, turn, md5(strlen(coalesce(role, '')) || ':'
+                 || coalesce(role, '') || coalesce(text, '')) AS id,
+          length(coalesce(text, '')) AS size FROM conversations)
+  WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT c, c - c % 100 AS base, {_crc("c")} % 6 AS h
+  FROM (SELECT DISTINCT c FROM t), crc_table
+), turns AS (
+  SELECT c.c, 0 AS part, pos, id, size
+  FROM c JOIN t ON t.c = c.base WHERE pos < h
+  UNION ALL
+  SELECT c.c, 1, pos, id, size FROM c JOIN t ON t.c = c.c WHERE pos >= h
+), seq AS (
+  SELECT c.c, coalesce(s.ids, []) AS ids, coalesce(s.sizes, []) AS sizes
+  FROM c LEFT JOIN (SELECT c, list(id ORDER BY part, pos) AS ids,
+                      list(size ORDER BY part, pos) AS sizes
+                    FROM turns GROUP BY c) s ON s.c = c.c
+), m AS (
+  SELECT c, d, ids[:d] AS path, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END
+    AS size, d = len(ids) AS ends
+  FROM (SELECT c, ids, sizes, unnest(range(0, len(ids) + 1)) AS d FROM seq)
+), n AS (
+  SELECT path, d AS depth, min(c) AS conv_id, count(*) AS n_convs,
+    (count(*) - 1) * max(size) AS saved,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c)
+                      FILTER (WHERE ends), '')) AS ends_sha256
+  FROM m GROUP BY path, d
+), k AS (
+  SELECT path[:depth - 1] AS path, count(*) AS n_children FROM n
+  WHERE depth > 0 GROUP BY 1
+), sums AS (
+  SELECT n.path[:up] AS path,
+    count(*) FILTER (WHERE k.path IS NULL) AS n_leaves,
+    sum(saved) AS saved_tokens
+  FROM (SELECT path, saved, unnest(range(0, depth + 1)) AS up FROM n) n
+  LEFT JOIN k ON k.path = n.path GROUP BY 1
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id,
+       n.n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves,
+       s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM n JOIN sums s ON s.path = n.path LEFT JOIN k ON k.path = n.path
+LEFT JOIN n p ON n.depth > 0 AND p.path = n.path[:n.depth - 1]
+""",
+    "op13_topk_bit_slices": r"""
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id,
+    list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding,
+    lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.r, a.vec_id AS query_id, b.vec_id,
+    coalesce(list_sum(list_transform(list_zip(a.q, b.q),
+      lambda z: z[1] * z[2])), 0)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.r <> b.r
+    AND len(a.q) = len(b.q)
+)
+SELECT * EXCLUDE (r) FROM (
+  SELECT r, query_id, row_number() OVER (PARTITION BY r
+    ORDER BY score DESC, vec_id NULLS FIRST)::INTEGER AS rank, vec_id, score
+  FROM s)
+WHERE rank <= 10
+""",
     "op1_embedding_passes": r"""
 WITH RECURSIVE v AS (
   SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings
