@@ -4,6 +4,10 @@ A window is ``window`` consecutive words of one document; it repeats if the
 same word sequence starts earlier (smaller key, or same key and earlier
 start).  Words covered by a repeating window are removed.
 
+A document is a key and a text: rows are told apart by the key and a 64-bit
+hash of key and text, so rows that share a key, or have none, keep their own
+starts.  Among documents of one key the hash is the order.
+
 Every window has an anchor, the smallest hash of its ``gram``-word runs (the
 last place of it), so equal windows have equal anchors.  Consecutive windows
 whose anchor is the same place form a segment.  Segments whose anchor occurs
@@ -24,9 +28,10 @@ windows instead, by the hash of the window, after equal windows are merged.
 Words are compared as 64-bit hashes.
 
 Defined cases: null or empty text has no words; a null key counts as the
-smallest; rows that repeat a key count as one document (what one loses, the
-other loses at the same place; equal starts do not repeat each other); an
-empty table gives an empty result; extra columns are ignored.
+smallest; rows that repeat a key with different texts are documents of their
+own; rows that repeat key and text are one document (each loses the same
+words; equal starts do not repeat each other); an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -103,12 +108,22 @@ def _segments(h: np.ndarray, first: np.ndarray, window: int,
     return text[at], at - first[text[at]], count, anchor[at], seg
 
 
-_SEGMENT = "anchor long, seg long, doc long, at int, n int"
+_SEGMENT = "anchor long, seg long, doc long, who long, at int, n int"
+
+
+def _doc(key: Column) -> Column:
+    return F.coalesce(key.cast("long"), F.lit(_LOW))
+
+
+def _who(key: Column, text: Column) -> Column:
+    return F.xxhash64(key.cast("long"), F.coalesce(text.cast("string"),
+                                                   F.lit("")))
 
 
 def _docs(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(
-        F.coalesce(F.col(key).cast("long"), F.lit(_LOW)).alias("doc"),
+        _doc(F.col(key)).alias("doc"),
+        _who(F.col(key), F.col(text)).alias("who"),
         F.col(text).cast("binary").alias("text"))
 
 
@@ -117,20 +132,22 @@ def _texts(column) -> list[bytes]:
 
 
 def segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """Every segment of every text (doc, text)."""
+    """Every segment of every text (doc, who, text)."""
     def rows(batches):
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            texts = _texts(batch.column(1))
+            who = batch.column(1).to_numpy()
+            texts = _texts(batch.column(2))
             for lo, hi in chunks(texts):
                 h, first = hashed_words(texts[lo:hi])
                 t, at, n, anchor, seg = _segments(h, first, window, gram)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(anchor.view(np.int64)),
                      pa.array(seg.view(np.int64)), pa.array(keys[lo:hi][t]),
+                     pa.array(who[lo:hi][t]),
                      pa.array(at.astype(np.int32)),
                      pa.array(n.astype(np.int32))],
-                    names=["anchor", "seg", "doc", "at", "n"])
+                    names=["anchor", "seg", "doc", "who", "at", "n"])
     return docs.mapInArrow(rows, _SEGMENT)
 
 
@@ -138,17 +155,18 @@ def with_words(docs: DataFrame, wanted: DataFrame,
                window: int) -> DataFrame:
     """The segments (as in ``wanted``) with their words' hashes; those of hot
     anchors as single windows (route: anchor, or hash of the window)."""
-    lists = wanted.groupBy("doc").agg(F.collect_list(
+    lists = wanted.groupBy("doc", "who").agg(F.collect_list(
         F.struct("anchor", "seg", "at", "n", "hot")).alias("segs"))
 
     def rows(batches):
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            texts = _texts(batch.column(1))
-            wants = batch.column(2)
+            who = batch.column(1).to_pylist()
+            texts = _texts(batch.column(2))
+            wants = batch.column(3)
             for lo, hi in chunks(texts):
                 h, first = hashed_words(texts[lo:hi])
-                out = [[] for _ in range(7)]
+                out = [[] for _ in range(8)]
 
                 def put(*row):
                     for column, x in zip(out, row):
@@ -158,26 +176,26 @@ def with_words(docs: DataFrame, wanted: DataFrame,
                     for x in wants[i].as_py():
                         at, n = x["at"], x["n"]
                         w = own[at:at + n + window - 1]
-                        if len(w) < n + window - 1:
-                            continue  # another row of a repeated key
                         if not x["hot"]:
                             put(x["anchor"], x["anchor"], x["seg"], keys[i],
-                                at, n, w.tobytes())
+                                who[i], at, n, w.tobytes())
                             continue
                         for o in range(n):
                             one = w[o:o + window]
                             r = int(run_hash(one, window).view(np.int64)[0])
-                            put(r, x["anchor"], x["seg"], keys[i], at + o,
-                                -1 - o, one.tobytes())
+                            put(r, x["anchor"], x["seg"], keys[i], who[i],
+                                at + o, -1 - o, one.tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(out, (
                         pa.int64(), pa.int64(), pa.int64(), pa.int64(),
-                        pa.int32(), pa.int32(), pa.binary()))],
-                    names=["route", "anchor", "seg", "doc", "at", "n",
+                        pa.int64(), pa.int32(), pa.int32(), pa.binary()))],
+                    names=["route", "anchor", "seg", "doc", "who", "at", "n",
                            "words"])
-    return docs.join(lists, "doc").select("doc", "text", "segs").mapInArrow(
-        rows, "route long, anchor long, seg long, doc long, at int, n int, "
-              "words binary")
+    # rows that repeat key and text give their words once
+    return docs.dropDuplicates(["doc", "who"]).join(lists, ["doc", "who"]) \
+        .select("doc", "who", "text", "segs").mapInArrow(
+            rows, "route long, anchor long, seg long, doc long, who long, "
+                  "at int, n int, words binary")
 
 
 def _shard_rows(window: int):
@@ -191,6 +209,7 @@ def _shard_rows(window: int):
                  shard.column("words").to_pylist()]
         lens = np.array([len(w) for w in words])
         doc = shard.column("doc").to_numpy()
+        row = shard.column("who").to_numpy()
         at = shard.column("at").to_numpy()
         _, code = np.unique(np.concatenate(words), return_inverse=True)
         # one text of all segments, each behind a separator 0
@@ -201,10 +220,10 @@ def _shard_rows(window: int):
             np.repeat(np.arange(1, len(lens) + 1), lens)
         codes[inner] = code + 1
         index = FMIndex(codes, window)
-        # order of all places by (doc, start)
+        # order of all places by (doc, who, start)
         who = np.repeat(np.arange(len(lens)), lens)
         start = at[who] + (inner - begin[who])
-        order = np.lexsort((start, doc[who]))
+        order = np.lexsort((start, row[who], doc[who]))
         age = np.full(total, total, dtype=np.int64)
         age[inner[order]] = np.arange(len(order))
         n = lens - window + 1
@@ -229,43 +248,43 @@ def _shard_rows(window: int):
             oldest[full] = np.minimum.reduceat(ages, cut)[::2]
         oldest = order[oldest[same]]
         bounds = np.concatenate(([0], np.cumsum(n)))
-        e_doc, e_at = doc[who[oldest]], start[oldest]
+        e_who, e_at = row[who[oldest]], start[oldest]
         yield pa.RecordBatch.from_arrays(
             [shard.column(c).combine_chunks() for c in
              ("route", "anchor", "seg", "n")] +
             [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()),
-                                      pa.array(e_doc, pa.int64())),
+                                      pa.array(e_who, pa.int64())),
              pa.ListArray.from_arrays(pa.array(bounds, pa.int32()),
                                       pa.array(e_at, pa.int32()))],
-            names=["route", "anchor", "seg", "n", "e_doc", "e_at"])
+            names=["route", "anchor", "seg", "n", "e_who", "e_at"])
     return rows
 
 
 def search_shards(content: DataFrame, window: int,
                   shard_words: int) -> DataFrame:
-    """anchor, seg, off (of a single window; else null), e_doc, e_at: the
+    """anchor, seg, off (of a single window; else null), e_who, e_at: the
     earliest occurrence of each window of the segments."""
     shape = "route long, anchor long, seg long, n int, " \
-            "e_doc array<long>, e_at array<int>"
+            "e_who array<long>, e_at array<int>"
     total = content.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     shards = max(1, -(-total // (8 * shard_words)))
     whole = content.filter("n > 0").repartition(shards, "route") \
         .mapInArrow(_shard_rows(window), shape)
     single = content.filter("n < 0")
     merged = single.groupBy("route").agg(
-        F.min(F.struct("doc", "at")).alias("m"), F.first("words")
+        F.min(F.struct("doc", "who", "at")).alias("m"), F.first("words")
         .alias("words")) \
         .select("route", F.lit(0).cast("long").alias("anchor"),
-                F.lit(0).cast("long").alias("seg"), "m.doc", "m.at",
-                F.lit(1).alias("n"), "words")
+                F.lit(0).cast("long").alias("seg"), "m.doc", "m.who",
+                "m.at", F.lit(1).alias("n"), "words")
     found = merged.repartition(shards, "route") \
         .mapInArrow(_shard_rows(window), shape) \
-        .select("route", "e_doc", "e_at")
+        .select("route", "e_who", "e_at")
     single = single.select("route", "anchor", "seg",
                            (-1 - F.col("n")).alias("off")) \
-        .join(found, "route").select("anchor", "seg", "off", "e_doc", "e_at")
+        .join(found, "route").select("anchor", "seg", "off", "e_who", "e_at")
     return whole.select("anchor", "seg", F.lit(None).cast("int")
-                        .alias("off"), "e_doc", "e_at").union(single)
+                        .alias("off"), "e_who", "e_at").union(single)
 
 
 def _survivors(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -275,15 +294,16 @@ def _survivors(docs: DataFrame, window: int, gram: int) -> DataFrame:
     again = pin(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"))
                 .filter("c > 1").select("anchor"))
     return stash(found.join(again, "anchor")
-                 .select("anchor", "seg", "doc", "at", "n"), "segments")
+                 .select("anchor", "seg", "doc", "who", "at", "n"),
+                 "segments")
 
 
 def _earliest(docs: DataFrame, kept: DataFrame, window: int,
               hot: int, shard_words: int) -> DataFrame:
     """The earliest occurrences of the windows of all kept segments."""
     once = kept.groupBy("anchor", "seg").agg(
-        F.min(F.struct("doc", "at", "n")).alias("m")) \
-        .select("anchor", "seg", "m.doc", "m.at", "m.n")
+        F.min(F.struct("doc", "who", "at", "n")).alias("m")) \
+        .select("anchor", "seg", "m.doc", "m.who", "m.at", "m.n")
     many = once.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")) \
         .filter(F.col("c") > hot).select("anchor", F.lit(True).alias("hot"))
     once = once.join(many, "anchor", "left") \
@@ -296,21 +316,21 @@ def repeated_starts(docs: DataFrame, key: str = "doc_id",
                     text: str = "text", window: int = 20, gram: int = 5,
                     hot: int = 20_000,
                     shard_words: int = 1 << 18) -> DataFrame:
-    """doc, starts: where windows that occurred earlier start, for the
+    """doc, who, starts: where windows that occurred earlier start, for the
     documents that have any (a null key is the smallest long)."""
     docs = _docs(docs, key, text)
     kept = _survivors(docs, window, gram)
     early = _earliest(docs, kept, window, hot, shard_words)
     at = F.col("at") + F.coalesce("off", F.lit(0))
     repeats = F.filter(
-        F.transform(F.col("e_doc"), lambda d, i: F.when(
-            (d != F.col("doc")) | (F.get("e_at", i) != at + i), at + i)),
+        F.transform(F.col("e_who"), lambda d, i: F.when(
+            (d != F.col("who")) | (F.get("e_at", i) != at + i), at + i)),
         lambda x: x.isNotNull())
     return stash(
         kept.join(early, ["anchor", "seg"])
-        .select("doc", repeats.alias("s")).filter(F.size("s") > 0)
-        .groupBy("doc").agg(F.flatten(F.collect_list("s")).alias("starts")),
-        "starts")
+        .select("doc", "who", repeats.alias("s")).filter(F.size("s") > 0)
+        .groupBy("doc", "who").agg(
+            F.flatten(F.collect_set("s")).alias("starts")), "starts")
 
 
 def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -335,9 +355,11 @@ def strip_repeats(docs: DataFrame, starts: DataFrame, key: str = "doc_id",
     else:
         docs = docs.drop("n_words", "n_removed")
         schema = docs.schema
-    doc = F.coalesce(F.col(f"d.{key}").cast("long"), F.lit(_LOW))
-    rows = docs.alias("d").join(starts.alias("s"), doc == F.col("s.doc"),
-                                "left").select("d.*", "s.starts")
+    own, said = F.col(f"d.{key}"), F.col(f"d.{text}")
+    rows = docs.alias("d").join(
+        starts.alias("s"), (_doc(own) == F.col("s.doc"))
+        & (_who(own, said) == F.col("s.who")), "left") \
+        .select("d.*", "s.starts")
     names = docs.columns
     place = names.index(text)
 
