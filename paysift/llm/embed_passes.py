@@ -14,9 +14,12 @@ A component's direct links are counted exactly afterwards, by comparing its
 members block against block; counts leave the tasks, pairs do not, so there
 is no cap on a vector's partners.
 
+Vectors are scaled to unit length once; all steps compare those by one rule.
+
 No task holds a group: sorted rows are read as a stream with the last
-``window`` rows kept, rows around a partition boundary meet in a second small
-step, and members of a large component are dealt to blocks of ``block`` rows.
+``window`` rows kept, rows around partition boundaries meet in a second small
+step by their places in the whole order, and members of a large component are
+dealt to blocks of ``block`` rows.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components, rows with a null label and rows with a null key link with nothing
@@ -34,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paysift.llm.graph import components
@@ -67,19 +70,38 @@ def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def units(vec: np.ndarray) -> np.ndarray:
+    """Rows divided by their length; by their largest component first, so
+    that squares neither overflow nor vanish."""
+    vec = vec / np.abs(vec).max(axis=1, keepdims=True)
+    return vec / np.sqrt(np.einsum("ij,ij->i", vec, vec))[:, None]
+
+
+def settle(cos: np.ndarray, x: np.ndarray, y: np.ndarray,
+           least: float) -> np.ndarray:
+    """Which cosines reach ``least``; ``cos`` has those of the unit vectors
+    ``x`` with ``y``, row by row or (two axes) each with each.  Sums so close
+    to the threshold that their order could decide are taken again, exactly
+    rounded, so that all steps decide a pair alike."""
+    ok = cos >= least
+    for at in zip(*np.nonzero(np.abs(cos - least) < 1e-12)):
+        ok[at] = math.fsum(x[at[0]] * y[at[-1]]) >= least
+    return ok
+
+
 def _links(group: np.ndarray, ids: np.ndarray, vec: np.ndarray, lo: int,
            window: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Verified pairs among ``window`` neighbours, one end at ``lo`` or
     later; of those only what joins new parts."""
-    norm = np.sqrt(np.einsum("ij,ij->i", vec, vec))
     out_a, out_b = [], []
     for g in range(1, window + 1):
         s = max(0, lo - g)
         if s + g >= len(ids):
             continue
         x, y = slice(s, len(ids) - g), slice(s + g, None)
-        cos = np.einsum("ij,ij->i", vec[x], vec[y]) / (norm[x] * norm[y])
-        ok = (cos >= least) & (group[x] == group[y]).all(axis=1)
+        cos = np.einsum("ij,ij->i", vec[x], vec[y])
+        ok = settle(cos, vec[x], vec[y], least) & \
+            (group[x] == group[y]).all(axis=1)
         out_a.append(ids[x][ok])
         out_b.append(ids[y][ok])
     a = np.concatenate(out_a) if out_a else ids[:0]
@@ -99,7 +121,8 @@ def usable(label: str, vec: str):
 
 def keyed(classes: DataFrame, passes: int, bits: int,
           seed: int) -> DataFrame:
-    """Every class once per pass, with its projection key."""
+    """Every class once per pass, with its projection key (``vec``: unit
+    vectors)."""
     def rows(batches):
         planes: dict[int, np.ndarray] = {}
         weights = np.int64(1) << np.arange(bits, dtype=np.int64)[::-1]
@@ -126,55 +149,73 @@ def keyed(classes: DataFrame, passes: int, bits: int,
 
 
 def pass_links(rows: DataFrame, window: int, least: float) -> DataFrame:
-    """a, b: verified neighbours in the order of some pass."""
+    """a, b: verified neighbours in the order of some pass.
+
+    A partition compares its own rows as a stream and hands on its first and
+    last ``window`` rows.  With the partitions' sizes these get their places
+    in the whole order, and meet in cells of ``window`` places: rows of a cell
+    and the next one.  So neighbours meet however many partitions, short or
+    empty ones too, lie between them.
+    """
     spark = rows.sparkSession
     order = ["pass", "label", "dim", "key", "id"]
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.repartitionByRange(parts, *order) \
         .sortWithinPartitions(*order)
-    shape = "a long, b long, border int, last boolean, at int, pass int, " \
+    shape = "a long, b long, part int, at long, size long, pass int, " \
         "label long, dim int, vec binary"
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(),
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(),
              pa.int32(), pa.int64(), pa.int32(), pa.binary()]
     names = [x.split()[0] for x in shape.split(", ")]
 
+    def batch_of(m: int, **columns):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(columns[n], t) if n in columns else pa.nulls(m, t)
+             for n, t in zip(names, types)], names=names)
+
     def compare(batches):
         pid = TaskContext.get().partitionId()
 
-        def edge(group, ids, vec, border, last):
+        def edge(at, group, ids, vec):
             m = len(ids)
-            data = [ids, [None] * m, [border] * m, [last] * m, range(m),
-                    group[:, 0], group[:, 1], group[:, 2],
-                    [v.tobytes() for v in vec]]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(data, types)], names=names)
-        tail, seen = None, 0
+            return batch_of(m, a=ids, part=[pid] * m,
+                            at=np.arange(at, at + m), **{
+                                "pass": group[:, 0], "label": group[:, 1],
+                                "dim": group[:, 2],
+                                "vec": [v.tobytes() for v in vec]})
+        tail, last, seen = None, [], 0
         for _, block in _by_dim(batches):
             group, ids, vec = block
-            if seen < window:  # meets the end of the partition before
-                m = min(window - seen, len(ids))
-                yield edge(group[:m], ids[:m], vec[:m], pid - 1, False)
-            seen += len(ids)
+            m = min(max(window - seen, 0), len(ids))
+            if m:
+                yield edge(seen, group[:m], ids[:m], vec[:m])
+            n = len(ids)
+            if m < n:  # what may be among the partition's last rows
+                k = max(m, n - window)
+                last.append((seen + k, group[k:], ids[k:], vec[k:]))
+                while sum(len(x[2]) for x in last[1:]) >= window:
+                    last.pop(0)
+            seen += n
             old = 0
             if tail is not None and tail[2].shape[1] == vec.shape[1]:
                 old = len(tail[1])
                 group, ids, vec = (np.concatenate((p, q)) for p, q in
                                    zip(tail, block))
             a, b = _links(group, ids, vec, old, window, least)
-            m = len(a)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a), pa.array(b)] +
-                [pa.nulls(m, t) for t in types[2:]], names=names)
+            yield batch_of(len(a), a=a, b=b)
             tail = group[-window:], ids[-window:], vec[-window:]
-        if tail is not None:
-            yield edge(*tail, pid, True)
+        for at, group, ids, vec in last:
+            k = min(max(seen - window - at, 0), len(ids))
+            if k < len(ids):
+                yield edge(at + k, group[k:], ids[k:], vec[k:])
+        yield batch_of(1, part=[pid], size=[seen])
 
     def meet(batches):
         for t in grouped(batches, [0]):
-            ids = t.column(3).to_numpy()
+            ids = t.column(2).to_numpy()
             group = np.column_stack([t.column(i).to_numpy()
-                                     for i in (4, 5, 6)])
-            vecs = vectors(t.column(7))
+                                     for i in (3, 4, 5)])
+            vecs = vectors(t.column(6))
             lens = np.array([len(v) for v in vecs])
             for dim in np.unique(lens).tolist():
                 at = np.flatnonzero(lens == dim)
@@ -184,13 +225,18 @@ def pass_links(rows: DataFrame, window: int, least: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(a), pa.array(b)], names=["a", "b"])
     out = stash(rows.mapInArrow(compare, shape), "passes")
-    border = out.filter("border is not null") \
-        .repartition(parts, "border") \
-        .sortWithinPartitions("border", F.desc("last"), "at") \
-        .select("border", "last", "at", F.col("a").alias("id"), "pass",
-                "label", "dim", "vec") \
-        .mapInArrow(meet, "a long, b long")
-    return out.filter("border is null").select("a", "b").union(border) \
+    # one row a partition
+    starts = out.filter("size is not null").select("part", F.coalesce(
+        F.sum("size").over(Window.orderBy("part").rowsBetween(
+            Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    edges = out.filter("at is not null").join(starts, "part").withColumn(
+        "place", F.col("start") + F.col("at"))
+    cell = F.floor(F.col("place") / window)
+    border = edges.withColumn("cell", F.explode(F.array(cell, cell - 1))) \
+        .repartition(parts, "cell").sortWithinPartitions("cell", "place") \
+        .select("cell", "place", F.col("a").alias("id"), "pass", "label",
+                "dim", "vec").mapInArrow(meet, "a long, b long")
+    return out.filter("b is not null").select("a", "b").union(border) \
         .distinct()
 
 
@@ -219,8 +265,13 @@ def close_vectors(least: float):
         lens = np.array([len(v) for v in vecs])
         unit = np.zeros((len(vecs), int(lens.max())))
         for row, v in zip(unit, vecs):
-            row[:len(v)] = v / np.sqrt(v @ v)
-        return lambda r: (unit @ unit[r] >= least) & (lens == lens[r])
+            row[:len(v)] = v
+
+        def near(r: int) -> np.ndarray:
+            same = np.broadcast_to(unit[r], unit.shape)
+            return settle(unit @ unit[r], unit, same, least) \
+                & (lens == lens[r])
+        return near
     return prepare
 
 
@@ -253,10 +304,9 @@ def count_links(classes: DataFrame, groups: DataFrame, least: float,
             for dim in np.unique(lens).tolist():
                 at = np.flatnonzero(lens == dim)
                 v = np.stack([vecs[x] for x in at])
-                v = v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
                 for lo in range(0, len(at), 512):  # rows against all
-                    part = at[lo:lo + 512]
-                    ok = (v[lo:lo + 512] @ v.T >= least) & \
+                    part, w = at[lo:lo + 512], v[lo:lo + 512]
+                    ok = settle(w @ v.T, w, v, least) & \
                         (label[part][:, None] == label[at][None, :])
                     ok &= ids[part][:, None] != ids[at][None, :]
                     if i != j:
@@ -289,7 +339,7 @@ def near_vectors(rows: DataFrame, key: str = "vec_id",
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
                 batch.columns[:-1] + [pa.array(
-                    [x.values.to_numpy().tobytes()
+                    [units(x.values.to_numpy()[None])[0].tobytes()
                      for x in batch.column(batch.num_columns - 1)],
                     pa.binary())],
                 names=["id", "m", "h1", "h2", "label", "vec"])

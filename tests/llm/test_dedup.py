@@ -123,6 +123,40 @@ def test_repeats_awkward_rows(spark):
     assert strip_repeats(none, repeated_starts(none)).count() == 0
 
 
+def removed(spark, rows):
+    """(key, text) -> words lost, for the distinct rows."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {}
+    for r in docs.withColumnRenamed("text", "t").withColumn(
+            "text", F.col("t")).transform(lambda d: strip_repeats(
+                d, repeated_starts(d))).collect():
+        assert out.setdefault((r.doc_id, r.t), r.n_removed) == r.n_removed
+    return out
+
+
+def test_repeats_of_rows_that_share_a_key(spark):
+    """What repeats in one row says nothing about another of its key."""
+    p = " ".join(f"p{i}" for i in range(40))
+    twice = p + " " + p
+    q = " ".join(f"q{i}" for i in range(70))
+    assert removed(spark, [(None, twice), (None, q)]) == {
+        (None, twice): 40, (None, q): 0}
+    assert removed(spark, [(1, p), (5, p), (5, q)]) == {
+        (1, p): 0, (5, p): 40, (5, q): 0}
+    # equal rows are one document, also without a key
+    assert removed(spark, [(None, p), (None, p), (5, p), (5, p), (6, p)]) \
+        == {(None, p): 0, (5, p): 40, (6, p): 40}
+
+
+def test_repeats_of_many_rows_without_a_key(spark):
+    p = " ".join(f"p{i}" for i in range(30))
+    rows = [(None, f"{p} " + " ".join(f"u{i}x{j}" for j in range(25)))
+            for i in range(150)] + [(None, f"{p} tail")] * 60
+    got = removed(spark, rows)
+    # one of the texts keeps the passage, the others lose it
+    assert sorted(got.values()) == [0] + [30] * 150
+
+
 def test_repeats_hot_and_plain_routes_agree(spark):
     base = " ".join(f"p{i}" for i in range(60))
     rows = [(i, f"a{i} b{i} c{i} {base} d{i} e{i}") for i in range(120)]
@@ -208,6 +242,50 @@ def test_vectors_of_a_star(spark):
         k: (n[k], want[k]) for k in want}
 
 
+@pytest.mark.parametrize("parts", [1, 8, 200, 400])
+def test_vectors_meet_across_short_partitions(spark, parts):
+    """A star of 31 vectors, whatever the number of range partitions."""
+    rng = np.random.default_rng(11)
+    centre = np.eye(32)[0]
+    rows = [(0, 1, centre.tolist())]
+    for i in range(1, 31):
+        v = np.zeros(32)
+        v[0], v[i] = 0.95, (1 - 0.95 ** 2) ** 0.5
+        rows.append((i, 1, v.tolist()))
+    rows += [(100 + i, 1, (rng.standard_normal(32)).tolist())
+             for i in range(20)]
+    n, comp = brute_vectors(rows)
+    assert n[0] == 30 and n[1] == 1
+    df = spark.createDataFrame(
+        rows, "vec_id long, label int, embedding array<double>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = near_vectors(df).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {
+        k: (n[k], comp[k]) for k in n}
+
+
+def test_vectors_at_the_threshold_and_of_extreme_size(spark):
+    """Pairs at exactly 0.93 are decided alike by every step, and lengths
+    beyond the range of squares do not matter."""
+    side = (1 - 0.93 ** 2) ** 0.5
+    rows = [(0, 1, [1.0, 0.0, 0.0]), (1, 1, [0.93, side, 0.0]),
+            (2, 1, [0.93, -side, 0.0]), (3, 1, [0.93, 0.0, side]),
+            (4, 2, [1e300, 1e300, 0.0]), (5, 2, [1e-300, 1e-300, 1e-301]),
+            (6, 2, [0.0, 0.0, 1e308])]
+    got = {r.vec_id: r for r in near_vectors(spark.createDataFrame(
+        rows, "vec_id long, label int, embedding array<double>")).collect()}
+    linked = [i for i in (1, 2, 3) if got[i].component_id == 0]
+    assert got[0].n_links == len(linked)
+    assert [got[i].n_links for i in (1, 2, 3)] == \
+        [int(i in linked) for i in (1, 2, 3)]
+    assert got[4].component_id == got[5].component_id == 4
+    assert (got[4].n_links, got[5].n_links, got[6].n_links) == (1, 1, 0)
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + \
         [(100, x) for x in range(101, 160)] + [(7, 7), (None, 3)]
