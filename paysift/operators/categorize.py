@@ -58,19 +58,17 @@ def top_k_or_other(df: DataFrame, c: str, k: int, out: str,
                    other: str = L.OTHER) -> DataFrame:
     """Keep the k most frequent values, the rest (and null) -> ``other``.
 
-    The data-driven form of a typed-in keep-list.  Spark joins the top-k
-    table by its measured size (broadcast when small, else a shuffle join
-    whose hot partitions AQE splits); null rows do not take part.
+    The data-driven form of a typed-in keep-list.  Rows are read once for
+    the counts and once for the join; Spark joins the top-k table by its
+    measured size (broadcast when small, else a shuffle join whose hot
+    partitions AQE splits - nulls have a partition like any value).
     """
     top = top_k_values(df, c, k).select(F.col("key").alias("__key"),
                                         F.lit(True).alias("__keep"))
-    present = df.where(col_of(c).isNotNull())
-    joined = present.join(top, col_of(c) == F.col("__key"), "left")
-    named = joined.withColumn(
+    joined = df.join(top, col_of(c) == F.col("__key"), "left")
+    return joined.withColumn(
         out, F.when(F.col("__keep"), col_of(c)).otherwise(F.lit(other))
     ).drop("__key", "__keep")
-    return named.unionByName(
-        df.where(col_of(c).isNull()).withColumn(out, F.lit(other)))
 
 
 def top_k_bucket_counts(counts: DataFrame, value: str, n: str, k: int,

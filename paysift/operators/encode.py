@@ -20,10 +20,11 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import unwrap_udt
 
 from paysift.functions import lookups as L
 from paysift.functions.exprs import col_of, hash_percent
+from paysift.operators.moments import stored
+from paysift.operators.ordered import running
 from paysift.session import shared_path
 
 # Columns of a written model input: the part, and the fold of training rows.
@@ -43,6 +44,33 @@ def index_columns(df: DataFrame, cols: Sequence[str], outs: Sequence[str],
     return model.transform(df), model
 
 
+def frequency_index(counts: DataFrame, column: str = "column_name",
+                    value: str = "value", n: str = "n") -> DataFrame:
+    """(column_name, value, idx): values of each column numbered from 0, the
+    rarest first, equal counts by value - ``index_columns`` as a table.
+
+    Ranked on the cluster (``ordered.running``): no task holds a column's
+    values, and none reach the driver."""
+    rows = counts.select(col_of(column).alias("column_name"),
+                         col_of(value).alias("value"), col_of(n).alias("n"))
+    return running(rows, ["column_name"], ["n", "value"],
+                   {"rank": F.lit(1)}).select(
+        "column_name", "value", F.col("rank").cast("double").alias("idx"))
+
+
+def index_by_table(df: DataFrame, index: DataFrame, cols: Sequence[str],
+                   outs: Sequence[str]) -> DataFrame:
+    """Add the indexes of ``frequency_index`` to rows; a value it does not
+    know, and null, have a null index.  Joins by value: Spark broadcasts a
+    small index by its size and splits a hot value's partition otherwise."""
+    for i, (c, out) in enumerate(zip(cols, outs)):
+        own = index.filter(F.col("column_name") == c).select(
+            F.col("value").alias(f"__v{i}"), F.col("idx").alias(out))
+        df = df.join(own, col_of(c) == F.col(f"__v{i}"), "left") \
+            .drop(f"__v{i}")
+    return df
+
+
 def one_hot(df: DataFrame, cols: Sequence[str], outs: Sequence[str],
             drop_last: bool = False) -> tuple[DataFrame, OneHotEncoderModel]:
     """One-hot encode index columns into sparse vectors.  Sizes come from
@@ -158,17 +186,20 @@ def slot_offsets(df: DataFrame, inputs: Sequence[str]) -> dict[str, int]:
 
 
 def explode_vector(df: DataFrame, key: str, vec: str) -> DataFrame:
-    """Vector column to rows (key, slot, val) of its non-zero slots.
-
-    A sparse vector's stored indices and values are exploded as they are; a
-    dense one's values by position.
-    """
-    v = unwrap_udt(col_of(vec))
-    places = F.when(v["type"] == 0, v["indices"]).otherwise(
-        F.transform(v["values"], lambda x, i: i))
-    pairs = F.arrays_zip(places.alias("slot"), v["values"].alias("val"))
-    return df.select(col_of(key), F.inline(pairs).alias("slot", "val")) \
-        .where(F.col("val") != 0.0)
+    """Vector column to rows (key, slot, val) of its non-zero slots."""
+    return df.select(col_of(key), F.inline(stored(vec)).alias("slot", "val"))
+
+
+def slot_totals(df: DataFrame, vecs: Sequence[str]) -> DataFrame:
+    """(column_name, slot, total): the sum of every slot of several vector
+    columns, where it is not 0, from one scan."""
+    def named(v: str) -> Column:
+        return F.transform(stored(v), lambda e: F.struct(
+            F.lit(v).alias("column_name"), e["slot"].alias("slot"),
+            e["val"].alias("val")))
+    entries = F.concat(*[named(v) for v in vecs])
+    return df.select(F.inline(entries)).groupBy("column_name", "slot").agg(
+        F.sum("val").alias("total"))
 
 
 def code_table(labels: Mapping[str, Sequence[str]],

@@ -8,13 +8,12 @@ the data reaches the driver.
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paysift.functions.exprs import col_of
-from paysift.operators.encode import slot_names, slot_table
+from paysift.operators.encode import slot_table
+from paysift.operators.moments import slot_correlations
 
 
 def _rank(df: DataFrame, value: str, k: int | None, by_abs: bool) -> DataFrame:
@@ -41,38 +40,30 @@ def feature_importance(model, features_df: DataFrame, vec: str = "features",
         "rank", "idx", "name", "importance")
 
 
-def _pearson(x: Column, y: Column) -> Column:
-    """Two-pass-stable Pearson r; null (not an error) for a constant side."""
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+def _named(corr: DataFrame, df: DataFrame, vec: str) -> DataFrame:
+    return slot_table(df, vec).join(
+        corr, F.col("idx") == F.col("slot"), "left").select(
+        "idx", "name", "corr")
 
 
 def label_correlation(df: DataFrame, vec: str, label: str) -> DataFrame:
-    """(idx, name, corr) of each slot with the label, in ONE aggregate.
+    """(idx, name, corr) of each slot with the label, in ONE aggregate;
+    undefined ones (a constant slot) are null.
 
     Only the label's row of the correlation matrix is needed, so p
-    correlations are computed (not p²), each as a mergeable aggregate.
+    correlations are computed (not p²) from the vectors' stored entries.
     """
-    names = slot_names(df, vec)
-    arr = vector_to_array(col_of(vec))
-    y = col_of(label).cast("double")
-    one = df.select(arr.alias("__v"), y.alias("__y")).agg(
-        F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(n).alias("name"),
-                           _pearson(F.col("__v")[i], F.col("__y"))
-                           .alias("corr"))
-                  for i, n in names]).alias("c"))
-    return one.select(F.inline("c"))
+    return _named(slot_correlations(df, vec, col_of(label)), df, vec)
 
 
 def correlation_row(df: DataFrame, vec: str, target: int) -> DataFrame:
-    """(idx, name, corr) of one slot with every other slot, read from
-    ``ml.stat.Correlation``; undefined entries (a constant slot) are null,
-    not NaN.  Only the slot's own row, p values, leaves the matrix.
+    """(idx, name, corr) of one slot with every other slot: one row of the
+    Pearson matrix, of which no more is computed; undefined entries (a
+    constant slot) are null.  Any width: at most one row a slot is shuffled
+    (``moments.slot_correlations``).
     """
-    m = Correlation.corr(df, vec).first()[0].toArray()[target]
-    rows = [(i, n, None if m[i] != m[i] else float(m[i]))
-            for i, n in slot_names(df, vec) if i != target]
-    return df.sparkSession.createDataFrame(
-        rows, "idx int, name string, corr double")
+    return _named(slot_correlations(df, vec, target), df, vec) \
+        .filter(F.col("idx") != target)
 
 
 def rank_by_abs(corr: DataFrame, k: int | None = 10,

