@@ -1,26 +1,36 @@
 """Uniform shuffle into shards of exact size.
 
 A hypergeometric communication matrix: rows fall into blocks by a hash of
-their key; for every block the counts it sends to each shard are drawn
+their columns; for every block the counts it sends to each shard are drawn
 exactly (multivariate hypergeometric on what the shards still lack), rows are
 permuted within the block and dealt out by those counts, then permuted again
 within the shard.  Shard sizes differ by one row at most.
 
-The driver holds block counts and the matrix (one row per ``block_rows``
-rows), never rows.  No task holds a whole shard: the second permutation
-sorts by a seeded hash, cut into slices of its range, with running counts
-over the slices giving gapless slots.
+The matrix is drawn in two levels: ``SUPER`` groups of blocks, whose counts
+are all the driver sees, draw their share of every shard; a task for each group
+then draws those of its blocks.  (What a set of rows sends to each shard has
+this distribution whatever smaller sets it is put together from.)  No task
+holds a whole shard: the second permutation sorts by a seeded hash, cut into
+slices of its range, with running counts over the slices giving gapless slots.
 
 Defined cases: a null key is hashed like a value; rows with equal keys are
-separate rows; an empty table gives an empty result; extra columns are kept.
+separate rows, in different blocks unless they agree in all columns; an empty
+table gives an empty result; extra columns are kept.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paysift.llm.runs import grouped
+from paysift.llm.stash import pin
+
+#: Groups of blocks: the counts that reach the driver.
+SUPER = 256
+
 
 def communication_matrix(counts: list[int], shards: int,
                          seed: int) -> np.ndarray:
@@ -29,8 +39,14 @@ def communication_matrix(counts: list[int], shards: int,
     total = int(sum(counts))
     left = np.full(shards, total // shards, dtype=np.int64)
     left[: total % shards] += 1
-    rng = np.random.default_rng(seed)
-    out = np.zeros((len(counts), shards), dtype=np.int64)
+    return drawn(counts, left, np.random.default_rng(seed))
+
+
+def drawn(counts: list[int], left: np.ndarray,
+          rng: np.random.Generator) -> np.ndarray:
+    """A matrix with row sums ``counts`` and column sums ``left``."""
+    left = np.array(left, dtype=np.int64)
+    out = np.zeros((len(counts), len(left)), dtype=np.int64)
     for i, n in enumerate(counts):
         out[i] = rng.multivariate_hypergeometric(left, int(n),
                                                  method="marginals")
@@ -38,6 +54,33 @@ def communication_matrix(counts: list[int], shards: int,
     return out
 
 
+def _block_plan(counts: DataFrame, shards: int, seed: int) -> DataFrame:
+    """__block, __upto: the rows of each block sent to shards up to each
+    one, from (__block, __n)."""
+    spark = counts.sparkSession
+    counts = pin(counts.withColumn("__super", F.col("__block") % SUPER))
+    sums = sorted(counts.groupBy("__super").agg(F.sum("__n")).collect())
+    matrix = communication_matrix([n for _, n in sums], shards, seed)
+    share = spark.createDataFrame(
+        [(int(s), row.tolist()) for (s, _), row in zip(sums, matrix)],
+        "__super long, __left array<long>")
+
+    def work(batches):
+        for t in grouped(batches, [0]):
+            group = t.column(0)[0].as_py()
+            rows = drawn(t.column(2).to_pylist(), t.column(3)[0].as_py(),
+                         np.random.default_rng((seed, group)))
+            yield pa.RecordBatch.from_arrays(
+                [t.column(1).combine_chunks(),
+                 pa.array(rows.cumsum(axis=1).tolist(),
+                          pa.list_(pa.int64()))],
+                names=["__block", "__upto"])
+    return counts.join(share, "__super") \
+        .select("__super", "__block", "__n", "__left") \
+        .repartition("__super").sortWithinPartitions("__super", "__block") \
+        .mapInArrow(work, "__block long, __upto array<long>")
+
+
 def shuffle_into_shards(rows: DataFrame, key: str = "doc_id",
                         shards: int = 16, block_rows: int = 1000,
                         seed: int = 17) -> DataFrame:
@@ -45,21 +88,15 @@ def shuffle_into_shards(rows: DataFrame, key: str = "doc_id",
     each shard).  Existing columns of these names are replaced."""
     keep = [c for c in rows.columns if c not in ("shard", "slot")]
     rows = rows.select(*[F.col(f"`{c}`") for c in keep])
-    spark = rows.sparkSession
     plain = [F.col(f"`{c}`") for c, t in rows.dtypes
              if not t.startswith("map")]
     n = rows.count()
     blocks = max(1, -(-n // block_rows))
-    rows = rows.withColumn("__h", F.xxhash64(F.lit(seed), F.col(key)))
-    rows = rows.withColumn("__block", F.pmod("__h", F.lit(blocks)))
-    counts = dict((r[0], r[1]) for r in
-                  rows.groupBy("__block").count().collect())
-    names = sorted(counts)
-    matrix = communication_matrix([counts[b] for b in names], shards, seed)
-    upto = matrix.cumsum(axis=1)
-    plan = spark.createDataFrame(
-        [(int(b), u.tolist()) for b, u in zip(names, upto)],
-        "__block long, __upto array<long>")
+    rows = rows.withColumn("__block", F.pmod(
+        F.xxhash64(F.lit(seed), F.col(key), *plain),
+        F.lit(blocks)).cast("long"))
+    plan = _block_plan(rows.groupBy("__block").agg(
+        F.count(F.lit(1)).alias("__n")), shards, seed)
     local = Window.partitionBy("__block").orderBy(
         F.xxhash64(F.lit(seed + 1), F.col(key), *plain))
     dealt = rows.withColumn("__r", F.row_number().over(local)) \
