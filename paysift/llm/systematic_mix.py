@@ -10,10 +10,13 @@ by one pseudo-random offset per source, is cut at whole numbers: a row is
 emitted once per boundary it crosses.  Ordering by size spreads the copies
 evenly over short and long rows, so the words taken come near the target.
 
-The running sum over a hot source is never held by one task.  Rows are
-counted per cell (source, size, key >> 10) with map-side aggregation; cells
-get their offsets from running sums over the distinct sizes of a source and
-over the cells of one (source, size); rows are ranked within a cell only.
+The running sum over a hot source is never held by one task.  The keys' range
+is cut into as many equal cells as the square root of the rows; rows are
+counted per (source, size, cell) with map-side aggregation; cells get their
+offsets from running sums over the distinct sizes of a source and over the
+cells of one (source, size); rows are ranked within a cell only.  So whether
+keys are dense or spread over 64 bits, neither a cell nor the cells of one
+source and size exceed about the square root of the rows.
 
 Defined cases: null or empty text has size 0 and is taken with 0 words; a
 null source is a source of its own, last in order; a null key sorts first;
@@ -23,10 +26,21 @@ empty result; extra columns are kept.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_LOW = -(1 << 63)
+def key_cell(rows: DataFrame, key: str) -> Column:
+    """The cell of a key: equal parts of the keys' range, in key order; null
+    keys have the first cell."""
+    x = F.col(key).cast("long")
+    n, low, high = rows.agg(F.count(F.lit(1)), F.min(x), F.max(x)).first()
+    if low is None:
+        return F.lit(-1).cast("long")
+    cells, low = math.ceil(math.sqrt(n)), float(low)
+    part = (x.cast("double") - low) / (float(high) - low + 1.0) * cells
+    return F.coalesce(F.floor(part), F.lit(-1)).cast("long")
 
 
 def source_targets(rows: DataFrame, source: str, size: str,
@@ -82,8 +96,7 @@ def mix_sources(rows: DataFrame, source: str = "source", size: str = "size",
         "__none": F.col(source).isNull(),
         "__src": F.coalesce(F.col(source), F.lit("")),
         "__size": F.coalesce(F.col(size), F.lit(0)).cast("long"),
-        "__block": F.coalesce(F.shiftright(F.col(key).cast("long"), 10),
-                              F.lit(_LOW)),
+        "__block": key_cell(rows, key),
     })
     cell = ["__none", "__src", "__size", "__block"]
     cells = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n"))
