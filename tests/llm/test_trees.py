@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from paysift.llm.merkle_butterfly import (folded, leaf_digest,
                                           merkle_manifest, proof_digest)
 from paysift.llm.radix import RadixTree
-from paysift.llm.ranks import running
 from paysift.llm.turn_trie import prefix_trie
 from tests.llm import cases
 
@@ -115,15 +114,6 @@ def test_merkle_of_one_row_and_none(spark):
     assert merkle_manifest(spark.createDataFrame([], shape)).collect() == []
 
 
-def test_running_totals_of_a_hot_group(spark):
-    rows = [("a", i % 7, 1) for i in range(500)] + [("b", 1, 2)] * 3
-    got = running(spark.createDataFrame(rows, "g string, o int, w int"),
-                  ["g"], ["o"], {"rank": F.lit(1), "sum": F.col("w")})
-    a = sorted((r.o, r.rank) for r in got.filter("g = 'a'").collect())
-    assert [r for _, r in a] == list(range(500))
-    assert sorted(r.sum for r in got.filter("g = 'b'").collect()) == [0, 2, 4]
-
-
 # ------------------------------------------------------------------ trie
 
 def trie(rows, group=100, most=6):
