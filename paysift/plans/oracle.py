@@ -10,6 +10,8 @@ tuning grids) have no entry.
 from __future__ import annotations
 
 from paysift.functions import lookups as L
+from paysift.operators.bagging import poisson_steps
+from paysift.operators.train import SEED
 from paysift.sources.tables import planted_values
 
 
@@ -318,6 +320,41 @@ d{k + 1} AS (SELECT d.* REPLACE (CASE WHEN b.a IS NULL THEN d.node
     return _with(*ctes)
 
 
+def _bagged_sql(trees: int) -> str:
+    """Stumps on weighted rows: the weights of the bags, and the split of
+    ``_tree_sql`` with weighted sums."""
+    u = (f"('0x' || substr(md5('{SEED}:' || tree || ':' || rec_id), 1, 8))"
+         "::BIGINT::DOUBLE / 4294967296.0")
+    steps = poisson_steps()
+    weight = "CASE " + " ".join(
+        f"WHEN u < {p!r}::DOUBLE THEN {k}.0" for k, p in enumerate(steps)) \
+        + f" ELSE {len(steps)}.0 END"
+    cols = ["years_exp", "years_at", "masters_flag"]
+    long = " UNION ALL ".join(
+        f"SELECT tree, {i} AS a, {c} AS v, w, y FROM bag"
+        for i, c in enumerate(cols))
+    value = " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(cols))
+    base = _tree_sql(0, None)
+    return base + f""", draw AS (SELECT src.*, tree, {u} AS u FROM src,
+  (SELECT range AS tree FROM range({trees}))),
+bag AS (SELECT * FROM (SELECT *, {weight} AS w FROM draw) WHERE w > 0),
+bv AS (SELECT tree, a, v, sum(w) AS n, sum(w * y) AS s FROM ({long})
+  GROUP BY tree, a, v),
+bc AS (SELECT tree, a, v, (v + lead(v) OVER o) / 2 AS thr,
+  sum(n) OVER o AS nl, sum(s) OVER o AS sl, sum(n) OVER t AS nt,
+  sum(s) OVER t AS st FROM bv
+  WINDOW o AS (PARTITION BY tree, a ORDER BY v),
+    t AS (PARTITION BY tree, a)),
+bb AS (SELECT tree, a, thr FROM (SELECT *, row_number() OVER (
+    PARTITION BY tree ORDER BY sl * sl / nl + (st - sl) * (st - sl)
+      / (nt - nl) DESC, a, v) AS r FROM bc WHERE nl < nt) WHERE r = 1)
+SELECT CAST(bag.tree AS INTEGER) AS tree,
+  CASE WHEN CASE bb.a {value} END <= bb.thr THEN 0 ELSE 1 END AS leaf,
+  CAST(sum(w) AS DOUBLE) AS weight, round(sum(w * y) / sum(w), 4)
+    AS prediction
+FROM bag JOIN bb ON bb.tree = bag.tree GROUP BY 1, 2"""
+
+
 def _linear_fit_cte() -> str:
     return """tr AS (SELECT years_exp AS x1, years_at AS x2, total_comp AS y
   FROM nums WHERE is_train),
@@ -599,6 +636,7 @@ FROM (SELECT d.f, sqrt(avg((y - p) * (y - p))) AS rmse
 SELECT CAST(row_number() OVER (ORDER BY g DESC, idx) AS INTEGER) AS rank,
   CAST(idx AS INTEGER) AS idx, name,
   round(g / sum(g) OVER (), 6) AS importance FROM gains"""
+    q["q39b_bagged_stumps"] = _bagged_sql(5)
     stump = _stump_sql()
     q["q37_tree_stump"] = stump
     q["q39_forest_stump"] = stump

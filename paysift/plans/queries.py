@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from paysift.functions import lookups as L
 from paysift.functions.exprs import (location_key, location_region,
                                      safe_int)
+from paysift.operators import bagging as BG
 from paysift.operators import categorize as CT
 from paysift.operators import clean as C
 from paysift.operators import encode as E
@@ -599,6 +600,17 @@ def q39_forest_stump(spark, sf):
     return _leaf_result(m, t)
 
 
+def q39b_bagged_stumps(spark, sf):
+    """Five stumps bagged by the record key: the weight and prediction of
+    their leaves."""
+    t = _tree_input(spark, sf)
+    model = BG.fit_bagged_forest(t, LABEL, "x", KEY, 5, subset="all",
+                                 max_bins=32, maxDepth=1)
+    return BG.bag_leaves(model, t, KEY).select(
+        "tree", "leaf", "weight", F.round("prediction", 4)
+        .alias("prediction"))
+
+
 def q40_forest_grid(spark, sf):
     return _grid_best(spark, sf, "forest")
 
