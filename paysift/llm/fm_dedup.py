@@ -309,7 +309,8 @@ def _earliest(docs: DataFrame, kept: DataFrame, window: int,
     once = once.join(many, "anchor", "left") \
         .withColumn("hot", F.coalesce("hot", F.lit(False)))
     content = stash(with_words(docs, once, window), "content")
-    return search_shards(content, window, shard_words)
+    # written, so that the shards' shuffles are gone before the join begins
+    return stash(search_shards(content, window, shard_words), "earliest")
 
 
 def repeated_starts(docs: DataFrame, key: str = "doc_id",
