@@ -271,11 +271,43 @@ r AS (SELECT point, reg, icpt, mix, avg(rmse) AS rmse FROM e
   GROUP BY point, reg, icpt, mix)""")
 
 
+TREE_COLS = ["years_exp", "years_at", "masters_flag"]
+
+
+def _long(k: int | str) -> str:
+    """The training rows of d<k>, a row a feature."""
+    return " UNION ALL ".join(
+        f"SELECT f, node, {i} AS a, {c} AS v, y FROM d{k} WHERE fit"
+        for i, c in enumerate(TREE_COLS))
+
+
+def _level(k: int) -> str:
+    """Best splits of the nodes of d<k> (b<k>), and the rows below them
+    (d<k + 1>)."""
+    value = " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(TREE_COLS))
+    return f"""v{k} AS (SELECT f, node, a, v, count(*) AS n,
+  sum(y) AS s FROM ({_long(k)}) GROUP BY f, node, a, v),
+c{k} AS (SELECT f, node, a, v, sum(n) OVER w AS nl, sum(s) OVER w AS sl,
+  sum(n) OVER t AS nt, sum(s) OVER t AS st FROM v{k}
+  WINDOW w AS (PARTITION BY f, node, a ORDER BY v),
+    t AS (PARTITION BY f, node, a)),
+g{k} AS (SELECT c.*, mid.thr, sl * sl / nl + (st - sl) * (st - sl)
+    / (nt - nl) - st * st / nt AS gain
+  FROM c{k} c JOIN mid ON mid.f = c.f AND mid.a = c.a AND mid.v = c.v
+  WHERE nl < nt),
+b{k} AS (SELECT * FROM (SELECT *, row_number() OVER (
+    PARTITION BY f, node ORDER BY gain DESC, a, v) AS r FROM g{k})
+  WHERE r = 1 AND gain > 0),
+d{k + 1} AS (SELECT d.* REPLACE (CASE WHEN b.a IS NULL THEN d.node
+    WHEN CASE b.a {value} END <= b.thr THEN 2 * d.node
+    ELSE 2 * d.node + 1 END AS node)
+  FROM d{k} d LEFT JOIN b{k} b ON b.f = d.f AND b.node = d.node)"""
+
+
 def _tree_sql(depth: int, folds: int | None) -> str:
     """Trees by best-split search down to ``depth``: rows (d0..), and the
     splits of each level (b0..) with their gains.  With ``folds`` every
     fold f has a tree of the other folds' rows, else f is 0 and has all."""
-    cols = ["years_exp", "years_at", "masters_flag"]
     if folds:
         source = f"""folds AS (SELECT range AS f FROM range({folds})),
 d0 AS (SELECT f, rec_id % {folds} <> f AS fit, src.*, 1 AS node
@@ -291,35 +323,38 @@ d0 AS (SELECT f, rec_id % {folds} <> f AS fit, src.*, 1 AS node
   TRY_CAST(total_comp AS DOUBLE) AS y FROM comp
   WHERE total_comp IS NOT NULL AND TRY_CAST(total_comp AS DOUBLE) < 1000000
     AND {HASH_PCT} < 70)""", source]
-    long = " UNION ALL ".join(
-        f"SELECT f, node, {i} AS a, {c} AS v, y FROM d{{k}} WHERE fit"
-        for i, c in enumerate(cols))
     # thresholds lie half-way between neighbouring values of the whole set
     ctes.append(f"""mid AS (SELECT f, a, v, (v + lead(v) OVER (
   PARTITION BY f, a ORDER BY v)) / 2 AS thr
-  FROM (SELECT DISTINCT f, a, v FROM ({long.format(k=0)})))""")
-    value = " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(cols))
-    for k in range(depth):
-        ctes.append(f"""v{k} AS (SELECT f, node, a, v, count(*) AS n,
-  sum(y) AS s FROM ({long.format(k=k)}) GROUP BY f, node, a, v),
-c{k} AS (SELECT f, node, a, v, sum(n) OVER w AS nl, sum(s) OVER w AS sl,
-  sum(n) OVER t AS nt, sum(s) OVER t AS st FROM v{k}
-  WINDOW w AS (PARTITION BY f, node, a ORDER BY v),
-    t AS (PARTITION BY f, node, a)),
-g{k} AS (SELECT c.*, mid.thr, sl * sl / nl + (st - sl) * (st - sl)
-    / (nt - nl) - st * st / nt AS gain
-  FROM c{k} c JOIN mid ON mid.f = c.f AND mid.a = c.a AND mid.v = c.v
-  WHERE nl < nt),
-b{k} AS (SELECT * FROM (SELECT *, row_number() OVER (
-    PARTITION BY f, node ORDER BY gain DESC, a, v) AS r FROM g{k})
-  WHERE r = 1 AND gain > 0),
-d{k + 1} AS (SELECT d.* REPLACE (CASE WHEN b.a IS NULL THEN d.node
-    WHEN CASE b.a {value} END <= b.thr THEN 2 * d.node
-    ELSE 2 * d.node + 1 END AS node)
-  FROM d{k} d LEFT JOIN b{k} b ON b.f = d.f AND b.node = d.node)""")
+  FROM (SELECT DISTINCT f, a, v FROM ({_long(0)})))""")
+    ctes += [_level(k) for k in range(depth)]
     return _with(*ctes)
 
 
+def _boost_sql(folds: int, steps: list[float]) -> str:
+    """Mean held-out RMSE of boosted stumps after one and two iterations,
+    by step: the second stump fits twice the first one's residuals and is
+    added with the step."""
+    sql = _tree_sql(1, folds) + """, p1 AS (SELECT f, node, avg(y) AS p
+  FROM d1 WHERE fit GROUP BY f, node),
+e1 AS (SELECT d1.*, p1.p, d1.y AS label FROM d1
+  JOIN p1 ON p1.f = d1.f AND p1.node = d1.node),
+d8 AS (SELECT * REPLACE (2 * (y - p) AS y, 1 AS node) FROM e1),
+""" + _level(8) + """, p2 AS (SELECT f, node, avg(y) AS q
+  FROM d9 WHERE fit GROUP BY f, node),
+e2 AS (SELECT d9.f, label, p, q FROM d9
+  JOIN p2 ON p2.f = d9.f AND p2.node = d9.node WHERE NOT fit)
+"""
+    n, out = len(steps), []
+    for k in range(2):
+        for i, step in enumerate(steps):
+            error = f"(label - p - {step if k else 0} * q)"
+            out.append(f"""SELECT CAST({k * n + i} AS INTEGER) AS point,
+  round(avg(rmse), 4) AS rmse FROM (
+    SELECT f, sqrt(avg({error} * {error})) AS rmse FROM e2 GROUP BY f)""")
+    return sql + " UNION ALL ".join(out)
+
+
 def _bagged_sql(trees: int) -> str:
     """Stumps on weighted rows: the weights of the bags, and the split of
     ``_tree_sql`` with weighted sums."""
@@ -329,11 +364,10 @@ def _bagged_sql(trees: int) -> str:
     weight = "CASE " + " ".join(
         f"WHEN u < {p!r}::DOUBLE THEN {k}.0" for k, p in enumerate(steps)) \
         + f" ELSE {len(steps)}.0 END"
-    cols = ["years_exp", "years_at", "masters_flag"]
     long = " UNION ALL ".join(
         f"SELECT tree, {i} AS a, {c} AS v, w, y FROM bag"
-        for i, c in enumerate(cols))
-    value = " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(cols))
+        for i, c in enumerate(TREE_COLS))
+    value = " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(TREE_COLS))
     base = _tree_sql(0, None)
     return base + f""", draw AS (SELECT src.*, tree, {u} AS u FROM src,
   (SELECT range AS tree FROM range({trees}))),
@@ -628,6 +662,13 @@ FROM (SELECT d.f, sqrt(avg((y - p) * (y - p))) AS rmse
   FROM d{k + 1} d JOIN (SELECT f, node, avg(y) AS p FROM d{k + 1} WHERE fit
     GROUP BY f, node) m ON m.f = d.f AND m.node = d.node
   WHERE NOT fit GROUP BY d.f)""" for k in range(2))
+    q["q40b_forest_grid_exact"] = depths + " UNION ALL ".join(
+        f"""SELECT CAST({k + 2 * i} AS INTEGER) AS point, round(avg(rmse), 4)
+  AS rmse FROM (SELECT d.f, sqrt(avg((y - p) * (y - p))) AS rmse
+  FROM d{k + 1} d JOIN (SELECT f, node, avg(y) AS p FROM d{k + 1} WHERE fit
+    GROUP BY f, node) m ON m.f = d.f AND m.node = d.node
+  WHERE NOT fit GROUP BY d.f)""" for i in range(2) for k in range(2))
+    q["q41c_boost_grid_exact"] = _boost_sql(3, [0.3, 0.1])
     q["q44b_tree_importance"] = _tree_sql(2, None) + """, gains AS (
   SELECT idx, name, coalesce(sum(gain), 0) AS g
   FROM (VALUES (0, 'years_exp'), (1, 'years_at'), (2, 'masters_flag'))

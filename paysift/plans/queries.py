@@ -615,6 +615,19 @@ def q40_forest_grid(spark, sf):
     return _grid_best(spark, sf, "forest")
 
 
+def q40b_forest_grid_exact(spark, sf):
+    """3-fold CV over numbers of trees and depths of a forest that SQL can
+    grow: no bootstrap, all features, so its trees are equal."""
+    t = _tree_input(spark, sf).withColumn(
+        "fold", (F.col(KEY) % 3).cast("int"))
+    tuned = TR.tune_cross_validation(
+        TR.forest(LABEL, "x", max_bins=32, bootstrap=False,
+                  featureSubsetStrategy="all"),
+        {"numTrees": [1, 2], "maxDepth": [1, 2]}, t, LABEL, "fold", folds=3)
+    return TR.tuning_table(spark, tuned).select(
+        "point", F.round("rmse", 4).alias("rmse"))
+
+
 def q41_boost_stump(spark, sf):
     t = _stump_input(spark, sf)
     m = TR.boosting(LABEL, "x", max_bins=32, maxDepth=1, maxIter=1).fit(t)
@@ -625,6 +638,19 @@ def q41b_boost_grid(spark, sf):
     return _grid_best(spark, sf, "boosting")
 
 
+def q41c_boost_grid_exact(spark, sf):
+    """3-fold CV over iterations and steps of boosted stumps, both
+    iterations read from one run."""
+    t = _tree_input(spark, sf).withColumn(
+        "fold", (F.col(KEY) % 3).cast("int"))
+    tuned = TR.tune_cross_validation(
+        TR.boosting(LABEL, "x", max_bins=32),
+        {"maxIter": [1, 2], "maxDepth": [1], "stepSize": [0.3, 0.1]}, t,
+        LABEL, "fold", folds=3)
+    return TR.tuning_table(spark, tuned).select(
+        "point", F.round("rmse", 4).alias("rmse"))
+
+
 # --------------------------------------------------------------------------
 # Ranking (Q42-Q46)
 # --------------------------------------------------------------------------
