@@ -2,23 +2,26 @@
 
 Texts are cut where the tokenizer's own pre-tokenizer cuts them anyway: at
 white space, and inside plain words between letters, digits and other signs.
-Every different part is encoded once per worker: parts not seen before are
-encoded in one call, joined by a special token that nothing merges with.  A
-text that holds a special token, or white space on which libraries differ, is
+The pieces between white space are found and hashed with numpy, a batch of texts
+at once; the ids of pieces met before are gathered from one buffer by their
+hash.  Every different part is encoded once per worker: parts not seen before
+are encoded in one call, joined so that the ids tell where one ends.  A text
+that holds a special token, or white space on which libraries differ, is
 encoded whole.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
-#: A byte-level BPE keeps white space: a word takes one blank before it;
-#: other white space stands alone.
-_KEEP = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-_ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
+from paysift.llm.words import span_hash
+
+#: White space beyond ASCII, and signs that some libraries count as such.
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029"
+                  "\u202f\u205f\u3000\ufeff]")
 #: Plain words: ASCII signs and letters, and the letters of Latin-1.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _PLAIN = re.compile(f" ?[!-~{_LETTERS}]+")
@@ -27,18 +30,49 @@ _CUT_KEEP = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[%s]+| ?[0-9]+|"
                        " ?[^ 0-9%s]+" % (_LETTERS, _LETTERS))
 _CUT_DROP = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[%s]+|[0-9]|[^0-9%s]+"
                        % (_LETTERS, _LETTERS))
-
-
-class _Codes(dict):
-    """Numbers pieces in the order they are first asked for."""
-
-    def __init__(self):
-        self.fresh: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        self[piece] = code = len(self)
-        self.fresh.append(piece)
-        return code
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+_BREAK = np.zeros(256, dtype=bool)
+_BREAK[[0x20, 10]] = True
+
+
+def _spans(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of the runs of True."""
+    step = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0,
+                                  append=0))
+    return step[0::2], step[1::2]
+
+
+def kept_pieces(buf: np.ndarray, bounds: np.ndarray
+                ) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of the pieces of texts that keep white space, in order:
+    a word takes one blank before it; of other white space the last sign stands
+    alone where a word follows.  ``bounds``: begin of each text in ``buf``,
+    which has one byte after each text."""
+    begin, end = _spans(~_SPACE[buf])
+    text = np.searchsorted(bounds, begin, "right") - 1
+    before = bounds[text]
+    same = np.flatnonzero(text[1:] == text[:-1]) + 1
+    before[same] = end[same - 1]
+    gap = begin - before
+    blank = (gap > 0) & (buf[begin - 1] == 0x20)
+    rest = np.flatnonzero(gap > 1)
+    alone = np.flatnonzero((gap > 0) & ~blank)
+    # what follows the last word of a text
+    stop = np.append(bounds[1:], len(buf)) - 1
+    last = bounds.copy()
+    ends = np.flatnonzero(np.append(text[1:] != text[:-1], True)) \
+        if len(text) else text
+    last[text[ends]] = end[ends]
+    tail = np.flatnonzero(stop > last)
+    begins = np.concatenate((begin - blank, before[rest], begin[alone] - 1,
+                             last[tail]))
+    finish = np.concatenate((end, begin[rest] - 1, begin[alone],
+                             stop[tail]))
+    if len(begins) > len(begin):
+        order = np.argsort(begins, kind="stable")
+        begins, finish = begins[order], finish[order]
+    return begins, finish
 
 
 class Encoder:
@@ -61,20 +95,23 @@ class Encoder:
         self.end = np.array([end], "<u4").tobytes()
         self.line_id = self.whole.encode(
             "\n", add_special_tokens=False).ids[0] if keep_space else None
-        # ids whose token ends a word
+        # ids whose token ends a word, or begins with a blank
+        vocabulary = self.whole.get_vocab()
         self.closes = np.zeros(self.whole.get_vocab_size(), dtype=bool)
-        self.closes[[i for t, i in self.whole.get_vocab().items()
+        self.closes[[i for t, i in vocabulary.items()
                      if t.endswith("</w>")]] = True
-        self.codes = _Codes()  # of pieces between white space
-        self.known: list[bytes] = []  # their ids, by code
-        self.parts: dict[str, bytes] = {}  # of their parts
-
-    def _pieces(self, text: str) -> list[str] | None:
-        if any(s in text for s in self.special):
-            return None
-        if not self.keep_space:
-            return text.replace("\n", " ").split(" ")
-        return None if _ODD.search(text) else _KEEP.findall(text)
+        self.opens = np.zeros(self.whole.get_vocab_size(), dtype=bool)
+        self.opens[[i for t, i in vocabulary.items()
+                    if t.startswith("\u0120")]] = True
+        self.parts: dict[str, bytes] = {}  # ids of parts
+        self._forget()
+
+    def _forget(self) -> None:
+        self.codes: dict[int, int] = {}  # of pieces, by their hash
+        self.first = np.zeros(1 << 12, np.int64)  # their ids in ``flat``
+        self.count = np.zeros(1 << 12, np.int64)
+        self.flat = np.zeros(1 << 14, "<u4")
+        self.used = 0
 
     def _cut(self, piece: str) -> list[str]:
         if not _PLAIN.fullmatch(piece):
@@ -83,26 +120,38 @@ class Encoder:
             return _CUT_KEEP.findall(piece)
         return _CUT_DROP.findall(piece.lower())
 
+    def _call(self, text: str) -> np.ndarray:
+        return np.array(self.whole.encode_batch_fast(
+            [text], add_special_tokens=False)[0].ids, dtype="<u4")
+
     def _encode(self, parts: list[str]) -> None:
         """Encode single parts, many in one call.  Plain ones are divided by
-        a line end's own id or, where white space is dropped, by the ids that
-        end a word; others are joined by a special token."""
-        plain = [p for p in parts if _PLAIN.fullmatch(p)]
-        odd = [p for p in parts if not _PLAIN.fullmatch(p)]
-        for group, joint in ((plain, "\n"), (odd, self.joint)):
+        the ids that end a word where white space is dropped, else by those
+        that begin with a part's blank, or by a line end's own id; others are
+        joined by a special token."""
+        groups: dict[str, list[str]] = {}
+        for p in parts:
+            if not _PLAIN.fullmatch(p):
+                kind = "odd"
+            elif not self.keep_space:
+                kind = "drop"
+            else:
+                kind = "blank" if p[0] == " " else "line"
+            groups.setdefault(kind, []).append(p)
+        glue = {"odd": self.joint, "drop": " ", "blank": "", "line": "\n"}
+        for kind, group in groups.items():
             for lo in range(0, len(group), 2048):
                 part = group[lo:lo + 2048]
-                drop = joint == "\n" and not self.keep_space
-                ids = np.array(self.whole.encode_batch_fast(
-                    [part if drop else joint.join(part)],
-                    is_pretokenized=drop, add_special_tokens=False)[0].ids,
-                    dtype="<u4")
-                if drop:
+                ids = self._call(glue[kind].join(part))
+                if kind == "drop":
                     end = np.flatnonzero(self.closes[ids]) + 1
                     begin = np.append(0, end[:-1])
+                elif kind == "blank":
+                    begin = np.flatnonzero(self.opens[ids])
+                    end = np.append(begin[1:], len(ids))
                 else:
                     cut = np.flatnonzero(ids == (
-                        self.joint_id if joint != "\n" else self.line_id))
+                        self.joint_id if kind == "odd" else self.line_id))
                     begin, end = np.append(0, cut + 1), \
                         np.append(cut, len(ids))
                 if len(end) != len(part):
@@ -112,7 +161,8 @@ class Encoder:
                     (p, raw[i:j]) for p, i, j in zip(
                         part, (4 * begin).tolist(), (4 * end).tolist()))
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, hashes: list[int], pieces: list[str]) -> None:
+        """Give new pieces their codes and ids."""
         if len(self.parts) > self.cached:
             self.parts.clear()
         cuts, single = {}, {}
@@ -126,29 +176,65 @@ class Encoder:
         new.update(chain.from_iterable(cuts.values()))
         self._encode(list(new.difference(self.parts)))
         get = self.parts.__getitem__
-        for p in pieces:
-            one = single.get(p)
-            self.known.append(b"".join(map(get, cuts[p])) if one is None
-                              else get(one))
+        known = [get(single[p]) if p in single
+                 else b"".join(map(get, cuts[p])) for p in pieces]
+        code, n = len(self.codes), len(pieces)
+        sizes = np.fromiter(map(len, known), np.int64, n) // 4
+        ids = np.frombuffer(b"".join(known), "<u4")
+        while code + n > len(self.first):
+            self.first = np.concatenate((self.first, self.first))
+            self.count = np.concatenate((self.count, self.count))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, self.flat))
+        self.first[code:code + n] = self.used + np.cumsum(sizes) - sizes
+        self.count[code:code + n] = sizes
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.codes.update(zip(hashes, range(code, code + n)))
+
+    def _by_pieces(self, raw: list[bytes]) -> list[bytes]:
+        """The ids of texts, by their pieces."""
+        joined = b"\n".join(raw) + b"\n"
+        buf = np.frombuffer(joined, np.uint8)
+        sizes = np.fromiter((len(t) + 1 for t in raw), np.int64, len(raw))
+        bounds = np.cumsum(sizes) - sizes
+        begin, end = kept_pieces(buf, bounds) if self.keep_space \
+            else _spans(~_BREAK[buf])
+        if len(self.codes) > self.cached:
+            self._forget()
+        one, at, same = np.unique(span_hash(buf, begin, end),
+                                  return_index=True, return_inverse=True)
+        keys = one.tolist()
+        code = np.array(list(map(self.codes.get, keys, repeat(-1))),
+                        np.int64)
+        new = np.flatnonzero(code < 0)
+        if len(new):
+            code[new] = np.arange(len(new)) + len(self.codes)
+            self._learn([keys[i] for i in new.tolist()], [
+                joined[i:j].decode() for i, j in zip(
+                    begin[at[new]].tolist(), end[at[new]].tolist())])
+        code = code[same]
+        count = self.count[code]
+        total = np.cumsum(count)
+        ids = self.flat[np.repeat(self.first[code] - total + count, count)
+                        + np.arange(int(total[-1]) if len(total) else 0)]
+        ids = ids.tobytes()
+        # ids before each text
+        cut = np.append(0, total)[np.append(
+            np.searchsorted(begin, bounds), len(begin))] * 4
+        return [ids[i:j] for i, j in zip(cut[:-1].tolist(),
+                                         cut[1:].tolist())]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.cached:
-            self.codes, self.known = _Codes(), []
-        code = self.codes.__getitem__
-        split = [None if s is None else list(map(code, s))
-                 for s in map(self._pieces, texts)]
-        self._learn(self.codes.fresh)
-        self.codes.fresh = []
-        get = self.known.__getitem__
-        out = []
-        for t, s in zip(texts, split):
-            if s is None:
-                ids = np.array(self.whole.encode(
-                    t, add_special_tokens=False).ids, "<u4").tobytes()
-            else:
-                ids = b"".join(map(get, s))
-            out.append(ids + self.end)
-        return out
+        plain = [not any(s in t for s in self.special)
+                 and not (self.keep_space and _ODD.search(t))
+                 for t in texts]
+        found = iter(self._by_pieces(
+            [t.encode() for t, p in zip(texts, plain) if p])
+            if any(plain) else [])
+        return [(next(found) if p else np.array(self.whole.encode(
+            t, add_special_tokens=False).ids, "<u4").tobytes()) + self.end
+            for t, p in zip(texts, plain)]
 
 
 _MADE: dict[str, Encoder] = {}

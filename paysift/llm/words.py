@@ -84,6 +84,21 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return mix64(h ^ (lens.astype(_U) * _U(0xD6E8FEB86659FD93))), first
 
 
+def span_hash(buf: np.ndarray, begin: np.ndarray,
+              end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of every span, none of them empty."""
+    if not len(begin):
+        return np.zeros(0, np.int64)
+    lens = end - begin
+    at = np.cumsum(lens) - lens
+    place = np.arange(int(lens.sum())) - np.repeat(at, lens)
+    weight = _places(int(lens.max()))
+    h = np.add.reduceat((buf[place + np.repeat(begin, lens)].astype(_U)
+                         + _U(1)) * weight[place], at)
+    return mix64(h ^ (lens.astype(_U) * _U(0xD6E8FEB86659FD93))) \
+        .view(np.int64)
+
+
 def run_hash(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of every run of ``k`` consecutive hashes."""
     n = len(h) - k + 1
