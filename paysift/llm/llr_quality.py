@@ -1,11 +1,11 @@
 """Quality rules: hashed n-gram log-likelihood ratio.
 
-DataFrame functions only.  Word 1-grams of every whole text are hashed into
-``buckets``; two add-one smoothed multinomials are counted over all rows, one
-of the raw corpus and one of the trusted target (rows whose label says good
-quality and not toxic).  A text's score is the mean over its words of
-``ln p_target - ln p_corpus``; it is kept if the base rules pass and the
-score reaches ``threshold``.
+DataFrame functions only.  The word 1-grams to ``order``-grams of every whole
+text are hashed into ``buckets``; two add-one smoothed multinomials are counted
+over all rows, one of the raw corpus and one of the trusted target (rows whose
+label says good quality and not toxic).  A text's score is the mean over its
+n-grams of ``ln p_target - ln p_corpus``; it is kept if the base rules pass and
+the score reaches ``threshold``.
 
 Counts are aggregated map-side, so a shuffle moves at most ``buckets`` rows a
 task.  The ratio table is one array of ``buckets`` floats, a fixed size.
@@ -79,16 +79,29 @@ def base_stats(text: Column, words: Column) -> dict[str, Column]:
     }
 
 
-def bucket_counts(docs: DataFrame, text: str, buckets: int) -> DataFrame:
-    """__b, __n: how many words of all texts fall into each bucket."""
-    return docs.select(F.explode(word_array(F.col(text))).alias("__w")) \
-        .groupBy(F.pmod(F.xxhash64("__w"), F.lit(buckets)).cast("int")
-                 .alias("__b")) \
-        .agg(F.count(F.lit(1)).alias("__n"))
+def gram_buckets(words: Column, order: int, buckets: int) -> Column:
+    """The bucket of every 1-gram to ``order``-gram.  ``words`` must be bound
+    (a column or lambda variable), as lambdas refer to it."""
+    def grams(k: int) -> Column:
+        every = F.transform(words, lambda w, i: F.pmod(F.xxhash64(
+            w, *[F.get(words, i + j) for j in range(1, k)]),
+            F.lit(buckets)).cast("int"))
+        return every if k == 1 else F.slice(
+            every, 1, F.greatest(F.size(words) - (k - 1), F.lit(0)))
+    return F.concat(*[grams(k) for k in range(1, order + 1)])
+
+
+def bucket_counts(docs: DataFrame, text: str, buckets: int,
+                  order: int = 1) -> DataFrame:
+    """__b, __n: how many n-grams of all texts fall into each bucket."""
+    return docs.select(F.explode(let(word_array(F.col(text)), lambda words:
+                                     gram_buckets(words, order, buckets)))
+                       .alias("__b")) \
+        .groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
 
 
 def ratio_table(docs: DataFrame, labels: DataFrame, key: str, text: str,
-                buckets: int) -> DataFrame:
+                buckets: int, order: int = 1) -> DataFrame:
     """One row: __llr, the log ratio of each bucket as array<float>."""
     good = labels.filter((F.col("quality") == 1)
                          & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
@@ -97,8 +110,8 @@ def ratio_table(docs: DataFrame, labels: DataFrame, key: str, text: str,
     # a shuffle join at every size: the labels grow with the documents
     trusted = docs.select(key, text).join(good.hint("merge"), key,
                                           "left_semi")
-    raw = bucket_counts(docs, text, buckets)
-    target = bucket_counts(trusted, text, buckets) \
+    raw = bucket_counts(docs, text, buckets, order)
+    target = bucket_counts(trusted, text, buckets, order) \
         .withColumnRenamed("__n", "__t")
     every = docs.sparkSession.range(buckets) \
         .select(F.col("id").cast("int").alias("__b"))
@@ -119,20 +132,23 @@ def ratio_table(docs: DataFrame, labels: DataFrame, key: str, text: str,
 def llr_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id",
                 text: str = "text", buckets: int = 16384,
                 threshold: float = -0.4, min_words: int = 20,
-                max_repeat_pct: int = 30) -> DataFrame:
-    """Per row: key, base measures, base_failed, llr, kept."""
-    table = F.broadcast(ratio_table(docs, labels, key, text, buckets))
+                max_repeat_pct: int = 30, order: int = 1) -> DataFrame:
+    """Per row: key, base measures, base_failed, llr, kept.  ``order`` is the
+    longest n-gram counted."""
+    table = F.broadcast(ratio_table(docs, labels, key, text, buckets, order))
     rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit(""))
                        .alias("__text")).crossJoin(table)  # one fixed row
 
+    def mean_ratio(grams: Column) -> Column:
+        total = F.aggregate(grams, F.lit(0.0), lambda a, g: a + F.get(
+            F.col("__llr"), g).cast("double"))
+        return F.when(F.size(grams) > 0, total / F.size(grams)) \
+            .otherwise(0.0)
+
     def measured(words: Column) -> Column:
-        total = F.aggregate(words, F.lit(0.0), lambda a, w: a + F.get(
-            F.col("__llr"), F.pmod(F.xxhash64(w), F.lit(buckets))
-            .cast("int")).cast("double"))
         stats = base_stats(F.col("__text"), words)
-        return F.struct(*[c.alias(n) for n, c in stats.items()], F.when(
-            F.size(words) > 0, total / F.size(words)).otherwise(0.0)
-            .alias("llr"))
+        return F.struct(*[c.alias(n) for n, c in stats.items()], let(
+            gram_buckets(words, order, buckets), mean_ratio).alias("llr"))
     rows = rows.select(key, let(word_array(F.col("__text")), measured)
                        .alias("__m")).select(key, "__m.*")
     failed = (F.col("n_words") < min_words) | \

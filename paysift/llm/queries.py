@@ -44,7 +44,8 @@ def op3_pack_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = llr_quality(_table(spark, sf_dir, "documents"),
-                      _table(spark, sf_dir, "labels"))
+                      _table(spark, sf_dir, "labels"), order=2,
+                      buckets=1 << 16)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols",
                       "n_dup_lines", "n_repeat_words", "base_failed",
                       "kept", "llr")

@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 from paysift.llm.bpe import Encoder
 from paysift.llm.hilbert_pack import hilbert_key, pack_along_curve
 from paysift.llm.hyper_shard import communication_matrix, shuffle_into_shards
+from paysift.llm import queries
 from paysift.llm.llr_quality import llr_quality
 from paysift.llm.systematic_mix import mix_sources
 from paysift.llm.token_shards import Shard, read_shards, write_shards
@@ -318,5 +319,31 @@ def test_llr_is_the_mean_log_ratio(spark):
     assert {r.llr for r in llr_quality(docs, bare).collect()} == {0.0}
 
 
+def test_llr_counts_word_pairs(spark, tmp_path):
+    """Words and word pairs share the buckets; the query counts both, so
+    trusted words in another order score lower."""
+    texts = {1: "a b c d", 2: "d c b a", 3: "z z", 4: "q", 5: None}
+    docs = spark.createDataFrame(list(texts.items()),
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0)],
+                                   "doc_id long, quality int, toxic int")
+    b = 1 << 16
+    grams = {d: [*cases.words(t), *zip(cases.words(t), cases.words(t)[1:])]
+             for d, t in texts.items()}
+    raw = Counter(g for own in grams.values() for g in own)
+    good = Counter(grams[1])
+    ratio = {g: math.log((good[g] + 1) / (good.total() + b))
+             - math.log((raw[g] + 1) / (raw.total() + b)) for g in raw}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    query = queries.QUERIES["op4_quality_llr"](spark, str(tmp_path))
+    for rows in (llr_quality(docs, labels, buckets=b, order=2), query):
+        got = {r.doc_id: r.llr for r in rows.collect()}
+        for d, own in grams.items():
+            want = sum(ratio[g] for g in own) / len(own) if own else 0.0
+            assert math.isclose(got[d], want, rel_tol=1e-4, abs_tol=1e-9)
+        assert got[1] > got[2]
+
+
 def test_crc_of_nothing():
     assert zlib.crc32(b"") == 0
