@@ -65,6 +65,25 @@ def test_fits_in_flight_follow_cores_and_partitions(spark):
     assert TR.in_flight(one, most=3) == 3
 
 
+def test_forest_depths_share_a_fit(spark, train):
+    """One deep forest of each size answers all depths, as its own cut."""
+    est = TU.estimator("forest", train)
+    points = TR.grid_points(TU.FULL_GRIDS["forest"])
+    shared, groups = TR._groups(est, points)
+    assert shared == "maxDepth"
+    assert [[points[i]["numTrees"] for i in g] for g in groups] == \
+        [[10] * 4, [20] * 4, [30] * 4]
+    chosen = [{"numTrees": 3, "maxDepth": d} for d in (1, 3, 6)]
+    fit, held = (train.where(c) for c in (F.col(E.FOLD) != 1,
+                                          F.col(E.FOLD) == 1))
+    got = TR._group_errors(est, chosen, "maxDepth", TR.packed(fit), held,
+                           P.LABEL)
+    for error, p in zip(got, chosen):
+        single = TR._rmse(TR._with(est, p).fit(TR.packed(fit)), held,
+                          P.LABEL)
+        assert math.isclose(error, single, rel_tol=1e-9)
+
+
 def test_a_failing_fit_is_reported(spark, train):
     est = TU.estimator("tree", train)
     with pytest.raises(Exception, match="maxBins"):
