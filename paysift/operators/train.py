@@ -214,8 +214,9 @@ def _forest_depth_errors(model, rows: DataFrame, label: str,
     """RMSE of a forest cut at each depth, from one pass over ``rows``.
 
     A tree's nodes draw their slots level by level, so the upper levels of a
-    deep forest are the shallow forest.  A task sums the squared errors of its
-    rows; a row's prediction at a depth is the mean over the trees of what its
+    deep forest are the shallow forest (where a level's statistics outgrow
+    ``maxMemoryInMB`` the draws come in another order, and the cut is another
+    forest of that depth).  A task sums the squared errors of its rows; a row's prediction at a depth is the mean over the trees of what its
     leaves' ancestors there predict.
     """
     paths = _forest_paths(model, rows.sparkSession)
