@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from paysift.llm.bpe import Encoder
+from paysift.llm.bpe import Codes, Encoder
 from paysift.llm.hilbert_pack import hilbert_key, pack_along_curve
 from paysift.llm.hyper_shard import communication_matrix, shuffle_into_shards
 from paysift.llm import queries
@@ -96,6 +96,47 @@ def test_cached_encoding_equals_the_library(texts):
             assert np.frombuffer(ids, "<u4").tolist() == want + [9]
 
 
+def test_a_word_is_learnt_once_whatever_signs_touch_it(monkeypatch):
+    learnt = []
+
+    def learn(self, hashes, pieces, *rest):
+        learnt.extend(pieces)
+        return known(self, hashes, pieces, *rest)
+    known = Encoder._learn
+    monkeypatch.setattr(Encoder, "_learn", learn)
+    texts = ["(word word, word. \"word\" word: word) word; word!"]
+    for path, keep, most in ((BYTES, True, 2), (WORDS, False, 1)):
+        learnt.clear()
+        enc = Encoder(path, 9, keep)
+        got = np.frombuffer(enc.encode(texts)[0], "<u4").tolist()
+        assert got == _ids(path, texts[0], 9)
+        assert sum("word" in p for p in learnt) == most
+
+
+def test_encoding_with_caches_that_overflow():
+    texts = ["It's a small TEST of 2 caches.", "caf\u00e9 isn't a 10 TEST"]
+    for path, keep in ((BYTES, True), (WORDS, False)):
+        enc = Encoder(path, 9, keep, cached=2)
+        for _ in range(3):
+            for t in texts:
+                assert np.frombuffer(enc.encode([t])[0], "<u4").tolist() == \
+                    _ids(path, t, 9)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(-(1 << 63), (1 << 63) - 1), max_size=80,
+                unique=True), st.integers(1, 40))
+def test_codes_number_hashes_in_order(hashes, step):
+    # few low bits, so that places collide; 0 marks a free place
+    hashes = list(dict.fromkeys(h & ~0xFF | 2 for h in hashes)) + [0]
+    codes = Codes(4)
+    for i in range(0, len(hashes), step):
+        codes.add(np.array(hashes[i:i + step]))
+    assert codes.n == len(hashes)
+    assert codes.find(np.array(hashes)).tolist() == list(range(len(hashes)))
+    assert codes.find(np.array([5, 7])).tolist() == [-1, -1]
+
+
 _ENC = {}
 
 
