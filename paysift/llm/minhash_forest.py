@@ -15,8 +15,9 @@ sets: first every member against the smallest member of its family (one copy
 of each set is shuffled), then every candidate pair whose ends are not yet
 joined.  More classes than the window holds may agree on the first
 ``min_depth`` minhashes of a tree; such runs are crowded too.  What is not yet
-joined in crowded runs is compared block against block: signatures first, then the
-full sets of classes that resemble a class of another component.  So a pair
+joined in crowded runs is compared block against block: signatures first, then,
+in the same blocks, the full sets of classes that resemble a class of another
+component.  A run inside a crowded run is not compared again.  So a pair
 is compared if it agrees on ``min_depth`` minhashes of any tree, however many
 classes do.  Components of the confirmed links are the result.
 
@@ -39,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paysift.llm.bpe import forget
@@ -329,12 +330,17 @@ def crowded_links(docs: DataFrame, classes: DataFrame, groups: DataFrame,
     rows = classes.select("id", "sig", F.explode(F.sequence(
         F.lit(0), F.lit(trees - 1))).alias("tree"))
 
-    def runs(prefix: int, lag: int) -> DataFrame:
-        return crowded(rows.select(F.xxhash64("tree", F.substring(
+    def run(prefix: int) -> Column:
+        return F.xxhash64("tree", F.substring(
             F.col("sig"), F.col("tree") * (2 * depth) + 1,
-            F.lit(2 * prefix))).alias("run"), "id"), lag)
-    rows = pin(with_roots(runs(min_depth, window).union(runs(depth, 1)),
-                          groups))
+            F.lit(2 * prefix)))
+    rows = rows.select(run(min_depth).alias("run"), run(depth).alias("equal"),
+                       "id")
+    wide = crowded(rows.drop("equal"), window)
+    # a crowded run holds all pairs of the equal rows within
+    narrow = rows.join(wide.select("run").distinct(), "run", "left_anti") \
+        .select(F.col("equal").alias("run"), "id")
+    rows = pin(with_roots(wide.union(crowded(narrow, 1)), groups))
     if rows.isEmpty():
         return None
     alike = pin(suspects(
@@ -347,8 +353,7 @@ def crowded_links(docs: DataFrame, classes: DataFrame, groups: DataFrame,
         docs, alike.select("id", F.col("id").alias("family")).distinct(),
         key, text, shingle).dropDuplicates(["id"])
         .select("id", F.col("set").alias("data")), "crowded")
-    return run_links(dealt(rows.join(alike, ["run", "id"]), block)
-                     .join(sets, "id"), close_sets(pct))
+    return run_links(alike.join(sets, "id"), close_sets(pct))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id",

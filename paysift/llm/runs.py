@@ -107,8 +107,9 @@ def _met(batches, prepare: Callable) -> Iterator[tuple]:
 
 
 def suspects(rows: DataFrame, prepare: Callable) -> DataFrame:
-    """run, id: the rows near a row of another root in their run; from
-    (run, i, j, own, id, root, data)."""
+    """run, i, j, own, id, root: the rows near a row of another root, for
+    each pair of blocks where they meet it; from (run, i, j, own, id, root,
+    data).  With other data in place they go to ``run_links`` as they are."""
     def work(batches):
         for t, mine, ids, root, near in _met(batches, prepare):
             found = np.zeros(len(ids), dtype=bool)
@@ -116,11 +117,10 @@ def suspects(rows: DataFrame, prepare: Callable) -> DataFrame:
                 hit = near(r) & (root != root[r])
                 found |= hit
                 found[r] |= hit.any()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([t.column(0)[0].as_py()] * int(found.sum()),
-                          pa.int64()), pa.array(ids[found])],
-                names=["run", "id"])
-    return _blocks(rows, work, "run long, id long").distinct()
+            yield from t.select(["run", "i", "j", "own", "id", "root"]) \
+                .filter(pa.array(found)).to_batches()
+    return _blocks(rows, work, "run long, i int, j int, own int, id long, "
+                               "root long")
 
 
 def run_links(rows: DataFrame, prepare: Callable) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from paysift.llm import minhash_forest
 from paysift.llm.embed_passes import near_vectors
 from paysift.llm.fm_dedup import repeated_starts, strip_repeats
 from paysift.llm.graph import components
@@ -74,6 +75,24 @@ def test_near_duplicates_of_a_star(spark, changed):
     assert got == want
 
 
+def test_crowded_rows_are_dealt_once_a_tree(spark, monkeypatch):
+    """Runs within crowded runs are not dealt, nor the rows of signatures
+    again for their full sets."""
+    dealt, calls = minhash_forest.dealt, []
+
+    def counted(rows, block):
+        calls.append(max(r["count"] for r in
+                         rows.groupBy("id").count().collect()))
+        return dealt(rows, block)
+    monkeypatch.setattr(minhash_forest, "dealt", counted)
+    rows = star(60, 14, 3)
+    got = {r.doc_id: r.component_id for r in near_duplicates(
+        spark.createDataFrame(rows, "doc_id long, text string"), shingle=2,
+        window=4).collect()}
+    assert got == cases.near_groups(dict(rows), 2)
+    assert len(calls) == 1 and calls[0] <= 20
+
+
 def test_near_duplicates_awkward_rows(spark):
     got = near_duplicates(cases.awkward(spark), shingle=2).collect()
     assert len(got) == 15
