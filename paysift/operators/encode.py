@@ -25,7 +25,7 @@ from paysift.functions import lookups as L
 from paysift.functions.exprs import col_of, hash_percent
 from paysift.operators.moments import stored
 from paysift.operators.ordered import running
-from paysift.session import shared_path
+from paysift.session import compilable_methods, shared_path
 
 # Columns of a written model input: the part, and the fold of training rows.
 PART, FOLD = "__part", "__fold"
@@ -137,11 +137,12 @@ def materialized_split(df: DataFrame, key: str, train_percent: int = 70,
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     salt = F.pmod(F.xxhash64(col_of(key)), F.lit(max(1, n // (2 * folds))))
     path = shared_path(spark, "model-input")
-    (df.withColumns({PART: F.when(hash_part(key, train_percent), "train")
-                     .otherwise("test"), FOLD: fold_column(key, folds)})
-     .repartition(n, PART, FOLD, salt)
-     .sortWithinPartitions(PART, FOLD, key)
-     .write.partitionBy(PART, FOLD).parquet(path))
+    with compilable_methods(spark):
+        (df.withColumns({PART: F.when(hash_part(key, train_percent), "train")
+                         .otherwise("test"), FOLD: fold_column(key, folds)})
+         .repartition(n, PART, FOLD, salt)
+         .sortWithinPartitions(PART, FOLD, key)
+         .write.partitionBy(PART, FOLD).parquet(path))
     schema = T.StructType(df.schema.fields + [
         T.StructField(PART, T.StringType()),
         T.StructField(FOLD, T.IntegerType())])

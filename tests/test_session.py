@@ -3,7 +3,8 @@ local mode, an error on a cluster without a shared folder."""
 
 import pytest
 
-from paysift.session import ensure_checkpoint_dir
+from paysift.operators import encode as E
+from paysift.session import compilable_methods, ensure_checkpoint_dir
 
 
 class _Conf:
@@ -91,3 +92,29 @@ def test_master_and_partitions_stay_unless_asked(monkeypatch):
 def test_existing_context_folder_wins(spark):
     assert ensure_checkpoint_dir(spark) == \
         spark.sparkContext.getCheckpointDir()
+
+
+def test_model_input_is_written_by_compilable_methods(spark, monkeypatch):
+    """While it is written, stages with too long methods are not fused; the
+    session's own setting comes back, also after a failure."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before, seen = spark.conf.get(name), []
+    writer = type(spark.range(1).write)
+    parquet = writer.parquet
+
+    def noted(self, *args, **kw):
+        seen.append(spark.conf.get(name))
+        return parquet(self, *args, **kw)
+    monkeypatch.setattr(writer, "parquet", noted)
+    rows = spark.createDataFrame([(i, float(i)) for i in range(50)] +
+                                 [(None, None), (3, 3.0)], "k long, x double")
+    train, test = E.materialized_split(rows, "k")
+    assert seen == ["8000"] and spark.conf.get(name) == before
+    got = [tuple(r) for part in (train.drop(E.FOLD), test)
+           for r in part.collect()]
+    assert sorted(got, key=str) == sorted(map(tuple, rows.collect()),
+                                          key=str)
+    with pytest.raises(ZeroDivisionError):
+        with compilable_methods(spark):
+            1 / 0
+    assert spark.conf.get(name) == before
