@@ -19,6 +19,7 @@ the other; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from paysift.llm.bpe import encoder
 from paysift.llm.stash import pin, stash
-from paysift.llm.words import chunks, hashed_words
+from paysift.llm.words import chunks, hashed_words, slices
 
 
 def hilbert_key(axes: np.ndarray, bits: int) -> np.ndarray:
@@ -87,7 +88,7 @@ def tokenised(docs: DataFrame, key: str, text: str, tokenizer: str,
         enc = encoder(tokenizer, end, True)
         pack = zstandard.ZstdCompressor(level=1)
         base, seen = TaskContext.get().partitionId() << 33, 0
-        for batch in batches:
+        for batch in chain.from_iterable(slices(b, 1) for b in batches):
             texts = ["" if t is None else t
                      for t in batch.column(1).to_pylist()]
             raw = [t.encode() for t in texts]

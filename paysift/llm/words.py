@@ -11,6 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,6 +66,20 @@ def chunks(texts: list, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 20
+           ) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts hold about ``limit`` bytes, so
+    that what is made of a run at once is bounded whatever the batch."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0)
+    part = np.cumsum(size.to_numpy(zero_copy_only=False),
+                     dtype=np.int64) // limit
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(),
+            batch.num_rows]
+    for lo, hi in zip(cuts, cuts[1:]):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
+
+
 def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, first word of every text plus the total)."""
     buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)

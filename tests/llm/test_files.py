@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -388,3 +389,20 @@ def test_llr_counts_word_pairs(spark, tmp_path):
 
 def test_crc_of_nothing():
     assert zlib.crc32(b"") == 0
+
+
+def test_batches_are_cut_into_bounded_slices(spark):
+    """What packing turns into Python objects at once is bounded by the
+    bytes of the texts, not by the batch; no row is lost or moved."""
+    from paysift.llm.words import slices
+    texts = [None, "", "ab" * 30, None, *["äb"] * 50, "x" * 500, ""]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(texts))), pa.array(texts)], names=["k", "t"])
+    parts = list(slices(batch, 1, 60))
+    assert sum((p.to_pylist() for p in parts), []) == batch.to_pylist()
+    assert len(parts) > 3
+    for p in parts:
+        sizes = [len((t or "").encode()) for t in p.column(1).to_pylist()]
+        assert sum(sizes) - max(sizes) <= 60
+    assert list(slices(batch.slice(0, 0), 1)) == []
+    assert len(list(slices(batch.slice(0, 2), 1))) == 1
