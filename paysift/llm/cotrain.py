@@ -34,7 +34,8 @@ from pyspark.sql.types import (BooleanType, DoubleType, StructField,
                                StructType)
 
 from paysift.llm.bpe import forget
-from paysift.llm.words import chunks, hashed_words
+from paysift.llm.words import chunks, hashed_words, sliced
+from paysift.session import bound_batches
 
 _U = np.uint64
 #: Letters and digits stay, other ASCII separates words.
@@ -225,7 +226,7 @@ def sample_features(docs: DataFrame, ids: DataFrame, key: str, text: str,
                     meta: list[str]) -> list:
     """Features of the rows named by the bounded table ``ids`` (id, y)."""
     def rows(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):
             words, shape = text_view(
                 [(t or "").encode() for t in batch.column(1).to_pylist()])
             places = meta_view(batch, meta)
@@ -282,6 +283,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id",
                    carry: bool = False) -> DataFrame:
     """key, p_text, p_meta, score, kept for every row; with ``carry`` all
     columns of ``docs`` and these four (replacing equal names)."""
+    bound_batches(docs.sparkSession)
     added = ["p_text", "p_meta", "score", "kept"]
     docs = docs.drop(*added)
     meta = [m for m in meta if m in docs.columns]
@@ -293,7 +295,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id",
 
     def score(batches):
         forget()
-        for batch in batches:
+        for batch in sliced(batches, names.index(text)):
             n = batch.num_rows
             if model is None:
                 p = [np.ones(n)] * 3

@@ -46,7 +46,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from paysift.llm.stash import pin, stash
 from paysift.llm.wavelet import FMIndex
-from paysift.llm.words import chunks, hashed_words, mix64, run_hash
+from paysift.llm.words import (chunks, hashed_words, mix64, run_hash,
+                               sliced)
+from paysift.session import bound_batches
 
 _U = np.uint64
 _LOW = -(1 << 63)
@@ -134,7 +136,7 @@ def _texts(column) -> list[bytes]:
 def segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """Every segment of every text (doc, who, text)."""
     def rows(batches):
-        for batch in batches:
+        for batch in sliced(batches, 2):
             keys = batch.column(0).to_numpy()
             who = batch.column(1).to_numpy()
             texts = _texts(batch.column(2))
@@ -159,7 +161,7 @@ def with_words(docs: DataFrame, wanted: DataFrame,
         F.struct("anchor", "seg", "at", "n", "hot")).alias("segs"))
 
     def rows(batches):
-        for batch in batches:
+        for batch in sliced(batches, 2):
             keys = batch.column(0).to_pylist()
             who = batch.column(1).to_pylist()
             texts = _texts(batch.column(2))
@@ -319,6 +321,7 @@ def repeated_starts(docs: DataFrame, key: str = "doc_id",
                     shard_words: int = 1 << 18) -> DataFrame:
     """doc, who, starts: where windows that occurred earlier start, for the
     documents that have any (a null key is the smallest long)."""
+    bound_batches(docs.sparkSession)
     docs = _docs(docs, key, text)
     kept = _survivors(docs, window, gram)
     early = _earliest(docs, kept, window, hot, shard_words)
@@ -365,7 +368,7 @@ def strip_repeats(docs: DataFrame, starts: DataFrame, key: str = "doc_id",
     place = names.index(text)
 
     def cut(batches):
-        for batch in batches:
+        for batch in sliced(batches, place):
             removed, n_words, texts, sha = [], [], [], []
             for t, s in zip(batch.column(place).to_pylist(),
                             batch.column(batch.num_columns - 1)):

@@ -19,7 +19,6 @@ the other; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,8 @@ from pyspark.sql import functions as F
 
 from paysift.llm.bpe import encoder
 from paysift.llm.stash import pin, stash
-from paysift.llm.words import chunks, hashed_words, slices
+from paysift.llm.words import chunks, hashed_words, sliced
+from paysift.session import bound_batches
 
 
 def hilbert_key(axes: np.ndarray, bits: int) -> np.ndarray:
@@ -88,7 +88,7 @@ def tokenised(docs: DataFrame, key: str, text: str, tokenizer: str,
         enc = encoder(tokenizer, end, True)
         pack = zstandard.ZstdCompressor(level=1)
         base, seen = TaskContext.get().partitionId() << 33, 0
-        for batch in chain.from_iterable(slices(b, 1) for b in batches):
+        for batch in sliced(batches, 1):
             texts = ["" if t is None else t
                      for t in batch.column(1).to_pylist()]
             raw = [t.encode() for t in texts]
@@ -141,7 +141,10 @@ def stream_offsets(rows: DataFrame, order: list[str], row: str,
             .agg(F.max("upto")).collect()):  # one number a partition
         base.append((part, shift))
         shift += upto
-    base = spark.createDataFrame(base, "part int, shift long")
+    # an Arrow table: a list of rows would go through Python workers
+    base = spark.createDataFrame(pa.table(
+        {"part": pa.array([p for p, _ in base], pa.int32()),
+         "shift": pa.array([s for _, s in base], pa.int64())}))
     return local.join(base, "part").select(
         "row", (F.col("local") + F.col("shift")).alias("before"))
 
@@ -153,6 +156,7 @@ def pack_along_curve(docs: DataFrame, tokenizer: str, key: str = "doc_id",
     """One row per piece: key, start, length, ids_crc32, doc_tokens,
     sequence_id, offset; ``with_ids`` adds the piece's ids (little-endian
     unsigned 32-bit)."""
+    bound_batches(docs.sparkSession)
     held = stash(tokenised(docs, key, text, tokenizer, end, dims, bits),
                  "tokens")
     before = stream_offsets(held, ["curve", "key", "row"], "row", "n")

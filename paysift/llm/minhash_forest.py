@@ -47,7 +47,9 @@ from paysift.llm.bpe import forget
 from paysift.llm.graph import components
 from paysift.llm.runs import crowded, dealt, run_links, suspects, with_roots
 from paysift.llm.stash import pin, release, stash
-from paysift.llm.words import chunks, hashed_words, mix64, run_hash
+from paysift.llm.words import (chunks, hashed_words, mix64, run_hash,
+                               sliced)
+from paysift.session import bound_batches
 
 _U = np.uint64
 _U4 = np.uint32
@@ -95,7 +97,7 @@ def signatures(docs: DataFrame, key: str, text: str, shingle: int,
     def rows(batches):
         forget()
         family = hash_family(n, seed)
-        for batch in batches:
+        for batch in sliced(batches, 1):
             keys = batch.column(0)
             texts = [b"" if t is None else t
                      for t in batch.column(1).to_pylist()]
@@ -228,8 +230,10 @@ def forest_neighbours(classes: DataFrame, trees: int, depth: int,
                 across += list(zip(x.tolist(), y.tolist()))
     pairs_df = out.filter("edge is null").select("a", "b")
     if across:
-        pairs_df = pairs_df.union(
-            spark.createDataFrame(across, "a long, b long"))
+        a, b = zip(*across)
+        # an Arrow table: a list of rows would go through Python workers
+        pairs_df = pairs_df.union(spark.createDataFrame(pa.table(
+            {"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})))
     return pairs_df.select(F.least("a", "b").alias("a"),
                            F.greatest("a", "b").alias("b")).distinct()
 
@@ -275,7 +279,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, key: str, text: str,
               shingle: int) -> DataFrame:
     """id, family, set: the whole shingle sets of the wanted rows."""
     def rows(batches):
-        for batch in batches:
+        for batch in sliced(batches, 2):
             texts = [b"" if t is None else t
                      for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -362,6 +366,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id",
                     min_depth: int = 3, seed: int = 11,
                     block: int = 512) -> DataFrame:
     """key, n_shingles, component_id, kept for every row of ``docs``."""
+    bound_batches(docs.sparkSession)
     n = trees * depth
     signed = stash(signatures(docs, key, text, shingle, n, seed), "sets")
     mark = ["n_shingles", "f1", "f2"]

@@ -53,9 +53,10 @@ def _places(n: int) -> np.ndarray:
     return _PLACES
 
 
-def chunks(texts: list, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunks(texts: list, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Index ranges of ``texts`` (bytes) holding about ``limit`` bytes; a
-    longer text is a range of its own, whole."""
+    longer text is a range of its own, whole.  Hashing takes some 50 times a
+    range's bytes, which a worker does not all give back."""
     start, held = 0, 0
     for i, t in enumerate(texts):
         if i > start and held + len(t) > limit:
@@ -80,6 +81,13 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 20
             yield batch.slice(lo, hi - lo)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], column: int
+           ) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in such slices."""
+    for batch in batches:
+        yield from slices(batch, column)
+
+
 def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, first word of every text plus the total)."""
     buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
