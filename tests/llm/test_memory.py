@@ -4,7 +4,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from paysift.llm import cotrain, fm_dedup, hilbert_pack, minhash_forest
+from paysift.llm import (cotrain, fm_dedup, graph, hilbert_pack,
+                         minhash_forest)
 from paysift.llm.words import chunks, sliced
 from paysift.session import bound_batches
 
@@ -133,3 +134,30 @@ def test_small_tables_need_no_python_workers(spark):
     ends = np.cumsum([i % 7 for i in range(100)])
     assert {r.row: r.before for r in got.collect()} == {
         i: int(ends[i]) - i % 7 for i in range(100)}
+
+
+def test_rounds_of_components_write_few_files(spark, monkeypatch):
+    """A file of a local checkpoint folder costs its executor processes."""
+    files = []
+
+    def pin(df):
+        out = df.checkpoint(eager=True)
+        files.append(out.rdd.getNumPartitions())
+        return out
+    monkeypatch.setattr(graph, "pin", pin)
+    names = {"spark.sql.shuffle.partitions": "40",
+             "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        # chains of 10
+        links = spark.range(300).filter("id % 10 < 9") \
+            .selectExpr("id as a", "id + 1 as b")
+        got = {r.node: r.component for r in graph.components(links).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: i - i % 10 for i in range(300)}
+    cores = spark.sparkContext.defaultParallelism
+    assert cores < 40 and max(files[1:]) <= cores
