@@ -89,3 +89,21 @@ def test_a_failing_fit_is_reported(spark, train):
     with pytest.raises(Exception, match="maxBins"):
         TR.tune_cross_validation(est, {"maxBins": [2]}, train, P.LABEL,
                                  E.FOLD)
+
+
+def test_forest_fits_of_a_grid_keep_node_ids(spark, train, monkeypatch):
+    """Rows remember their nodes while a grid is tuned; the winner's own
+    parameters stay as they were."""
+    kept = []
+    fit = TR.RandomForestRegressor.fit
+
+    def watched(self, df, *args):
+        kept.append(self.getCacheNodeIds())
+        return fit(self, df, *args)
+    monkeypatch.setattr(TR.RandomForestRegressor, "fit", watched)
+    tuned = TR.tune_cross_validation(
+        TU.estimator("forest", train),
+        {"numTrees": [2], "maxDepth": [1, 2]},
+        train.withColumn("__f", F.col(E.FOLD) % 2), P.LABEL, "__f", 2)
+    assert kept == [True, True, False]
+    assert not tuned.bestModel.getCacheNodeIds()
